@@ -11,6 +11,7 @@ from .common import read
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import jaccard_join
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
 
 
@@ -27,12 +28,21 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = read(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"), usable=~held_out)
+    return score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, share=(90, 100))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op7_source_mixing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op7_source_mixing, op9_toxicity, op10_ngram_jaccard)}
 
 
 _LINES = r"""
