@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,25 +163,22 @@ def hash_of(value: object) -> int:
     return zlib.crc32(f"deal:{value}".encode())
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id, *carry, toxicity`` for each row of ``docs``.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with the score of ``text_col`` in ``score_col`` (a column of that name is replaced).
 
     Edge cases: a null or empty text has one empty window and gets the score
     that the calibration gives to no gain; repeated rows score alike; a very
-    long text is scored over all of its windows; null ids pass through; an
-    empty table gives an empty table; columns not named are ignored.
+    long text is scored over all of its windows; an empty table gives an empty
+    table; other columns pass through, null ids too.
 
-    At scale: one pass over the texts without a shuffle; each task builds the
-    two compressors once for a batch.
+    At scale: one pass over the texts without a shuffle, and only the texts go
+    to Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some ten kilobytes, whatever the input
-    base = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("_text"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "toxicity"])
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.scores(texts.tolist()))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    scored = base.mapInArrow(score, f"{fields}, toxicity double")
-    return scored.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "toxicity")
+    return docs.withColumn(score_col, score(F.col(text_col).cast("string")))
