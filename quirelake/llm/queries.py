@@ -13,6 +13,7 @@ from .common import read
 from .decontamination import contaminated_pairs
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .nearest import nearest
 from .ngram_join import jaccard_join
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
@@ -35,6 +36,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     docs = read(spark, sf_dir, "documents")
@@ -53,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_decontamination, op7_source_mixing, op9_toxicity, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_decontamination, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
 
 
 _LINES = r"""
@@ -99,6 +104,17 @@ FROM cut_off GROUP BY doc_id, size, s, target
 """
 
 
+_NEAREST = r"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 _JACCARD = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -119,4 +135,4 @@ FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id JOIN smallest ON d.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op10_ngram_jaccard": _JACCARD}
+    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD}
