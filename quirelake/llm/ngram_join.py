@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,32 +89,30 @@ def _incidence(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
     return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, offsets in _chunks(batches, n):
-            packed = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((offsets * 8).astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
-            yield pa.RecordBatch.from_arrays([ids, packed.cast(pa.binary())], ["_id", "_set"])
-
-    return docs.mapInArrow(rows, f"_id {docs.schema['_id'].dataType.simpleString()}, _set binary")
-
-
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts the common columns of the pairs (a, b, _set_a, _set_b) of a batch."""
+def _overlaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Counts the common columns of the pairs ``(a, b, text of a, text of b)`` of a batch."""
     for whole in batches:
-        start = 0
-        width = np.array([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(whole.column("_set_a"), whole.column("_set_b"), strict=True)])
+        size = pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size), 0
         while start < whole.num_rows:
-            end = start + max(1, int(np.searchsorted(np.cumsum(width[start:]), 8 << 20)))
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (2 << 20), "right")))
             batch = whole.slice(start, end - start)
             start = end
-            sides = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("_set_a", "_set_b")]
-            pair = np.concatenate([np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sides])
-            h = np.concatenate([x for s in sides for x in s])
+            h, pair = [], []
+            for column in batch.columns[2:]:
+                row0 = 0
+                for row, stop, data, offsets in text_chunks(column):
+                    word, rows, _, _ = words(data, offsets)
+                    sh, at = shingle_sets(word, rows, stop - row, n)
+                    h.append(sh)
+                    pair.append(np.repeat(np.arange(row0, row0 + stop - row), np.diff(at)))
+                    row0 += stop - row
+            h, pair = np.concatenate(h), np.concatenate(pair)
             order = np.lexsort((h, pair))
             h, pair = h[order], pair[order]
             same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
             common = np.bincount(pair[1:][same], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], ["a", "b", "overlap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "overlap"])
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -143,38 +142,31 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = share
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = base.schema["_id"].dataType.simpleString()
     meta = cut(_incidence(base, n, share))
-    classes = cut(meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n")))
-    index = meta.filter("_id IS NOT NULL").select(F.explode("_columns").alias("_column"), "_c1")
-    shared = index.groupBy("_column").agg(F.min("_c1").alias("_lead"), F.max("_c1").alias("_last")).filter("_lead <> _last").drop("_last")
-    members = cut(index.join(shared, "_column").distinct())
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of class hashes as pairs of smallest ids, without those that the size bound excludes."""
-        for side in ("a", "b"):
-            pairs = pairs.join(classes.select(F.col("_c1").alias(f"_{side}"), F.col("_rep").alias(side), F.col("_n").alias(f"_n{side}")), f"_{side}")
-        bound = (F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num) & (F.col("a") != F.col("b"))
-        return pairs.filter(bound).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("_na") + F.col("_nb")).alias("_sum")).distinct()
+    # one row for each different set, so that copies of a text are compared once
+    classes = cut(
+        meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"))
+    )
+    index = classes.select(F.explode("_columns").alias("_column"), "_rep", "_n")
+    shared = index.groupBy("_column").agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last")).filter("_lead <> _last").drop("_last")
+    members = cut(index.join(shared, "_column"))
+    near = F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num
+    leads = classes.select(F.col("_rep").alias("a"), F.col("_n").alias("_na"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-        sets = cut(_sets(base.join(ids, "_id", "left_semi"), n).dropDuplicates(["_id"]))
-        both = pairs
-        for side in ("a", "b"):
-            both = both.join(sets.select(F.col("_id").alias(side), F.col("_set").alias(f"_set_{side}")), side)
-        kind = base.schema["_id"].dataType.simpleString()
-        found = both.select("a", "b", "_set_a", "_set_b").mapInArrow(_overlaps, f"a {kind}, b {kind}, overlap long")
+        """The links among ``pairs(a, b, _sum)``: each text goes to its pairs, then the pairs to the other text."""
+        left = base.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b")).join(pairs.select("a", "b"), "b")
+        both = base.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a")).join(left, "a").select("a", "b", "_text_a", "_text_b")
+        found = both.mapInArrow(lambda batches: _overlaps(batches, n), f"a {kind}, b {kind}, overlap long").groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
         return pairs.join(found, ["a", "b"]).filter((F.col("_sum") - F.col("overlap")) * num <= F.col("overlap") * den).select("a", "b")
 
-    first = cut(sized(members.filter("_c1 <> _lead").select(F.col("_lead").alias("_a"), F.col("_c1").alias("_b")).distinct()))
+    met = members.filter("_rep <> _lead").select(F.col("_lead").alias("a"), F.col("_rep").alias("b"), F.col("_n").alias("_nb")).distinct()
+    first = cut(met.join(leads, "a").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum")))
     links = cut(verified(first))
     found = cut(connected_components(links))
     # columns that still hold classes of more than one component
-    placed = (
-        members.join(classes.select("_c1", "_rep", "_n"), "_c1")
-        .join(found.withColumnRenamed("node", "_rep"), "_rep", "left")
-        .select("_column", "_rep", "_n", F.coalesce("component", "_rep").alias("_comp"))
-    )
+    placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", "_n", F.coalesce("component", "_rep").alias("_comp"))
     split = placed.groupBy("_column").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_k")).filter("_x <> _y AND _k > 2")
     rest = cut(placed.join(split.select("_column"), "_column", "left_semi"))
     other = rest.select("_column", F.col("_rep").alias("b"), F.col("_n").alias("_nb"), F.col("_comp").alias("_cb"))
@@ -182,7 +174,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rest.withColumnsRenamed({"_rep": "a", "_n": "_na", "_comp": "_ca"})
         .join(other, "_column")
         .filter("a < b AND _ca <> _cb")
-        .filter((F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num))
+        .filter(near)
         .select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum"))
         .distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
