@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .nearest import nearest
 from .ngram_join import jaccard_join
+from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
 
@@ -24,6 +25,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs))
+    return scored.select("doc_id", F.col("quality").alias("score"), "weak_label", (F.col("quality") >= 0.5).alias("keep"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
@@ -58,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_decontamination, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op5_decontamination, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
 
 
 _LINES = r"""
