@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .nearest import nearest
 from .ngram_join import jaccard_join
+from .pii import replace_pii
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
@@ -35,6 +36,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(read(spark, sf_dir, "documents"), key="surrogates").select("doc_id", "n_replaced", "text")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -65,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op5_decontamination, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
 
 
 _LINES = r"""
