@@ -17,6 +17,7 @@ from .nearest import nearest
 from .ngram_join import jaccard_join
 from .pii import replace_pii
 from .quality import fit_quality, score_quality
+from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
 
@@ -44,6 +45,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(read(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -70,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
 
 
 _LINES = r"""
