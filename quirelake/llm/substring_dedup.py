@@ -147,7 +147,7 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int, wide: int) -> Iterat
     at most, 28 bytes each.
     """
     for table in _whole_groups(batches, 0, 200_000):
-        a, c, ids, start, windows, fps = (table.column(k).to_numpy() for k in ("_a", "_c", "_id", "_start", "_n", "_fp"))
+        a, c, ids, start, windows, lead, fps = (table.column(k).to_numpy().astype(np.int64) for k in ("_a", "_c", "_id", "_start", "_n", "_lead", "_fp"))
         ready = windows == 0
         new_a = np.concatenate([[True], (a[1:] != a[:-1])])
         new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
@@ -156,10 +156,19 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int, wide: int) -> Iterat
         gone = ready | ~new_c
         asked = new_c & ~ready & (different > 1)
         end = np.where(ready, c, start + windows + length - 1)
+        # of a group of two blocks, only windows that both have at the same distance from the anchor can be equal
+        low, high = -lead, windows - lead
+        both_low, both_high = np.full(len(new_a), -(1 << 30)), np.full(len(new_a), 1 << 30)
+        np.maximum.at(both_low, group[asked], low[asked])
+        np.minimum.at(both_high, group[asked], high[asked])
+        pair = different == 2
+        low, high = np.where(pair, both_low[group], low), np.where(pair, both_high[group], high)
+        asked &= low < high
+        anchor = start + lead
         removed = _ranges(ids[gone], fps[gone], start[gone], end[gone])
         yield pa.RecordBatch.from_arrays(
             [
-                *(pa.concat_arrays([x, pa.array(y[asked], x.type)]) for x, y in zip(removed.columns, (ids, fps, start, start + windows), strict=True)),
+                *(pa.concat_arrays([x, pa.array(y[asked], x.type)]) for x, y in zip(removed.columns, (ids, fps, anchor + low, anchor + high), strict=True)),
                 pa.array(np.concatenate([np.zeros(removed.num_rows, np.int64), a[asked]]), mask=np.concatenate([np.ones(removed.num_rows, bool), np.zeros(int(asked.sum()), bool)])),
                 pa.array(np.concatenate([np.zeros(removed.num_rows, bool), different[asked] > wide])),
             ],
@@ -207,14 +216,13 @@ def repeated_windows(texts: list[bytes], rank: np.ndarray, start: np.ndarray, le
     text[-1] = 0
     first = where + np.arange(len(texts))
     sa = suffix_array(text)
-    common = permuted_prefixes(text, sa, length)
     is_window, place, holder = np.zeros(len(text), bool), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     n = np.maximum(size - length + 1, 0)
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(first, n) + inner
     is_window[at], place[at], holder[at] = True, np.repeat(start, n) + inner, np.repeat(rank, n)
     order = sa[is_window[sa]]
-    run = np.cumsum(common[order] < length)
+    run = np.cumsum(permuted_prefixes(text, sa, length, order) < length)
     by_age = np.lexsort((place[order], holder[order], run))
     sorted_run = run[by_age]
     later = np.concatenate([[False], sorted_run[1:] == sorted_run[:-1]])
@@ -277,7 +285,7 @@ def _cut_out(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, in
     return b"".join(out) + text[last:], removed, runs
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = 4 << 20, wide: int = WIDE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = 1 << 20, wide: int = WIDE) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that starts earlier too.
 
     Earlier is in a document with a smaller id, or before in the same document;

@@ -2,7 +2,9 @@
 
 The scans of induced sorting are done bucket by bucket: all suffixes of a bucket
 that are known at that point induce their predecessors at once, and those that
-fall into the same bucket form the next wave.
+fall into the same bucket form the next wave. Leftmost-smaller substrings are
+sorted recursively by naming ever longer runs of them: a scan of the reduced
+text, which has nearly as many buckets as suffixes, would be slow here.
 """
 
 from __future__ import annotations
@@ -87,30 +89,20 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.nda
     return sa
 
 
-def _induce_one_by_one(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The same for texts of which most buckets hold a few suffixes only: plain scans over lists."""
-    n, chars, is_small = len(text), text.tolist(), small.tolist()
-    sa = [-1] * n
-    tails = (starts[1:] - 1).tolist()
-    for s in lms[::-1].tolist():
-        c = chars[s]
-        sa[tails[c]] = s
-        tails[c] -= 1
-    heads = starts[:-1].tolist()
-    for s in sa:  # grows ahead of the scan
-        if s > 0 and not is_small[s - 1]:
-            c = chars[s - 1]
-            sa[heads[c]] = s - 1
-            heads[c] += 1
-    tails = (starts[1:] - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        s = sa[i]
-        if s > 0 and is_small[s - 1]:
-            c = chars[s - 1]
-            sa[tails[c]] = s - 1
-            tails[c] -= 1
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a text of names: runs of 1, 3, 9, ... names are named until all names differ."""
+    n, width = len(names), 1
+    while True:
+        second, third = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        second[: n - width] = names[width:] + 1
+        third[: max(0, n - 2 * width)] = names[2 * width :] + 1
+        order = np.lexsort((third, names << 32 | second))
+        head, tail = (names << 32 | second)[order], third[order]
+        names = np.empty(n, np.int64)
+        names[order] = np.cumsum(np.concatenate([[0], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
+        width *= 3
+        if names[order[-1]] == n - 1 or width >= n:
+            return order
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -123,10 +115,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(text)
     starts = np.concatenate([[0], np.cumsum(counts)])
-    induce = _induce if n >= 256 * np.count_nonzero(counts) else _induce_one_by_one
     if len(lms) > 1:
         # names of leftmost-smaller substrings, in their order
-        found = induce(text, small, lms, starts)
+        found = _induce(text, small, lms, starts)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         found = found[is_lms[found]]
@@ -142,23 +133,24 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             order = np.empty(len(lms), np.int64)
             order[reduced] = np.arange(len(lms))
         else:
-            order = suffix_array(reduced)
+            order = _sorted_names(reduced)
         lms = lms[order]
-    return induce(text, small, lms, starts)
+    return _induce(text, small, lms, starts)
 
 
-def permuted_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """For each place the length it shares with the suffix before its own in the array, up to ``limit``.
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, places: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``places`` the length it shares with the suffix before its own in the array, up to ``limit``.
 
     Lengths come from hashes of prefixes by halving steps instead of from one
     place to the next, which numpy can do for all places at once.
     """
     n = len(text)
+    here = np.arange(n) if places is None else places
     before = np.full(n, n - 1, np.int64)
     before[sa[1:]] = sa[:-1]
+    before = before[here]
     sums, down = prefix_sums(text)
-    shared = np.zeros(n, np.int64)
-    here = np.arange(n)
+    shared = np.zeros(len(here), np.int64)
     step = 1 << max(0, limit.bit_length() - 1)
     while step:
         a, b = here + shared, before + shared
