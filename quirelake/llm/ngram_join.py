@@ -27,6 +27,7 @@ from .tokens import mix, shingle_sets, text_chunks, words
 SKETCH_BITS = 18
 _SLICES = 16
 _FAN_IN = 256
+_PARITY_BITS = 512
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -64,7 +65,11 @@ def column_counts(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _incidence(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """``_id, _n, _c1, _c2, _columns``: set size, set hash, and the columns by which a document can be found."""
+    """``_id, _n, _c1, _c2, _columns, _parity``: set size, set hash, the columns by which a document can be found, parities.
+
+    Bit i of the parities tells whether the set has an odd number of n-grams in
+    hash range i. Sets differ in at least as many n-grams as their parities do.
+    """
     counts = docs.sparkSession.sparkContext.broadcast(column_counts(docs, n))
     num, den = share
 
@@ -83,10 +88,13 @@ def _incidence(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
             prefix = np.where(size > 0, size - -(-num * size // den) + 1, 0)
             first = np.arange(len(h)) - np.repeat(offsets[:-1], size) < np.repeat(prefix, size)
             columns = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]), pa.int32()), pa.array(h[order][first].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *map(pa.array, sums), columns], ["_id", "_n", "_c1", "_c2", "_columns"])
+            odd = np.bincount(owner * _PARITY_BITS + (mix(h + np.uint64(3)) % np.uint64(_PARITY_BITS)).astype(np.int64), minlength=len(size) * _PARITY_BITS) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
+            parity = pa.StructArray.from_arrays([pa.array(bits[:, i].copy()) for i in range(bits.shape[1])], [f"p{i}" for i in range(bits.shape[1])])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *map(pa.array, sums), columns, parity], ["_id", "_n", "_c1", "_c2", "_columns", "_parity"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>")
+    return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>, _parity struct<{', '.join(f'p{i}: bigint' for i in range(_PARITY_BITS // 64))}>")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -146,13 +154,15 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     meta = cut(_incidence(base, n, share))
     # one row for each different set, so that copies of a text are compared once
     classes = cut(
-        meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"))
+        meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"), F.first("_parity").alias("_parity"))
     )
     index = classes.select(F.explode("_columns").alias("_column"), "_rep", "_n")
     shared = index.groupBy("_column").agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last")).filter("_lead <> _last").drop("_last")
     members = cut(index.join(shared, "_column"))
-    near = F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num
-    leads = classes.select(F.col("_rep").alias("a"), F.col("_n").alias("_na"))
+    apart = sum((F.bit_count(F.col(f"_pa.p{i}").bitwiseXOR(F.col(f"_pb.p{i}"))) for i in range(_PARITY_BITS // 64)), F.lit(0))
+    # what follows from the sizes, and from how many n-grams the sets differ in at least
+    near = (F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num) & (apart * (den + num) <= (F.col("_na") + F.col("_nb")) * (den - num))
+    side = lambda x: classes.select(F.col("_rep").alias(x), F.col("_n").alias(f"_n{x}"), F.col("_parity").alias(f"_p{x}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs(a, b, _sum)``: each text goes to its pairs, then the pairs to the other text."""
@@ -161,17 +171,17 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         found = both.mapInArrow(lambda batches: _overlaps(batches, n), f"a {kind}, b {kind}, overlap long").groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
         return pairs.join(found, ["a", "b"]).filter((F.col("_sum") - F.col("overlap")) * num <= F.col("overlap") * den).select("a", "b")
 
-    met = members.filter("_rep <> _lead").select(F.col("_lead").alias("a"), F.col("_rep").alias("b"), F.col("_n").alias("_nb")).distinct()
-    first = cut(met.join(leads, "a").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum")))
+    met = members.filter("_rep <> _lead").select(F.col("_lead").alias("a"), F.col("_rep").alias("b")).distinct()
+    first = cut(met.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum")))
     links = cut(verified(first))
     found = cut(connected_components(links))
     # columns that still hold classes of more than one component
     placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", "_n", F.coalesce("component", "_rep").alias("_comp"))
     split = placed.groupBy("_column").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_k")).filter("_x <> _y AND _k > 2")
-    rest = cut(placed.join(split.select("_column"), "_column", "left_semi"))
-    other = rest.select("_column", F.col("_rep").alias("b"), F.col("_n").alias("_nb"), F.col("_comp").alias("_cb"))
+    rest = cut(placed.join(split.select("_column"), "_column", "left_semi").join(classes.select("_rep", "_parity"), "_rep"))
+    other = rest.select("_column", F.col("_rep").alias("b"), F.col("_n").alias("_nb"), F.col("_comp").alias("_cb"), F.col("_parity").alias("_pb"))
     pairs = (
-        rest.withColumnsRenamed({"_rep": "a", "_n": "_na", "_comp": "_ca"})
+        rest.withColumnsRenamed({"_rep": "a", "_n": "_na", "_comp": "_ca", "_parity": "_pa"})
         .join(other, "_column")
         .filter("a < b AND _ca <> _cb")
         .filter(near)
