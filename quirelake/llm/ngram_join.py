@@ -123,6 +123,19 @@ def _overlaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "overlap"])
 
 
+def _likely(texts: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """``texts`` without most rows whose ``_id`` is not in ``ids(_id)``, by a bitmap of fixed size.
+
+    The bitmap has at most ``2**(bits - 6)`` rows of 64 bits, so it can be
+    broadcast whatever the input; it only saves shuffling, a join must follow.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64("_id"), 64 - bits)
+    page, bit = F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+    pages = ids.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    kept = texts.withColumns({"_page": page, "_bit": bit}).join(F.broadcast(pages), "_page")
+    return kept.filter("getbit(_bits, _bit) = 1").select(*texts.columns)
+
+
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
     """Group documents whose n-gram sets have a Jaccard similarity of ``share`` or more.
 
@@ -166,8 +179,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs(a, b, _sum)``: each text goes to its pairs, then the pairs to the other text."""
-        left = base.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b")).join(pairs.select("a", "b"), "b")
-        both = base.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a")).join(left, "a").select("a", "b", "_text_a", "_text_b")
+        texts = _likely(base.filter("_id IS NOT NULL"), cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()))
+        left = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b")).join(pairs.select("a", "b"), "b")
+        both = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a")).join(left, "a").select("a", "b", "_text_a", "_text_b")
         found = both.mapInArrow(lambda batches: _overlaps(batches, n), f"a {kind}, b {kind}, overlap long").groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
         return pairs.join(found, ["a", "b"]).filter((F.col("_sum") - F.col("overlap")) * num <= F.col("overlap") * den).select("a", "b")
 

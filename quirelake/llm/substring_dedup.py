@@ -63,7 +63,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     left, right = behind[at], ahead[at + span - 1]
     from_left = left >> _U(7) <= right >> _U(7)
     anchor = np.where(from_left, at - at % span + (left & _U(127)).astype(np.int64), (at + span - 1) - (at + span - 1) % span + (right & _U(127)).astype(np.int64))
-    row = np.searchsorted(offsets, at, "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[at]
     inside = at + length <= offsets[row + 1]
     at, anchor, row = at[inside], anchor[inside], row[inside]
     if not len(at):
@@ -96,7 +96,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     for batch in batches:
         ids, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         parts = []
-        for row, _, data, offsets in text_chunks(batch.column(2)):
+        for row, _, data, offsets in text_chunks(batch.column(2), 1 << 18):
             at, *rest = blocks(data, offsets, length)
             parts.append((at + row, *rest))
         if not parts:

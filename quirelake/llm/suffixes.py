@@ -15,15 +15,24 @@ _BASE = 0x9E3779B97F4A7C15 | 3
 _U = np.uint64
 
 
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for the next call."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 18), base, np.uint64)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps))
+    return _powers[0][:n], _powers[1][:n]
+
+
 def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of a polynomial hash and the powers that make windows comparable (modulo 2**64)."""
     n = len(values)
-    up = np.full(n + 1, _BASE, np.uint64)
-    up[0] = 1
-    down = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    np.cumprod(up, out=up)
-    np.cumprod(down, out=down)
+    up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) * _U(0xA0761D6478BD642F) + _U(0x5851F42D4C957F2D)) * up[:n], out=sums[1:])
     return sums, down
@@ -90,18 +99,17 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.nda
 
 
 def _sorted_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a text of names: runs of 1, 3, 9, ... names are named until all names differ."""
+    """Order of the suffixes of a text of names: runs of 1, 2, 4, ... names are named until all names differ."""
     n, width = len(names), 1
     while True:
-        second, third = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        second[: n - width] = names[width:] + 1
-        third[: max(0, n - 2 * width)] = names[2 * width :] + 1
-        order = np.lexsort((third, names << 32 | second))
-        head, tail = (names << 32 | second)[order], third[order]
+        pair = names << 32
+        pair[: n - width] |= names[width:] + 1
+        order = np.argsort(pair)
+        head = pair[order]
         names = np.empty(n, np.int64)
-        names[order] = np.cumsum(np.concatenate([[0], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
-        width *= 3
-        if names[order[-1]] == n - 1 or width >= n:
+        names[order] = np.cumsum(np.concatenate([[0], head[1:] != head[:-1]]))
+        width *= 2
+        if names[order[-1]] == n - 1:
             return order
 
 
