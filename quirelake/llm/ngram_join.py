@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .components import connected_components
@@ -30,6 +31,28 @@ _FAN_IN = 256
 _PARITY_BITS = 512
 
 
+def _wide_parity(h: np.ndarray) -> tuple[bytes, bytes]:
+    """Parities of a set over as many hash ranges as it has n-grams, rounded up to a power of two, and over half as many."""
+    bits = 1 << max(6, int(len(h) - 1).bit_length())
+    odd = np.bincount((mix(h + np.uint64(5)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    half = odd[: bits // 2] ^ odd[bits // 2 :]
+    return np.packbits(odd.astype(np.uint8)).tobytes(), np.packbits(half.astype(np.uint8)).tobytes()
+
+
+@F.pandas_udf(T.LongType())
+def _apart(wide_a: pd.Series, half_a: pd.Series, wide_b: pd.Series, half_b: pd.Series) -> pd.Series:
+    """In how many n-grams two sets differ at least, by wide parities of one width; 0 if they have none."""
+
+    def least(*parities: bytes | None) -> int:
+        wide, half, wide2, half2 = parities
+        for x, y in ((wide, wide2), (half, wide2), (wide, half2)):
+            if x is not None and y is not None and len(x) == len(y):
+                return int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum())
+        return 0
+
+    return pd.Series([least(*p) for p in zip(wide_a, half_a, wide_b, half_b, strict=True)], dtype="int64")
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -91,10 +114,12 @@ def _incidence(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
             odd = np.bincount(owner * _PARITY_BITS + (mix(h + np.uint64(3)) % np.uint64(_PARITY_BITS)).astype(np.int64), minlength=len(size) * _PARITY_BITS) & 1
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
             parity = pa.StructArray.from_arrays([pa.array(bits[:, i].copy()) for i in range(bits.shape[1])], [f"p{i}" for i in range(bits.shape[1])])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *map(pa.array, sums), columns, parity], ["_id", "_n", "_c1", "_c2", "_columns", "_parity"])
+            wide = [_wide_parity(h[a:b]) if b - a > _PARITY_BITS else (None, None) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            wide = [pa.array([w[k] for w in wide], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *map(pa.array, sums), columns, parity, *wide], ["_id", "_n", "_c1", "_c2", "_columns", "_parity", "_wide", "_half"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>, _parity struct<{', '.join(f'p{i}: bigint' for i in range(_PARITY_BITS // 64))}>")
+    return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>, _parity struct<{', '.join(f'p{i}: bigint' for i in range(_PARITY_BITS // 64))}>, _wide binary, _half binary")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -167,7 +192,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     meta = cut(_incidence(base, n, share))
     # one row for each different set, so that copies of a text are compared once
     classes = cut(
-        meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"), F.first("_parity").alias("_parity"))
+        meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"), F.first("_parity").alias("_parity"), F.first("_wide").alias("_wide"), F.first("_half").alias("_half"))
     )
     index = classes.select(F.explode("_columns").alias("_column"), "_rep", "_n")
     shared = index.groupBy("_column").agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last")).filter("_lead <> _last").drop("_last")
@@ -177,6 +202,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     near = (F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num) & (apart * (den + num) <= (F.col("_na") + F.col("_nb")) * (den - num))
     side = lambda x: classes.select(F.col("_rep").alias(x), F.col("_n").alias(f"_n{x}"), F.col("_parity").alias(f"_p{x}"))
 
+    long_sets = classes.filter("_wide IS NOT NULL")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """``pairs(a, b, _sum)`` without pairs of long sets that differ too much."""
+        for x in "ab":
+            pairs = pairs.join(long_sets.select(F.col("_rep").alias(x), F.col("_wide").alias(f"_w{x}"), F.col("_half").alias(f"_h{x}")), x, "left")
+        return pairs.filter(_apart("_wa", "_ha", "_wb", "_hb") * (den + num) <= F.col("_sum") * (den - num)).select("a", "b", "_sum")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs(a, b, _sum)``: each text goes to its pairs, then the pairs to the other text."""
         texts = _likely(base.filter("_id IS NOT NULL"), cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()))
@@ -186,7 +219,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(found, ["a", "b"]).filter((F.col("_sum") - F.col("overlap")) * num <= F.col("overlap") * den).select("a", "b")
 
     met = members.filter("_rep <> _lead").select(F.col("_lead").alias("a"), F.col("_rep").alias("b")).distinct()
-    first = cut(met.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum")))
+    first = cut(possible(met.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum"))))
     links = cut(verified(first))
     found = cut(connected_components(links))
     # columns that still hold classes of more than one component
@@ -203,7 +236,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more = cut(pairs)
+    more = cut(possible(pairs))
     if not more.isEmpty():
         found = connected_components(links.unionByName(verified(more)))
     labels = classes.select("_c1", "_c2", "_rep").join(found.withColumnRenamed("node", "_rep"), "_rep", "left")
