@@ -75,6 +75,7 @@ def project_rect(box: tuple[Column, ...], rect: tuple[Column, ...], pixels: tupl
 
     Corners are rotated within the box, flipped (pixels grow downwards) and
     scaled; the result is the box around them, at least one pixel wide and high.
+    A box narrower or lower than 1 (a page without MediaBox) scales as one of 1.
     """
     bx, by, bw, bh = box
     x, y, w, h = rect
@@ -89,7 +90,8 @@ def project_rect(box: tuple[Column, ...], rect: tuple[Column, ...], pixels: tupl
     corners = [turned(x, y), turned(x + w, y), turned(x, y + h), turned(x + w, y + h)]
     width = F.when(turn.isin(90, 270), bh).otherwise(bw)
     height = F.when(turn.isin(90, 270), bw).otherwise(bh)
-    xs, ys = [c[0] * pixels[0] / width for c in corners], [(height - c[1]) * pixels[1] / height for c in corners]
+    across, down = F.greatest(width, F.lit(1.0)), F.greatest(height, F.lit(1.0))
+    xs, ys = [c[0] * pixels[0] / across for c in corners], [(height - c[1]) * pixels[1] / down for c in corners]
     left, top = F.least(*xs), F.least(*ys)
     one = F.lit(1.0)
     return [left, top, F.greatest(F.greatest(*xs) - left, one), F.greatest(F.greatest(*ys) - top, one)]

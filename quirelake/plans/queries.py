@@ -86,9 +86,20 @@ def xref_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles that show up at ``s_suppkey`` from the left and from the bottom, by supplier on pages of another rotation, box offset and pixel size."""
     s = fx.table(spark, sf_dir, "supplier")
-    key = F.col("s_suppkey").cast("double")
-    box = project_rect((F.lit(0.0), F.lit(0.0), F.lit(612.0), F.lit(792.0)), (key, key, F.lit(20.0), F.lit(10.0)), (F.lit(612.0), F.lit(792.0)), F.lit(0))
+    key, turn = F.col("s_suppkey").cast("double"), F.pmod("s_suppkey", F.lit(4)) * 90
+    scale = F.pow(F.lit(2.0), F.pmod("s_suppkey", F.lit(3)) - 1)  # pixels a unit
+    wide, high = (F.lit(792.0) + F.pmod("s_suppkey", F.lit(5)) * 100), F.lit(792.0)
+    ox, oy = F.pmod("s_suppkey", F.lit(7)) * 10.0, F.pmod("s_suppkey", F.lit(11)) * -3.0
+    # what is wanted, in units of the page as it is shown
+    x, y, w, h, full_w, full_h = (c / scale for c in (key, key, F.lit(20.0), F.lit(10.0), wide, high))
+    lying = turn.isin(90, 270)
+    left = F.when(turn == 90, full_h - y - h).when(turn == 180, full_w - x - w).when(turn == 270, y).otherwise(x)
+    low = F.when(turn == 90, x).when(turn == 180, full_h - y - h).when(turn == 270, full_w - x - w).otherwise(y)
+    page = (ox, oy, F.when(lying, full_h).otherwise(full_w), F.when(lying, full_w).otherwise(full_h))
+    rect = (ox + left, oy + low, F.when(lying, h).otherwise(w), F.when(lying, w).otherwise(h))
+    box = project_rect(page, rect, (wide, high), turn)
     return s.select("s_suppkey", *[c.alias(n) for c, n in zip(box, "xywh", strict=True)])
 
 
@@ -97,10 +108,15 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "pages").select("page_id", F.when(n < 1024, file_size(n)).otherwise(F.lit("KB or more")).alias("label"))
 
 
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole label of every page (``size_labels`` names only those under 1 KB)."""
+    return fx.table(spark, sf_dir, "pages").select("page_id", file_size(F.octet_length("html")).alias("label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        text_lines, object_kinds, object_search, object_edges, missing_refs, op_categories, op_nesting_depth, newest_objects, page_tree, stream_hashes, hex_rows, file_warnings, file_versions, xref_entries, overlay_boxes, size_labels,
+        text_lines, object_kinds, object_search, object_edges, missing_refs, op_categories, op_nesting_depth, newest_objects, page_tree, stream_hashes, hex_rows, file_warnings, file_versions, xref_entries, overlay_boxes, size_labels, file_sizes,
     )
 }
 
@@ -136,4 +152,7 @@ FROM (SELECT DISTINCT doc_id FROM labels) GROUP BY ALL""",
   CASE WHEN c_acctbal < 0 THEN 'f' ELSE 'n' END AS type, c_custkey AS "offset" FROM customer""",
     "overlay_boxes": "SELECT s_suppkey, s_suppkey::DOUBLE AS x, 792.0::DOUBLE - s_suppkey - 10 AS y, 20.0::DOUBLE AS w, 10.0::DOUBLE AS h FROM supplier",
     "size_labels": "SELECT page_id, CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE 'KB or more' END AS label FROM pages",
+    "file_sizes": """WITH b AS (SELECT page_id, strlen(html)::BIGINT AS n FROM pages),
+t AS (SELECT *, (n * 20 + 1024) // 2048 AS kb, (n * 200 + 1048576) // 2097152 AS mb FROM b)
+SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (kb // 10) || '.' || (kb % 10) || ' KB' ELSE (mb // 100) || '.' || lpad((mb % 100)::VARCHAR, 2, '0') || ' MB' END AS label FROM t""",
 }
