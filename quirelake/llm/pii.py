@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,7 +39,10 @@ _POOL_OF = {name: key for key, names in GIVEN_NAMES.items() for name in names}
 _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Sr Sra Monsieur Madame Mme".split()
 _CAP = r"\p{Lu}\p{Ll}[\p{L}'’-]*"
 
-#: In order of precedence; the group ``v`` is what is replaced.
+#: What may stand between the digits of a telephone number.
+_GAP = r"[ ./\u00a0\u2009\u202f\u2010-\u2013-]"
+
+#: In order of precedence (by the last pattern of a kind, then the place); the group ``v`` is what is replaced.
 PATTERNS = [
     ("key_block", regex.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?P<v>.*?)-----END [A-Z ]*PRIVATE KEY-----", regex.S)),
     ("secret", regex.compile(r"""(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b\s*[:=]\s*["']?(?P<v>[^\s"']{6,})""")),
@@ -46,11 +50,15 @@ PATTERNS = [
     ("email", regex.compile(r"(?P<v>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)")),
     ("iban", regex.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("card", regex.compile(r"(?<![\w.-])(?P<v>\d(?:[ -]?\d){12,18})(?![\w-])")),
+    ("ipv6", regex.compile(r"(?P<v>(?:(?<!\w)[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{0,4}){2,8}(?:(?:\.\d{1,3}){3})?)(?!\w|\.\d)")),
     ("ip", regex.compile(r"(?<![\w.])(?P<v>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\w]|\.\d)")),
     ("ssn", regex.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("phone", regex.compile(r"(?<![\w.])(?P<v>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3})(?![\w-])")),
+    ("phone", regex.compile(rf"(?P<v>(?:\+{_GAP}?|(?<![\w.,+-])00(?=[1-9]))\(?\d(?:(?:{_GAP}|\){_GAP}?|{_GAP}?\()?\d){{6,14}})(?!\d)")),
+    ("phone", regex.compile(r"(?<![\w.,+-])(?P<v>1?[2-9]\d{9}|0[1-9]\d{8,9}|[2-9]\d\d-\d{4})(?![\w-]|[.,]\d)")),
 ]
-_HINT = regex.compile(r"[\d@]|(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private key)")
+_GROUPED = next(pattern for kind, pattern in PATTERNS if kind == "phone")
+_HINT = regex.compile(r"[\d@]|::|(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private key)")
 _NAME = regex.compile(rf"\b(?:(?P<title>{'|'.join(_TITLES)})\.? )?(?P<first>{_CAP})(?: (?P<last>{_CAP}))?")
 
 
@@ -66,7 +74,12 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
                 digits = sum(c.isdigit() for c in m["v"])
-                if kind == "phone" and not (7 <= digits <= 15 and (m["v"][0] in "+(" or digits >= 9)):
+                if pattern is _GROUPED and not (7 <= digits <= 15 and (m["v"][0] in "+(" or digits >= 9)):
+                    continue
+                if kind == "card" and digits <= 15 and (text[m.start() - 1 : m.start()] == "+" or m["v"].startswith("00")):  # a phone number's
+                    continue
+                if kind == "ipv6":
+                    found += _ipv6_spans(m)
                     continue
                 if not (kind == "iban" and not _iban_valid(m["v"])):
                     found.append((*m.span("v"), kind))
@@ -95,6 +108,27 @@ def _iban_valid(value: str) -> bool:
     return len(v) >= 15 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _ipv6_spans(m: regex.Match) -> list[tuple[int, int, str]]:
+    """The address in a run of hexadecimal groups, without a colon of the sentence around it.
+
+    Two groups count only with a digit and a group of three characters, as
+    ``a::b`` and ``[1::2]`` are code.
+    """
+    a, b = m.span("v")
+    v = m["v"]
+    if v[0] == ":" and (v[1] != ":" or v[2:3] == ":"):
+        a, v = a + 1, v[1:]
+    if v[-1] == ":" and (v[-2] != ":" or v[-3:-2] == ":"):
+        b, v = b - 1, v[:-1]
+    try:
+        ipaddress.IPv6Address(v)
+    except ValueError:
+        return []
+    groups = [g for g in v.split(":") if g]
+    plain = len(groups) > 2 or "." in v or len(groups) == 2 and any(c.isdigit() for c in v) and max(map(len, groups)) > 2
+    return [(a, b, "ipv6")] if plain else []
+
+
 def luhn_digit(digits: str) -> str:
     """The check digit that follows ``digits``."""
     total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
@@ -144,6 +178,15 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     if kind == "ip":
         n = permuted(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "ipv6":
+        if draw > 8:
+            return str(ipaddress.IPv6Address(permuted(int(ipaddress.IPv6Address(value)), 1 << 128, key, tweak)))
+        head, _, tail = value.rpartition(":") if "." in value else (value, "", "")
+        hexadecimal = "".join(c for c in head if c != ":")
+        drawn = f"{permuted(int(hexadecimal or '0', 16), 16 ** len(hexadecimal), key, f'{tweak}|' + regex.sub('[^:]', '0', head)):0{len(hexadecimal)}x}"
+        digits = iter(drawn.upper() if any(c.isupper() for c in head) else drawn)
+        head = "".join(c if c == ":" else next(digits) for c in head)
+        return f"{head}:{surrogate('ip', tail, key, draw)}" if tail else head
     if kind == "secret" and regex.fullmatch("[0-9a-f]{16,}", value):
         return f"{permuted(int(value, 16), 16 ** len(value), key, f'{tweak}|{len(value)}'):0{len(value)}x}"
     if kind == "email":
@@ -151,7 +194,7 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     elif kind == "iban":
         free = [i >= 4 and c.isdigit() for i, c in enumerate(value)]
     elif kind == "phone" and value[0] == "+":
-        code = regex.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value).end()
+        code = regex.match(rf"\+\D*\d{{1,3}}(?={_GAP}|[()])|\+\D*\d", value).end()
         free = [i >= code for i in range(len(value))]
     elif kind == "card":
         free = [0 < i < len(value) - 1 for i in range(len(value))]
