@@ -31,6 +31,9 @@ _ROW = "_a long, _c long, _id long, _start long, _n int, _lead int, _fp int"
 _REMOVED = "_id long, _fp int, _from long, _to long"
 #: A group with more different blocks than this is compared window by window.
 WIDE = 4096
+#: An anchor with more rows than this (told by one in ``SAMPLE`` documents) is dealt by block from the start.
+HOT = 200_000
+SAMPLE = 16
 
 
 def _string_hashes(data: np.ndarray) -> np.ndarray:
@@ -84,15 +87,20 @@ def _ranges(ids: np.ndarray, fps: np.ndarray, start: np.ndarray, end: np.ndarray
     ids, fps, start, end = ids[order], fps[order], start[order], end[order]
     if len(ids):
         document = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])]))
-        reach = np.maximum.accumulate(end + document * (1 << 40)) - document * (1 << 40)
+        ends, rank = np.unique(end, return_inverse=True)
+        reach = ends[np.maximum.accumulate(rank + document * len(ends)) - document * len(ends)]
         new = np.concatenate([[True], (document[1:] != document[:-1]) | (start[1:] > reach[:-1])])
         first = np.flatnonzero(new)
         ids, fps, start, end = ids[first], fps[first], start[first], reach[np.append(first[1:] - 1, len(reach) - 1)]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["_id", "_fp", "_from", "_to"])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts as rows of ``_ROW``; copies within a batch become ranges to remove (``_n`` 0, end in ``_c``)."""
+def _occurrences(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts as rows of ``_ROW``; copies within a batch become ranges to remove (``_n`` 0, end in ``_c``).
+
+    A block of a ``hot`` anchor (sorted) gets a key of its own in ``_a`` and
+    a negative ``_lead`` (-1 less the lead), so that only its copies meet.
+    """
     for batch in batches:
         ids, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         parts = []
@@ -107,6 +115,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         copy = np.concatenate([[False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])]) if len(a) else np.zeros(0, bool)
         gone = _ranges(ids[row[copy]], fps[row[copy]], start[copy], start[copy] + windows[copy] + length - 1)
         own = ~copy
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, a), len(hot) - 1)] == a
+            a, lead = np.where(is_hot, mix(a ^ mix(c)), a), np.where(is_hot, -1 - lead, lead)
         spread = mix(np.arange(gone.num_rows).astype(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
@@ -122,46 +133,71 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         )
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], column: int, most_rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``most_rows`` rows of a sorted partition, never cut within a value of ``column``."""
+def _pieces(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """``rows, goes_on, large`` of a partition sorted by anchor and content, about ``most_rows`` rows each.
+
+    Anchors are whole, but one with over ``most_rows`` rows comes in several
+    pieces, all of them ``large``; one that ``goes_on`` continues the piece before.
+    """
     held: list[pa.RecordBatch] = []
+    n, large = 0, None
     for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) < most_rows:
+        if not batch.num_rows:
             continue
-        key = batch.column(column).to_numpy(zero_copy_only=False)
-        if not (key != key[-1]).any():
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        if large is not None:
+            more = int(np.searchsorted(key != large, True)) if (key != large).any() else len(key)
+            if more:
+                yield pa.Table.from_batches([batch.slice(0, more)]), True, True
+            if more == len(key):
+                continue
+            batch, key, large = batch.slice(more), key[more:], None
+        held.append(batch)
+        n += batch.num_rows
+        if n < most_rows:
             continue
-        last = int(np.flatnonzero(key != key[-1])[-1]) + 1
-        yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
-        held = [batch.slice(last)]
-    if held and sum(x.num_rows for x in held):
-        yield pa.Table.from_batches(held)
-
-
-def _judged(batches: Iterator[pa.RecordBatch], length: int, wide: int) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        key = table.column(0).to_numpy()
+        last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+        if last:
+            yield table.slice(0, last), False, False
+        held, n = table.slice(last).to_batches(), len(key) - last
+        if n >= most_rows:
+            yield table.slice(last), False, True
+            held, n, large = [], 0, key[-1]
+    if n:
+        yield pa.Table.from_batches(held), False, False
+
+
+def _judged(batches: Iterator[pa.RecordBatch], length: int, wide: int, most_rows: int = HOT) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, content and place: copies as ranges to remove, blocks of mixed groups as requests.
 
     Output rows are ``_REMOVED`` with ``_a`` (the group of a request, else
-    null) and ``_wide``. A group held here has one row for each block and task
-    at most, 28 bytes each.
+    null) and ``_wide``. About ``most_rows`` rows are held: blocks of an anchor
+    with more are all requested as wide, piece by piece.
     """
-    for table in _whole_groups(batches, 0, 200_000):
+    before = None
+    for table, goes_on, large in _pieces(batches, most_rows):
         a, c, ids, start, windows, lead, fps = (table.column(k).to_numpy().astype(np.int64) for k in ("_a", "_c", "_id", "_start", "_n", "_lead", "_fp"))
         ready = windows == 0
+        hot = large | (lead < 0)
+        lead = np.where(lead < 0, -1 - lead, lead)
         new_a = np.concatenate([[True], (a[1:] != a[:-1])])
         new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
+        if goes_on and c[0] == before:
+            new_c[0] = False
+        before = c[-1]
         group = np.cumsum(new_a) - 1
         different = np.bincount(group, new_c & ~ready).astype(np.int64)[group]
         gone = ready | ~new_c
-        asked = new_c & ~ready & (different > 1)
+        asked = new_c & ~ready & (hot | (different > 1))
         end = np.where(ready, c, start + windows + length - 1)
         # of a group of two blocks, only windows that both have at the same distance from the anchor can be equal
         low, high = -lead, windows - lead
         both_low, both_high = np.full(len(new_a), -(1 << 30)), np.full(len(new_a), 1 << 30)
         np.maximum.at(both_low, group[asked], low[asked])
         np.minimum.at(both_high, group[asked], high[asked])
-        pair = different == 2
+        pair = (different == 2) & ~hot
         low, high = np.where(pair, both_low[group], low), np.where(pair, both_high[group], high)
         asked &= low < high
         anchor = start + lead
@@ -170,7 +206,7 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int, wide: int) -> Iterat
             [
                 *(pa.concat_arrays([x, pa.array(y[asked], x.type)]) for x, y in zip(removed.columns, (ids, fps, anchor + low, anchor + high), strict=True)),
                 pa.array(np.concatenate([np.zeros(removed.num_rows, np.int64), a[asked]]), mask=np.concatenate([np.ones(removed.num_rows, bool), np.zeros(int(asked.sum()), bool)])),
-                pa.array(np.concatenate([np.zeros(removed.num_rows, bool), different[asked] > wide])),
+                pa.array(np.concatenate([np.zeros(removed.num_rows, bool), (hot | (different > wide))[asked]])),
             ],
             ["_id", "_fp", "_from", "_to", "_a", "_wide"],
         )
@@ -263,6 +299,9 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
                 group, held = a, {}
             if text in held:
                 copies.append((i, fp, start, start + len(text)))
+                if len(copies) >= 100_000:
+                    yield _ranges(*(np.array(x) for x in zip(*copies, strict=True)))
+                    copies.clear()
                 continue
             held[text] = len(texts)
             texts.append(text)
@@ -285,7 +324,7 @@ def _cut_out(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, in
     return b"".join(out) + text[last:], removed, runs
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = 1 << 20, wide: int = WIDE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = 1 << 20, wide: int = WIDE, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that starts earlier too.
 
     Earlier is in a document with a smaller id, or before in the same document;
@@ -304,7 +343,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     once a batch. Blocks that occur once end in that shuffle (some 30 bytes for
     40 of text). Text is shuffled for joins by id, and again only for blocks of
     groups that hold different blocks. Groups of more than ``wide`` blocks go by
-    the hash of each window instead of by their anchor. Shards are cut between
+    the hash of each window instead of by their anchor. Anchors of more than
+    ``hot`` rows, as one in ``SAMPLE`` documents tells, go that way without
+    meeting at all; one that the sample misses is read by one task in pieces.
+    Which way an anchor goes doesn't change the result. Shards are cut between
     groups at ``shard_bytes``.
     """
     if not 2 * K < length <= 127 + K:
@@ -313,8 +355,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).cast("int").alias("_fp"), text.alias("_text")
     )
-    found = base.mapInArrow(lambda batches: _occurrences(batches, length), _ROW).repartition("_a")
-    judged = stored(found.sortWithinPartitions("_a", "_c", "_id", "_fp", "_start").mapInArrow(lambda batches: _judged(batches, length, wide), f"{_REMOVED}, _a long, _wide boolean"))
+    none = np.zeros(0, np.uint64)
+    sampled = base.filter(F.pmod(F.xxhash64("_id", "_fp"), F.lit(SAMPLE)) == 0).mapInArrow(lambda batches: _occurrences(batches, length, none), _ROW)
+    common = sampled.filter("_n > 0").groupBy("_a").count().filter(F.col("count") * SAMPLE > hot).select("_a").collect()
+    often = np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64))
+    found = base.mapInArrow(lambda batches: _occurrences(batches, length, often), _ROW).repartition("_a")
+    judged = stored(found.sortWithinPartitions("_a", "_c", "_id", "_fp", "_start").mapInArrow(lambda batches: _judged(batches, length, wide, max(hot, 1)), f"{_REMOVED}, _a long, _wide boolean"))
     asked = judged.filter("_a IS NOT NULL").groupBy("_id", "_fp").agg(F.collect_list(F.struct("_a", "_from", "_to", "_wide")).alias("_asked"))
     texts = base.join(asked, ["_id", "_fp"]).dropDuplicates(["_id", "_fp"]).select("_id", "_fp", "_text", "_asked")
     contexts = texts.mapInArrow(lambda batches: _contexts(batches, length), "_a long, _id long, _fp int, _from long, _text binary")
