@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,41 +63,36 @@ def filter_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("file_id"), pdf(stream_object(1, names, _encoded("text", way))).alias("content"))
 
 
-def operator_pages(events: DataFrame) -> DataFrame:
-    """``file_id, page_number, content``: a page a user, an operator an event."""
+def operator_pages(events: DataFrame, block: int | None = None) -> DataFrame:
+    """``file_id, page_number, content``: an operator an event; a page a user, or one for each ``block`` of event ids of a user."""
     op = F.expr("CASE event_type WHEN 'view' THEN 'q' WHEN 'click' THEN 'Q' WHEN 'purchase' THEN 'BT' WHEN 'error' THEN 'ET' ELSE cast(event_id AS string) || ' w' END")
     ops = F.array_sort(F.collect_list(F.struct("event_id", op.alias("op"))))
-    return events.groupBy(F.col("user_id").cast("string").alias("file_id")).agg(ops.alias("ops")).select("file_id", F.lit(1).alias("page_number"), F.encode(F.array_join("ops.op", "\n"), "ISO-8859-1").alias("content"))
+    page = F.floor(F.col("event_id") / block) + 1 if block else F.lit(1)
+    return events.groupBy(F.col("user_id").cast("string").alias("file_id"), page.alias("page_number")).agg(ops.alias("ops")).select("file_id", "page_number", F.encode(F.array_join("ops.op", "\n"), "ISO-8859-1").alias("content"))
 
 
 def revision_files(orders: DataFrame) -> DataFrame:
-    """50 files; a revision an order year, each redefining the objects of that year's orders."""
+    """``f-n``, a file for each of 50 groups of customers and 200 objects; a revision an order year, which defines the object once for each order."""
     number, year = F.col("o_orderkey") % 200 + 10, F.year("o_orderdate")
-    last = orders.groupBy((F.col("o_custkey") % 50).alias("f"), year.alias("y"), number.alias("n")).agg(F.max("o_orderkey").alias("k"))
     text = one_object(F.col("n"), F.concat(F.lit("<< /Key "), F.col("k").cast("string"), F.lit(" >>")))
-    parts = F.array_sort(F.collect_list(F.struct("y", "n", text.alias("t"))))
-    return last.groupBy(F.col("f").cast("string").alias("file_id")).agg(parts.alias("p")).select("file_id", pdf(F.array_join("p.t", "")).alias("content"))
+    rows = orders.select((F.col("o_custkey") % 50).alias("f"), year.alias("y"), number.alias("n"), F.col("o_orderkey").alias("k"))
+    parts = F.array_sort(F.collect_list(F.struct("y", "k", text.alias("t"))))
+    return rows.groupBy(F.concat_ws("-", "f", "n").alias("file_id")).agg(parts.alias("p")).select("file_id", pdf(F.array_join("p.t", "")).alias("content"))
 
 
-def page_tree_file(region: DataFrame, nation: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Regions set MediaBox and Rotate, nations override Rotate, suppliers are the pages."""
+def page_tree_files(region: DataFrame, nation: DataFrame, supplier: DataFrame, block: int = 10_000) -> DataFrame:
+    """``r-n-b``, a file a nation and block of supplier keys: the region sets MediaBox and Rotate, the nation overrides Rotate, suppliers are the pages."""
     r, n, s = F.col("r_regionkey") + 10, F.col("n_nationkey") + 100, F.col("s_suppkey") + 1000
     ref = lambda c: F.concat(c.cast("string"), F.lit(" 0 R"))
-    pages = supplier.select(F.col("s_nationkey").alias("k"), s.alias("id"), one_object(s, F.when(F.col("s_acctbal") < 0, "<< /Type /Page /MediaBox [0 0 100 200] >>").otherwise("<< /Type /Page >>")).alias("t"))
-    kids = pages.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), ref), " ").alias("kids"))
-    nations = nation.join(kids, nation.n_nationkey == kids.k, "left").select(
-        "n_regionkey", n.alias("id"), one_object(n, F.concat(F.lit("<< /Type /Pages"), F.when(F.col("n_nationkey") % 3 == 0, " /Rotate 90").otherwise(""), F.lit(" /Kids ["), F.coalesce("kids", F.lit("")), F.lit("] >>"))).alias("t")
-    )
-    groups = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), ref), " ").alias("kids"))
-    regions = region.join(groups, region.r_regionkey == groups.n_regionkey).select(
-        r.alias("id"), one_object(r, F.concat(F.lit("<< /Type /Pages /Rotate "), (F.col("r_regionkey") * 180).cast("string"), F.lit(" /MediaBox [0 0 "), (F.col("r_regionkey") + 500).cast("string"), F.lit(" 800] /Kids ["), F.col("kids"), F.lit("] >>"))).alias("t")
-    )
-    root = regions.agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), ref), " ").alias("kids")).select(
-        F.lit(2).cast("long").alias("id"), F.concat(one_object(1, "<< /Type /Catalog /Pages 2 0 R >>"), one_object(2, F.concat(F.lit("<< /Type /Pages /Kids ["), F.col("kids"), F.lit("] >>")))).alias("t")
+    text = one_object(s, F.when(F.col("s_acctbal") < 0, "<< /Type /Page /MediaBox [0 0 100 200] >>").otherwise("<< /Type /Page >>"))
+    kids = supplier.groupBy(F.col("s_nationkey").alias("k"), F.floor(F.col("s_suppkey") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct(s.alias("id"), text.alias("t")))).alias("p"))
+    rows = kids.join(nation, kids.k == nation.n_nationkey).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    of_region = F.concat(F.lit("<< /Type /Pages /Rotate "), (F.col("r_regionkey") * 180).cast("string"), F.lit(" /MediaBox [0 0 "), (F.col("r_regionkey") + 500).cast("string"), F.lit(" 800] /Kids ["), ref(n), F.lit("] >>"))
+    of_nation = F.concat(F.lit("<< /Type /Pages"), F.when(F.col("n_nationkey") % 3 == 0, " /Rotate 90").otherwise(""), F.lit(" /Kids ["), F.array_join(F.transform("p.id", ref), " "), F.lit("] >>"))
+    body = F.concat(
+        one_object(1, "<< /Type /Catalog /Pages 2 0 R >>"), one_object(2, F.concat(F.lit("<< /Type /Pages /Kids ["), ref(r), F.lit("] >>"))), one_object(r, of_region), one_object(n, of_nation), F.array_join("p.t", "")
     )
-    parts = [x.select(F.col("id").cast("long").alias("id"), "t") for x in (root, regions, nations, pages)]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return every.agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("p")).select(F.lit("tree").alias("file_id"), pdf(F.array_join("p.t", "")).alias("content"))
+    return rows.select(F.concat_ws("-", "r_regionkey", "n_nationkey", "b").alias("file_id"), pdf(body).alias("content"))
 
 
 def damaged_files(labels: DataFrame) -> DataFrame:
@@ -107,9 +103,12 @@ def damaged_files(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id").distinct().select(F.col("doc_id").cast("string").alias("file_id"), F.encode(text, "ISO-8859-1").alias("content"))
 
 
-def xref_files(customer: DataFrame) -> DataFrame:
-    """A table a nation: one entry a customer, free where the balance is negative."""
+def xref_files(customer: DataFrame, block: int = 10_000) -> DataFrame:
+    """``n-b``, a table a nation and block of customer keys that goes on counting where the block before ends: one entry a customer, free where the balance is negative."""
     row = F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.lit(" 00000 "), F.when(F.col("c_acctbal") < 0, "f").otherwise("n"), F.lit(" "))
     rows = F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row"))))
-    body = F.concat(F.lit("xref\n5 "), F.size("r").cast("string"), F.lit("\n"), F.array_join("r.row", "\n"), F.lit("\ntrailer\n<< /Size 1 >>"))
-    return customer.groupBy(F.col("c_nationkey").cast("string").alias("file_id")).agg(rows.alias("r")).select("file_id", pdf(body).alias("content"))
+    keys = [F.col("c_nationkey").alias("n"), F.floor(F.col("c_custkey") / block).alias("b")]
+    earlier = W.partitionBy("n").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    first = customer.groupBy(*keys).count().select("n", "b", (F.coalesce(F.sum("count").over(earlier), F.lit(0)) + 5).alias("first"))
+    body = F.concat(F.lit("xref\n"), F.col("first").cast("string"), F.lit(" "), F.size("r").cast("string"), F.lit("\n"), F.array_join("r.row", "\n"), F.lit("\ntrailer\n<< /Size 1 >>"))
+    return customer.groupBy(*keys).agg(rows.alias("r")).join(first, ["n", "b"]).select(F.concat_ws("-", "n", "b").alias("file_id"), pdf(body).alias("content"))

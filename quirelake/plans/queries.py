@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.functions import file_size, hexdump, project_rect
@@ -41,7 +42,7 @@ def missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operations(fx.operator_pages(fx.table(spark, sf_dir, "events"))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return operations(fx.operator_pages(fx.table(spark, sf_dir, "events"), 10_000)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def op_nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,14 +52,17 @@ def op_nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def newest_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = newest(definitions(fx.revision_files(fx.table(spark, sf_dir, "orders"))))
-    return last.select(F.col("file_id").cast("long").alias("file"), "number", number_of(F.col("dictionary"), "Key").cast("long").alias("order_key"))
+    return last.select(F.split_part("file_id", F.lit("-"), F.lit(1)).cast("long").alias("file"), "number", number_of(F.col("dictionary"), "Key").cast("long").alias("order_key"))
 
 
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file = fx.page_tree_file(*(fx.table(spark, sf_dir, t) for t in ("region", "nation", "supplier")))
-    found = pages(objects(file))
-    return found.select(
-        F.col("page_number").cast("long").alias("page_number"), "object_id", F.col("media_box")[2].cast("long").alias("width"), F.col("media_box")[3].cast("long").alias("height"), F.col("rotation").cast("long").alias("rotation")
+    """Pages count on from file to file; only the files' numbers of pages meet in one task."""
+    files = fx.page_tree_files(*(fx.table(spark, sf_dir, t) for t in ("region", "nation", "supplier")))
+    found = pages(objects(files))
+    earlier = W.orderBy(F.transform(F.split("file_id", "-"), lambda x: x.cast("long"))).rowsBetween(W.unboundedPreceding, -1)
+    before = found.groupBy("file_id").count().select("file_id", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    return found.join(before, "file_id").select(
+        (F.col("page_number") + F.col("before")).cast("long").alias("page_number"), "object_id", F.col("media_box")[2].cast("long").alias("width"), F.col("media_box")[3].cast("long").alias("height"), F.col("rotation").cast("long").alias("rotation")
     )
 
 
@@ -82,7 +86,7 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xref_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = xref_rows(fx.xref_files(fx.table(spark, sf_dir, "customer")))
-    return rows.select(F.col("file_id").cast("long").alias("nation"), F.col("number").cast("long").alias("number"), "type", "offset")
+    return rows.select(F.split_part("file_id", F.lit("-"), F.lit(1)).cast("long").alias("nation"), F.col("number").cast("long").alias("number"), "type", "offset")
 
 
 def overlay_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
