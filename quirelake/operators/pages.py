@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.functions import rotation
+from quirelake.llm.common import cut
 
 from .objects import name_of, number_of, numbers_of, ref_of, refs_of
 
 _INHERITED = ("media_box", "crop_box", "rotate", "resources")
 
 
-def pages(found: DataFrame, max_depth: int = 64) -> DataFrame:
+def pages(found: DataFrame) -> DataFrame:
     """``file_id, page_number, object_id, media_box, crop_box, rotation, resources, contents`` of each page.
 
-    Walks all files at once, one level of the trees a join; a node is reached
-    along its first path only, so cycles end. Pages are numbered from 1 in
+    Walks all files at once, one level of the trees a join, down to the deepest
+    page; levels are cut from their lineage, so that a deep tree makes no large
+    plan. A node is not met again below itself, so cycles end. Pages are numbered from 1 in
     document order. MediaBox defaults to four zeros.
     """
     d = F.col("dictionary")
@@ -25,10 +29,11 @@ def pages(found: DataFrame, max_depth: int = 64) -> DataFrame:
         "file_id", "object_id", name_of(d, "Type").alias("type"), refs_of(d, "Kids").alias("kids"), refs_of(d, "Contents").alias("contents"),
         numbers_of(d, "MediaBox").alias("media_box"), numbers_of(d, "CropBox").alias("crop_box"), number_of(d, "Rotate").alias("rotate"), ref_of(d, "Resources").alias("resources"),
     ).filter(F.col("type").isin("Page", "Pages"))
+    nodes = cut(nodes)
     roots = found.filter(name_of(d, "Type") == "Catalog").select("file_id", ref_of(d, "Pages").alias("object_id"))
-    level = roots.join(nodes, ["file_id", "object_id"]).withColumns({"path": F.array(F.lit(0)), "seen": F.array("object_id")})
+    level = cut(roots.join(nodes, ["file_id", "object_id"]).withColumns({"path": F.array(F.lit(0)), "seen": F.array("object_id")}))
     done = level.filter("type = 'Page'")
-    for _ in range(max_depth):
+    for depth in itertools.count(1):
         level = level.filter("type = 'Pages'")
         if level.isEmpty():
             break
@@ -37,7 +42,10 @@ def pages(found: DataFrame, max_depth: int = 64) -> DataFrame:
         level = own.select(
             "file_id", "object_id", "type", "kids", "contents", *[F.coalesce(c, f"_{c}").alias(c) for c in _INHERITED], F.array_append("path", F.col("at")).alias("path"), F.array_append("seen", F.col("object_id")).alias("seen")
         )
+        level = cut(level)
         done = done.unionByName(level.filter("type = 'Page'"))
+        if depth % 16 == 0:
+            done = cut(done)
     first = done.groupBy("file_id", "object_id").agg(F.min_by(F.struct("path", "media_box", "crop_box", "rotate", "resources", "contents"), "path").alias("p"))
     number = F.row_number().over(W.partitionBy("file_id").orderBy("p.path"))
     return first.select(
