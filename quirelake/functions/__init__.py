@@ -106,9 +106,14 @@ def fingerprint(content: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(":"), F.substring(F.sha2(sample, 256), 1, 16))
 
 
-def hexdump(content: Column, limit: int = 4096) -> Column:
-    """Array of ``offset, hex, ascii`` rows of 16 bytes of the first ``limit`` bytes."""
-    shown = F.substring(content, 1, limit)
+def hidden_bytes(content: Column, limit: int = 4096) -> Column:
+    """How many bytes ``hexdump`` with this ``limit`` does not show."""
+    return F.greatest(F.octet_length(content) - limit, F.lit(0))
+
+
+def hexdump(content: Column, limit: int | None = 4096) -> Column:
+    """Array of ``offset, hex, ascii`` rows of 16 bytes of the first ``limit`` bytes (of all for None)."""
+    shown = content if limit is None else F.substring(content, 1, limit)
     n = F.octet_length(shown)
 
     def row(start: Column) -> Column:

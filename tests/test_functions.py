@@ -4,7 +4,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 import quirelake.plans.queries as queries
-from quirelake.functions import file_size, project_rect
+from quirelake.functions import file_size, hexdump, hidden_bytes, project_rect
 
 
 def test_file_size_against_brute_force(spark):
@@ -55,3 +55,10 @@ def test_overlay_query_reaches_every_rotation(spark, monkeypatch):
     turn, pixels, box = seen[0]
     varied = spark.read.parquet(f"{path}/supplier.parquet").select(turn.alias("t"), pixels[0].alias("p"), box[0].alias("x"), (pixels[1] / box[3]).alias("s")).agg(*[F.count_distinct(c) for c in "tpxs"]).first()
     assert varied[0] == 4 and min(varied) > 1
+
+
+def test_hexdump_of_whole_values(spark):
+    data = bytes(i * 7 % 256 for i in range(10_001))
+    row = spark.createDataFrame([(data, b"ab")], "d binary, s binary").select(hexdump(F.col("d"), None).alias("all"), hexdump(F.col("d")).alias("cut"), hidden_bytes(F.col("d")).alias("left"), hidden_bytes(F.col("s")).alias("none")).first()
+    assert b"".join(bytes.fromhex(r.hex) for r in row["all"]) == data and row["all"][-1].offset == "00002710"
+    assert len(row.cut) == 256 and (row.left, row.none) == (5905, 0)
