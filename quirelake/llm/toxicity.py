@@ -82,8 +82,7 @@ def _evidence(mine: list[bytes], other: list[bytes], min_contexts: int, most: in
     pieces = sorted(p for p, n in counts.items() if n >= min_contexts)
     total, left = np.zeros(len(pieces), int), np.arange(len(pieces))
     for shard, (a, b) in enumerate(zip(mine, other, strict=True)):
-        n = min(len(a), len(b))
-        near, far = _against(a[:n]), _against(b[:n])
+        near, far = _against(a), _against(b)
         total[left] += np.clip([far(pieces[i]) - near(pieces[i]) for i in left], -most, most).astype(int)
         left = left[total[left] >= shard - 1]
     evidence = np.full(len(pieces), -1)
@@ -102,8 +101,9 @@ def peculiar_stretches(toxic: list[bytes], ordinary: list[bytes], *, shard_bytes
     measure with the classes exchanged: the least sum that ``odds`` times as
     many words of toxic text reach as words of ordinary text.
     """
-    k = max(2, min(shards, sum(map(len, toxic)) // (1 << 14)))
-    sides = _shards(toxic, k, shard_bytes), _shards(ordinary, k, shard_bytes)
+    k = max(2, min(shards, sum(map(len, toxic)) // (1 << 13)))
+    dealt = zip(_shards(toxic, k, shard_bytes), _shards(ordinary, k, shard_bytes), strict=True)
+    sides = [list(side) for side in zip(*((a[: len(b)], b[: len(a)]) for a, b in dealt), strict=True)]
     (pieces, ours), (_, theirs) = _evidence(*sides, min_contexts, most), _evidence(*sides[::-1], min_contexts, most)
     threshold = next((t for t in range(1, k * most + 1) if (ours >= t).sum() >= odds * (theirs >= t).sum()), k * most + 1)
     kept = {p.strip(b" ") for p, e in zip(pieces, ours, strict=True) if e >= threshold}
