@@ -3,54 +3,53 @@
 The document by n-gram incidence matrix is cut down by bounds that follow from
 the sizes: with n-grams in one global order, rarest first, two documents that
 reach the threshold share a column among the first ``n - ceil(t * n) + 1`` of
-each. Spark holds those columns in blocks by hash; pairs that meet in a column
-and pass the size bound get their full overlap counted, block by block of pairs.
+each. Pairs that meet in such a column and pass the bounds are multiplied:
+their rows are dealt into blocks of columns, Spark joins the blocks of a pair,
+and the overlap counts of its blocks add up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, stored
 from .components import connected_components
 from .tokens import mix, shingle_sets, text_chunks, words
 
-#: The frequency sketch has a fixed size: 2**18 counters, 2 MB.
-SKETCH_BITS = 18
+#: The frequency sketch has a fixed size: 2**22 counters, 16 MB.
+SKETCH_BITS = 22
+#: Blocks of columns into which a row of the matrix is dealt for the product.
+COLUMN_BITS = 3
 _SLICES = 16
 _FAN_IN = 256
 _PARITY_BITS = 512
 
 
-def _wide_parity(h: np.ndarray) -> tuple[bytes, bytes]:
+def _wide_parity(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parities of a set over as many hash ranges as it has n-grams, rounded up to a power of two, and over half as many."""
-    bits = 1 << max(6, int(len(h) - 1).bit_length())
+    bits = 1 << max(7, int(len(h) - 1).bit_length())
     odd = np.bincount((mix(h + np.uint64(5)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     half = odd[: bits // 2] ^ odd[bits // 2 :]
-    return np.packbits(odd.astype(np.uint8)).tobytes(), np.packbits(half.astype(np.uint8)).tobytes()
+    return tuple(np.packbits(x.astype(np.uint8)).view(np.int64) for x in (odd, half))
 
 
-@F.pandas_udf(T.LongType())
-def _apart(wide_a: pd.Series, half_a: pd.Series, wide_b: pd.Series, half_b: pd.Series) -> pd.Series:
+def _apart(wide_a: Column, half_a: Column, wide_b: Column, half_b: Column) -> Column:
     """In how many n-grams two sets differ at least, by wide parities of one width; 0 if they have none."""
 
-    def least(*parities: bytes | None) -> int:
-        wide, half, wide2, half2 = parities
-        for x, y in ((wide, wide2), (half, wide2), (wide, half2)):
-            if x is not None and y is not None and len(x) == len(y):
-                return int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum())
-        return 0
+    def least(x: Column, y: Column) -> Column:
+        differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.when(F.size(x) == F.size(y), differ)
 
-    return pd.Series([least(*p) for p in zip(wide_a, half_a, wide_b, half_b, strict=True)], dtype="int64")
+    return F.coalesce(least(wide_a, wide_b), least(half_a, wide_b), least(wide_a, half_b), F.lit(0))
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -68,22 +67,27 @@ def column_counts(docs: DataFrame, n: int) -> np.ndarray:
     """Documents of each n-gram hash range, over the whole table; the size is fixed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for _, h, _ in _chunks(batches, n):
-            total += np.bincount(_bucket(h), minlength=1 << SKETCH_BITS)
-        parts = [x.tobytes() for x in np.split(total, _SLICES)]
+            np.add.at(total, _bucket(h), 1)
+        parts = [x.tobytes() for x in np.split(np.minimum(total, 255).astype(np.uint8), _SLICES)]  # only an order is wanted
         fan = TaskContext.get().partitionId() // _FAN_IN
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([fan] * _SLICES, pa.int32()), pa.array(parts, pa.binary())], ["slice", "fan", "counts"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "fan": [np.int32(0)], "counts": [total.tobytes()]})
+    def add(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros((1 << SKETCH_BITS) // _SLICES, np.int32)
+            for x in group["counts"]:
+                total += np.frombuffer(x, kind)
+            return pd.DataFrame({"slice": [group["slice"].iloc[0]], "fan": [np.int32(0)], "counts": [total.tobytes()]})
+
+        return run
 
     schema = "slice int, fan int, counts binary"
-    parts = docs.mapInArrow(count, schema).groupBy("slice", "fan").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
-    total = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.int64)
-    for row in parts.collect():
-        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    parts = docs.mapInArrow(count, schema).groupBy("slice", "fan").applyInPandas(add(np.uint8), schema).groupBy("slice").applyInPandas(add(np.int32), schema)
+    total = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.int32)
+    for row in parts.toLocalIterator():
+        total[row["slice"]] = np.frombuffer(row["counts"], np.int32)
     return total.ravel()
 
 
@@ -115,50 +119,68 @@ def _incidence(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
             parity = pa.StructArray.from_arrays([pa.array(bits[:, i].copy()) for i in range(bits.shape[1])], [f"p{i}" for i in range(bits.shape[1])])
             wide = [_wide_parity(h[a:b]) if b - a > _PARITY_BITS else (None, None) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            wide = [pa.array([w[k] for w in wide], pa.binary()) for k in (0, 1)]
+            wide = [pa.array([w[k] for w in wide], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), *map(pa.array, sums), columns, parity, *wide], ["_id", "_n", "_c1", "_c2", "_columns", "_parity", "_wide", "_half"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>, _parity struct<{', '.join(f'p{i}: bigint' for i in range(_PARITY_BITS // 64))}>, _wide binary, _half binary")
+    return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>, _parity struct<{', '.join(f'p{i}: bigint' for i in range(_PARITY_BITS // 64))}>, _wide array<bigint>, _half array<bigint>")
+
+
+def _rows_in_blocks(docs: DataFrame, n: int) -> DataFrame:
+    """``_id, _class, _block, _cols``: rows of the incidence matrix, dealt into blocks of columns; ``_class`` is the set's hash."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, h, offsets in _chunks(batches, n):
+            if not len(h):
+                continue
+            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            filled = np.flatnonzero(np.diff(offsets))
+            sums = np.zeros(len(ids), np.uint64)
+            sums[filled] = np.add.reduceat(mix(h + np.uint64(1)), offsets[:-1][filled])
+            block = (h >> np.uint64(64 - COLUMN_BITS)).astype(np.int64)  # sets are sorted, so blocks are runs
+            starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])])
+            ends = np.append(starts[1:], len(h)) * 8
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts * 8, ends[-1:]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
+            at = owner[starts]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(mix(sums).view(np.int64)[at]), pa.array(block[starts], pa.int32()), packed], ["_id", "_class", "_block", "_cols"])
+
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.select("_id", "_text").mapInArrow(rows, f"_id {kind}, _class long, _block int, _cols binary")
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Counts the common columns of the pairs ``(a, b, text of a, text of b)`` of a batch."""
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``overlap``, the number of common columns, to blocks of pairs ``(a, b, _ca, _cb, _xa, _xb)``."""
     for whole in batches:
-        size = pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy(zero_copy_only=False)
+        size = pc.add(pc.binary_length(whole.column(4)), pc.binary_length(whole.column(5))).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(size), 0
         while start < whole.num_rows:
-            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (2 << 20), "right")))
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (8 << 20), "right")))
             batch = whole.slice(start, end - start)
             start = end
             h, pair = [], []
-            for column in batch.columns[2:]:
-                row0 = 0
-                for row, stop, data, offsets in text_chunks(column):
-                    word, rows, _, _ = words(data, offsets)
-                    sh, at = shingle_sets(word, rows, stop - row, n)
-                    h.append(sh)
-                    pair.append(np.repeat(np.arange(row0, row0 + stop - row), np.diff(at)))
-                    row0 += stop - row
+            for column in batch.columns[4:]:
+                lengths = pc.binary_length(column).to_numpy(zero_copy_only=False) // 8
+                h.append(np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint64))
+                pair.append(np.repeat(np.arange(batch.num_rows), lengths))
             h, pair = np.concatenate(h), np.concatenate(pair)
             order = np.lexsort((h, pair))
             h, pair = h[order], pair[order]
             same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
             common = np.bincount(pair[1:][same], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "overlap"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], ["a", "b", "_ca", "_cb", "overlap"])
 
 
-def _likely(texts: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """``texts`` without most rows whose ``_id`` is not in ``ids(_id)``, by a bitmap of fixed size.
+def _likely(rows: DataFrame, keys: DataFrame, name: str, bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``name`` is not in ``keys(name)``, by a bitmap of fixed size.
 
     The bitmap has at most ``2**(bits - 6)`` rows of 64 bits, so it can be
     broadcast whatever the input; it only saves shuffling, a join must follow.
     """
-    slot = F.shiftrightunsigned(F.xxhash64("_id"), 64 - bits)
+    slot = F.shiftrightunsigned(F.xxhash64(name), 64 - bits)
     page, bit = F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
-    pages = ids.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    kept = texts.withColumns({"_page": page, "_bit": bit}).join(F.broadcast(pages), "_page")
-    return kept.filter("getbit(_bits, _bit) = 1").select(*texts.columns)
+    pages = keys.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    kept = rows.withColumns({"_page": page, "_bit": bit}).join(F.broadcast(pages), "_page")
+    return kept.filter("getbit(_bits, _bit) = 1").select(*rows.columns)
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -183,20 +205,21 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     a large group of copies needs one comparison for each member.
 
     At scale: a column's rows are aggregated before the shuffle, joins are
-    equi-joins that AQE can split, and the only thing broadcast by hand is the
-    frequency sketch of 2 MB.
+    equi-joins that AQE can split, and what is broadcast by hand has a fixed
+    size: the frequency sketch of 16 MB and bitmaps of 2**18 rows.
     """
     num, den = share
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
-    meta = cut(_incidence(base, n, share))
+    wide = _incidence(base, n, share)  # read twice, as writing its columns for every row would cost more
+    meta = cut(wide.select("_id", "_n", "_c1", "_c2"))
     # one row for each different set, so that copies of a text are compared once
-    classes = cut(
-        meta.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"), F.first("_parity").alias("_parity"), F.first("_wide").alias("_wide"), F.first("_half").alias("_half"))
+    classes = stored(
+        wide.filter("_n > 0 AND _id IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_columns").alias("_columns"), F.first("_parity").alias("_parity"), F.first("_wide").alias("_wide"), F.first("_half").alias("_half"))
     )
     index = classes.select(F.explode("_columns").alias("_column"), "_rep", "_n")
-    shared = index.groupBy("_column").agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last")).filter("_lead <> _last").drop("_last")
-    members = cut(index.join(shared, "_column"))
+    shared = cut(index.groupBy("_column").agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last")).filter("_lead <> _last").drop("_last"))
+    members = stored(_likely(index, shared, "_column").join(shared, "_column"))
     apart = sum((F.bit_count(F.col(f"_pa.p{i}").bitwiseXOR(F.col(f"_pb.p{i}"))) for i in range(_PARITY_BITS // 64)), F.lit(0))
     # what follows from the sizes, and from how many n-grams the sets differ in at least
     near = (F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num) & (apart * (den + num) <= (F.col("_na") + F.col("_nb")) * (den - num))
@@ -208,14 +231,15 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         """``pairs(a, b, _sum)`` without pairs of long sets that differ too much."""
         for x in "ab":
             pairs = pairs.join(long_sets.select(F.col("_rep").alias(x), F.col("_wide").alias(f"_w{x}"), F.col("_half").alias(f"_h{x}")), x, "left")
-        return pairs.filter(_apart("_wa", "_ha", "_wb", "_hb") * (den + num) <= F.col("_sum") * (den - num)).select("a", "b", "_sum")
+        return pairs.filter(_apart(*map(F.col, ("_wa", "_ha", "_wb", "_hb"))) * (den + num) <= F.col("_sum") * (den - num)).select("a", "b", "_sum")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs(a, b, _sum)``: each text goes to its pairs, then the pairs to the other text."""
-        texts = _likely(base.filter("_id IS NOT NULL"), cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()))
-        left = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_text_b")).join(pairs.select("a", "b"), "b")
-        both = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_text_a")).join(left, "a").select("a", "b", "_text_a", "_text_b")
-        found = both.mapInArrow(lambda batches: _overlaps(batches, n), f"a {kind}, b {kind}, overlap long").groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
+        """The links among ``pairs(a, b, _sum)``: blocks of one row go to its pairs, then the pairs to the blocks of the other."""
+        rows = _rows_in_blocks(_likely(base.filter("_id IS NOT NULL"), cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()), "_id"), n)
+        left = rows.select(F.col("_id").alias("a"), F.col("_class").alias("_ca"), "_block", F.col("_cols").alias("_xa")).join(pairs.select("a", "b"), "a")
+        both = rows.select(F.col("_id").alias("b"), F.col("_class").alias("_cb"), "_block", F.col("_cols").alias("_xb")).join(left, ["b", "_block"])
+        counts = both.select("a", "b", "_ca", "_cb", "_xa", "_xb").mapInArrow(_overlaps, f"a {kind}, b {kind}, _ca long, _cb long, overlap long")
+        found = counts.groupBy("a", "b", "_ca", "_cb").agg(F.sum("overlap").alias("overlap")).groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
         return pairs.join(found, ["a", "b"]).filter((F.col("_sum") - F.col("overlap")) * num <= F.col("overlap") * den).select("a", "b")
 
     met = members.filter("_rep <> _lead").select(F.col("_lead").alias("a"), F.col("_rep").alias("b")).distinct()
