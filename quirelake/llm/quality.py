@@ -154,14 +154,15 @@ def _fit_scorer(texts: list[str], target: np.ndarray, steps: int = 150, rate: fl
     return w, float(bias)
 
 
-def fit_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", clear: float = 0.9, max_train_rows: int = 6000, max_train_chars: int = 10_000) -> QualityModel:
+def fit_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", clear: float = 0.9, max_train_rows: int = 6000, max_passages: int = 5, passage_chars: int = 2000) -> QualityModel:
     """The label model from the votes on all documents, the scorer from a bounded sample.
 
     At most 3**8 vote patterns with their counts reach the driver. The scorer
     learns from at most ``max_train_rows`` documents (half of each kind, the
     smallest by the hash of the id) whose posterior is at least ``clear`` either
-    way, and from their first ``max_train_chars`` characters; if one kind has
-    none, every document gets the prior.
+    way, and from ``max_passages`` passages of ``passage_chars`` characters of
+    each, chosen by hash over the whole text; if one kind has none, every
+    document gets the prior.
     """
 
     @F.pandas_udf("int")
@@ -179,7 +180,9 @@ def fit_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         chosen = cast.filter(F.col("_id").isNotNull() & F.col("_pattern").isin(kind.tolist())).dropDuplicates(["_id"])
         parts.append(chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_train_rows // 2))
     sample = parts[0].unionByName(parts[1])  # its size is bounded by max_train_rows
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col).cast("string"), 1, max_train_chars).alias("_text"))
+    passages = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(f"(?s).{{1,{passage_chars}}}"), F.lit(0))
+    some = F.slice(F.array_sort(F.transform(passages, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, max_passages)
+    texts = docs.select(F.col(id_col).alias("_id"), F.array_join(some["x"], " ").alias("_text"))
     rows = texts.join(F.broadcast(sample), "_id").toPandas().sort_values("_id", kind="stable").drop_duplicates("_id")
     target = labels.posterior(rows["_pattern"].to_numpy(np.int64)) if len(rows) else np.zeros(0)
     if not ((target > 0.5).any() and (target <= 0.5).any()):
@@ -206,5 +209,8 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
             found = texts.tolist()
             yield pd.DataFrame({score_col: scorer.scores(found), weak_col: posterior[[pattern(votes(t)) for t in found]]})
 
-    both = docs.withColumn("_quality", score(F.col(text_col).cast("string")))
-    return both.withColumns({score_col: F.col("_quality")[score_col], weak_col: F.col("_quality")[weak_col]}).drop("_quality")
+    held = "_quality"
+    while held in docs.columns:
+        held += "_"
+    both = docs.withColumn(held, score(F.col(text_col).cast("string")))
+    return both.withColumns({score_col: F.col(held)[score_col], weak_col: F.col(held)[weak_col]}).drop(held)
