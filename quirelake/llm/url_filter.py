@@ -21,6 +21,10 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 FEATURES = ("length", "host_length", "host_labels", "depth", "digit_ratio", "hyphens", "entropy", "params", "has_fragment", "secure", "suffix_rate", "label_rate", "section_rate")
 
 
+#: Folds of the statistics that the trees are trained with.
+FOLDS = 5
+
+
 def with_parts(pages: DataFrame, url_col: str) -> DataFrame:
     """Adds ``host``, ``path`` and the query string of ``url_col``."""
     rest = F.regexp_extract(url_col, r"(?s)^.*?://(.*)$", 1)
@@ -87,7 +91,9 @@ def judge_urls(
     learn from the distinct URLs that rules label, at most ``max_train_rows``
     of them (the smallest by hash: the fit is bounded, the scoring covers every
     row). Statistics of suffix, first host label and first path part are rates
-    of blocked URLs over all labelled rows, smoothed by the overall rate.
+    of blocked URLs over all labelled rows, smoothed by the overall rate; for a
+    URL that trains the trees, over the rows of the other folds (``FOLDS`` by
+    hash of the URL), so that no tree sees a URL's own label in its features.
 
     Edge cases: a null URL, or one without ``://``, has an empty host and path,
     fits no rule and is judged by the trees; with labels of one kind only that
@@ -100,29 +106,32 @@ def judge_urls(
     rows = lexical(parts, "_url")
     labelled = rows.filter(F.col("_rule").isNotNull()).withColumn("_y", (F.col("_rule.verdict") == "block").cast("double"))
     by_name = [("_suffix", "suffix_rate"), ("_label", "label_rate"), ("_section", "section_rate")]
-    # one pass for the labels' totals and the three statistics
-    stats = cut(
-        labelled.select("_y", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k, _ in by_name])).alias("_s"))
-        .groupBy("_s.kind", "_s.value")
+    # one pass for the labels' totals and the three statistics by fold
+    labelled = labelled.withColumn("_fold", F.pmod(F.xxhash64("_url", F.lit("fold")), F.lit(FOLDS)))
+    by_fold = cut(
+        labelled.select("_y", "_fold", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k, _ in by_name])).alias("_s"))
+        .groupBy("_s.kind", "_s.value", "_fold")
         .agg(F.sum("_y").alias("_blocked"), F.count(F.lit(1)).alias("_n"))
     )
+    stats = cut(by_fold.groupBy("kind", "value").agg(F.sum("_blocked").alias("_blocked"), F.sum("_n").alias("_n")))
+    others = stats.withColumnsRenamed({"_blocked": "_b", "_n": "_m"}).join(by_fold, ["kind", "value"]).select("kind", "value", "_fold", (F.col("_b") - F.col("_blocked")).alias("_blocked"), (F.col("_m") - F.col("_n")).alias("_n"))
     total = stats.filter(F.col("kind") == "_suffix").agg(F.coalesce(F.sum("_blocked"), F.lit(0.0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     prior = total[0] / total[1] if total[1] else 0.0
     if 0 < total[0] < total[1]:
 
-        def rated(df: DataFrame) -> DataFrame:
+        def rated(df: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
             for kind, name in by_name:
-                one = stats.filter(F.col("kind") == kind).select(F.col("value").alias(kind), ((F.col("_blocked") + 20 * prior) / (F.col("_n") + 20)).alias(name))
-                df = df.join(one, kind, "left").withColumn(name, F.coalesce(name, F.lit(prior)))
+                one = counts.filter(F.col("kind") == kind).select(F.col("value").alias(kind), *keys, ((F.col("_blocked") + 20 * prior) / (F.col("_n") + 20)).alias(name))
+                df = df.join(one, [kind, *keys], "left").withColumn(name, F.coalesce(name, F.lit(prior)))
             return df
 
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
         sample = labelled.dropDuplicates(["_url"]).orderBy(F.xxhash64("_url"), "_url").limit(max_train_rows)
         model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=7, predictionCol="_p").fit(
-            cut(assemble.transform(rated(sample)).select("_x", "_y").coalesce(8))
+            cut(assemble.transform(rated(sample, others, "_fold")).select("_x", "_y").coalesce(8))
         )
         open_rows = rows.filter(F.col("_rule").isNull())
-        scored = model.transform(assemble.transform(rated(open_rows))).withColumn("_score", vector_to_array("probability")[1])
+        scored = model.transform(assemble.transform(rated(open_rows, stats))).withColumn("_score", vector_to_array("probability")[1])
     else:
         scored = rows.filter(F.col("_rule").isNull()).withColumn("_score", F.lit(float(prior)))
     keep = ["_id", "_url", "host", "path", "_rule"]
