@@ -9,9 +9,11 @@ whose surrogate is taken or is a real entity; they get the next draw.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import ipaddress
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,15 +61,19 @@ PATTERNS = [
 ]
 _GROUPED = next(pattern for kind, pattern in PATTERNS if kind == "phone")
 _HINT = regex.compile(r"[\d@]|::|(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private key)")
+#: Words after which a person is named.
+CUES = ("my name is", "name is", "name:", "i am", "i'm", "this is", "dear", "contact", "contact person:", "attn:", "attn.", "signed,", "regards,", "sincerely,", "from:", "to:", "author:", "written by", "mein name ist", "ich heiße", "sehr geehrter", "sehr geehrte", "liebe", "lieber", "je m'appelle", "mon nom est", "cher", "chère", "me llamo", "mi nombre es", "estimado", "estimada", "меня зовут", "με λένε")
+_CUED = regex.compile(rf"(?<!\w)(?i:{'|'.join(map(regex.escape, CUES))})[ \t]+(?P<first>{_CAP}) (?P<last>{_CAP})\b")
 _NAME = regex.compile(rf"\b(?:(?P<title>{'|'.join(_TITLES)})\.? )?(?P<first>{_CAP})(?: (?P<last>{_CAP}))?")
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the entities of a text, in order, none overlapping.
 
-    A name is a known given name with the capitalised word after it, or a
-    capitalised word after a title; a surname found so is found wherever else
-    it stands in the document, so that short mentions go with the full one.
+    A name is a known given name with the capitalised word after it, a
+    capitalised word after a title, or two of them after a cue such as ``my
+    name is``; a name found so is found wherever else it stands in the
+    document, so that short mentions go with the full one.
     """
     found: list[tuple[int, int, str]] = []
     if _HINT.search(text):
@@ -84,13 +90,18 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 if not (kind == "iban" and not _iban_valid(m["v"])):
                     found.append((*m.span("v"), kind))
     surnames: set[str] = set()
-    for m in _NAME.finditer(text):
+    for m in _CUED.finditer(text):
+        for part in ("first", "last"):
+            if m[part] not in _POOL_OF:
+                found.append((*m.span(part), "surname"))
+                surnames.add(m[part])
+    for m in _NAME.finditer(text, overlapped=True):
         if m["first"] in _POOL_OF:
             found.append((*m.span("first"), "given"))
             if m["last"]:
                 found.append((*m.span("last"), "surname"))
                 surnames.add(m["last"])
-        elif m["title"]:
+        elif m["title"] and (m["last"] or m["first"]) not in _POOL_OF:
             found.append((*m.span("last" if m["last"] else "first"), "surname"))
             surnames.add(m["last"] or m["first"])
     if surnames:
@@ -152,13 +163,22 @@ def permuted(number: int, size: int, key: bytes, tweak: str) -> int:
     return number
 
 
+@functools.cache
+def class_of(character: str) -> str:
+    """The characters that may stand for one: its class, or for letters of other scripts those like it nearby; "" for none."""
+    if character in _CLASS_OF or not character.isalpha():
+        return _CLASS_OF.get(character, "")
+    first, kind = ord(character) & ~63, unicodedata.category(character)
+    return "".join(c for c in map(chr, range(first, first + 64)) if unicodedata.category(c) == kind and c not in _CLASS_OF)
+
+
 def _reformatted(value: str, free: list[bool], key: bytes, tweak: str) -> str:
     """``value`` with its free characters permuted within their classes."""
-    places = [(i, _CLASS_OF[c]) for i, c in enumerate(value) if free[i] and c in _CLASS_OF]
+    places = [(i, class_of(c)) for i, c in enumerate(value) if free[i] and class_of(c)]
     number, size = 0, 1
     for i, alphabet in places:
         number, size = number * len(alphabet) + alphabet.index(value[i]), size * len(alphabet)
-    shape = "".join(_CLASS_OF[c][0] if f and c in _CLASS_OF else c for c, f in zip(value, free, strict=True))
+    shape = "".join(class_of(c)[0] if f and class_of(c) else c for c, f in zip(value, free, strict=True))
     number = permuted(number, size, key, f"{tweak}|{shape}")
     out = list(value)
     for i, alphabet in reversed(places):
@@ -172,9 +192,10 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     tweak = f"{kind}|{draw}"
     free = [True] * len(value)
     if kind == "given":
+        # the next one in a keyed cycle of the pool, so that no name stands for itself and no two for one
         pool = sorted(GIVEN_NAMES[_POOL_OF[value]])
-        shifted = [permuted(i, len(pool), key, f"{tweak}|{_POOL_OF[value]}") for i in range(len(pool))]
-        return pool[shifted[pool.index(value)]]
+        cycle = sorted(pool, key=lambda x: permuted(pool.index(x), len(pool), key, f"given|{_POOL_OF[value]}"))
+        return cycle[(cycle.index(value) + 1) % len(cycle)]
     if kind == "ip":
         n = permuted(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, n.to_bytes(4, "big")))
@@ -215,8 +236,9 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
 def _final_surrogates(found: DataFrame, key: bytes, max_draws: int) -> DataFrame:
     """``kind, value, surrogate`` of the entities whose first draw is taken, over the whole corpus.
 
-    A given name is a draw from a pool and repeats by design; the names that
-    it is part of stay distinct by their surname.
+    Given names need no check: each stands for the next one in a keyed cycle of
+    its pool. Entities that ``max_draws`` draws leave without a surrogate of
+    their own raise an error.
     """
 
     def draws(n: int):
@@ -228,13 +250,15 @@ def _final_surrogates(found: DataFrame, key: bytes, max_draws: int) -> DataFrame
 
     originals = cut(found.filter("kind <> 'given'").select("kind", "value").distinct())
     current = cut(originals.withColumn("surrogate", draws(0)).withColumn("draw", F.lit(0)))
-    for n in range(1, max_draws + 1):
-        real = originals.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("_real"))
+    real = originals.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("_real"))
+    for n in range(1, max_draws + 2):
         first = current.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "value")).alias("_first"))
         held = current.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         clash = cut(held.filter("_real OR value <> _first.value").select("kind", "value"))
         if clash.isEmpty():
             break
+        if n > max_draws:
+            raise ValueError(f"{clash.count()} surrogates are still taken after {max_draws} draws")
         again = clash.withColumn("surrogate", draws(n)).withColumn("draw", F.lit(n))
         current = cut(current.join(clash, ["kind", "value"], "left_anti").unionByName(again))
     return current.filter("draw > 0").select("kind", "value", "surrogate")
