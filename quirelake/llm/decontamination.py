@@ -39,6 +39,56 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * np.cumprod(inverse)[: len(tokens) - n + 1])
 
 
+#: Equal runs looked at together; more of them are looked at in turns.
+_PAIRS = 1 << 20
+
+
+def _matches(doc: np.ndarray, item: np.ndarray, length: int, free: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """Maximal matches ``(length, doc start, item start)`` of unmarked words, of ``length`` words or more.
+
+    Runs of ``length`` words that are equal and follow each other on a diagonal
+    are one match. Only the first and the last run of each are kept, so the
+    memory grows with the matches and not with the pairs of equal runs, of
+    which texts of one repeated word have very many.
+    """
+    hd, hi = window_hashes(doc, length), window_hashes(item, length)
+    whole_d, whole_i = (_whole(f, length) for f in free)
+    at_d = np.flatnonzero(whole_d & np.isin(hd, hi[whole_i])) if len(hd) and len(hi) else np.zeros(0, np.int64)
+    if not len(at_d):
+        return []
+    order = np.flatnonzero(whole_i)
+    order = order[np.argsort(hi[order], kind="stable")]
+    left, right = (np.searchsorted(hi[order], hd[at_d], side) for side in ("left", "right"))
+    sizes = np.cumsum(right - left)
+    ends: list[list[np.ndarray]] = [[], []]
+    start = 0
+    while start < len(at_d):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _PAIRS, "right")))
+        n = right[start:stop] - left[start:stop]
+        a = np.repeat(at_d[start:stop], n)
+        b = order[np.repeat(left[start:stop] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        start = stop
+        for kept, step in zip(ends, (-1, 1), strict=True):
+            x, y = a + step, b + step
+            inside = (x >= 0) & (y >= 0) & (x < len(hd)) & (y < len(hi))
+            goes_on = np.zeros(len(a), bool)
+            x, y = x[inside], y[inside]
+            goes_on[inside] = whole_d[x] & whole_i[y] & (hd[x] == hi[y])
+            kept.append(np.stack([a[~goes_on], b[~goes_on]]))
+    firsts, lasts = (np.concatenate(x, 1) for x in ends)
+    firsts, lasts = (x[:, np.lexsort((x[0], x[0] - x[1]))] for x in (firsts, lasts))  # on a diagonal they take turns
+    found = np.stack([lasts[0] - firsts[0] + length, firsts[0], firsts[1]], 1)
+    return [tuple(x) for x in found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))].tolist()]
+
+
+def _whole(free: np.ndarray, length: int) -> np.ndarray:
+    """Where a run of ``length`` words without a marked one begins."""
+    if len(free) < length:
+        return np.zeros(0, bool)
+    seen = np.concatenate([[0], np.cumsum(~free)])
+    return seen[length:] == seen[:-length]
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of ``item`` with runs of ``doc``: ``(doc start, item start, length)``.
 
@@ -48,39 +98,18 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int,
     match is over twice the search length, the pass is done again at its
     length; else the search length is halved until it is ``min_match``.
     """
-    marked = [np.zeros(len(doc), bool), np.zeros(len(item), bool)]
+    free = [np.ones(len(doc), bool), np.ones(len(item), bool)]
     found: list[tuple[int, int, int]] = []
     length = max(min_match, min(len(item), 20))
     while True:
-        free = []
-        for text, mark in zip((doc, item), marked, strict=True):
-            h = window_hashes(text, length)
-            seen = np.concatenate([[0], np.cumsum(mark)])
-            at = np.flatnonzero(seen[length:] == seen[:-length]) if len(h) else np.zeros(0, np.int64)
-            free.append((h[at], at))
-        (hd, pd_), (hi, pi) = free
-        common = np.isin(hd, hi)
-        hd, pd_ = hd[common], pd_[common]
-        order = np.argsort(hi, kind="stable")
-        hi, pi = hi[order], pi[order]
-        left, right = np.searchsorted(hi, hd, "left"), np.searchsorted(hi, hd, "right")
-        a = np.repeat(pd_, right - left)
-        b = pi[np.repeat(left - np.cumsum(right - left) + (right - left), right - left) + np.arange(int((right - left).sum()))]
-        matches = []
-        # equal runs that follow each other on a diagonal are one longer match
-        order = np.lexsort((a, a - b))
-        a, b = a[order], b[order]
-        starts = np.flatnonzero(np.concatenate([[True], (np.diff(a - b) != 0) | (np.diff(a) != 1)])) if len(a) else np.zeros(0, np.int64)
-        for first, end in zip(starts, [*starts[1:], len(a)], strict=False):
-            matches.append((int(end - first - 1 + length), int(a[first]), int(b[first])))
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
+        matches = _matches(doc, item, length, free)
         if matches and matches[0][0] > 2 * length:
             length = matches[0][0]
             continue
         again = False
         for size, x, y in matches:
-            if not (marked[0][x : x + size].any() or marked[1][y : y + size].any()):
-                marked[0][x : x + size] = marked[1][y : y + size] = True
+            if free[0][x : x + size].all() and free[1][y : y + size].all():
+                free[0][x : x + size] = free[1][y : y + size] = False
                 found.append((x, y, size))
             elif size > length:
                 again = True  # what is left of it may be longer than the matches after it
