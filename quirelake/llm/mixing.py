@@ -57,9 +57,11 @@ def mix_sources(
 
     Edge cases: a null text has size 0; a null source is a source of its own,
     sorted last; documents of size 0 can be in the mix with taken 0; repeated
-    rows are documents of their own, ties are broken by id; the order depends
-    on nothing but ``seed`` and the id, so reruns agree; an empty table gives
-    an empty table; columns not named are ignored.
+    rows are documents of their own; the order depends on ``seed`` and the id,
+    then on the text (for rows that repeat an id) and at last on nothing that
+    tells equal rows apart, so reruns agree however the table is dealt out;
+    rows without an id are shuffled by their text; an empty table gives an
+    empty table; columns not named are ignored.
 
     At scale: no step holds a source or the whole queue in a task. Running sums
     are taken in two levels, over about sqrt(rows) ranges of the shuffled order
@@ -71,7 +73,8 @@ def mix_sources(
             F.col(id_col).alias("_id"),
             F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("_source"),  # null sorts last
             word_count(F.col(text_col)).alias("_size"),
-            F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("_shuffle"),
+            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.hex(F.xxhash64(text_col))))).alias("_shuffle"),
+            F.xxhash64(text_col, source_col).alias("_text"),
         )
     )
     counted = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
@@ -84,12 +87,13 @@ def mix_sources(
         .agg(F.sum("_size").alias("_words"))
         .select("_source", "_place", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_base"))
     )
-    inside = W.partitionBy("_source", "_place").orderBy("_shuffle", "_id").rowsBetween(W.unboundedPreceding, 0)
+    ordered = W.partitionBy("_source", "_place").orderBy("_shuffle", "_id", "_text", "_size")
+    inside = ordered.rowsBetween(W.unboundedPreceding, 0)
     queued = cut(
-        placed.withColumn("_in", F.sum("_size").over(inside))
+        placed.withColumns({"_in": F.sum("_size").over(inside), "_nth": F.row_number().over(ordered)})
         .join(ranges, ["_source", "_place"])
         .join(source_targets(sizes, weights, max_repeats), "_source")
-        .select("_id", "_source", "_size", "_shuffle", "_S", "_target", (F.col("_base") + F.col("_in")).alias("_sofar"))
+        .select("_id", "_source", "_size", "_shuffle", "_nth", "_S", "_target", (F.col("_base") + F.col("_in")).alias("_sofar"))
     )
 
     def finish(copy: int) -> Column:
@@ -99,7 +103,7 @@ def mix_sources(
         return F.least(F.floor(finish(copy) * n), F.lit(4 * n)).cast("long")
 
     def key(copy: int) -> Column:
-        return F.struct(finish(copy).alias("finish"), F.col("_source").alias("source"), F.col("_shuffle").alias("shuffle"), F.col("_id").alias("id"), F.lit(copy).alias("copy"))
+        return F.struct(finish(copy).alias("finish"), F.col("_source").alias("source"), F.col("_shuffle").alias("shuffle"), F.col("_id").alias("id"), F.col("_nth").alias("nth"), F.lit(copy).alias("copy"))
 
     copies = range(max_repeats)
     entries = queued.select("_size", F.explode(F.array(*[F.struct(when(c).alias("when"), key(c).alias("key")) for c in copies])).alias("_e")).select("_size", "_e.*")
