@@ -27,8 +27,9 @@ from .tokens import mix, shingle_sets, text_chunks, words
 
 #: The frequency sketch has a fixed size: 2**22 counters, 16 MB.
 SKETCH_BITS = 22
-#: Blocks of columns into which a row of the matrix is dealt for the product.
-COLUMN_BITS = 3
+#: Pairs of more n-grams than this are multiplied in ``2**COLUMN_BITS`` blocks of columns, others in one.
+BLOCK_COLUMNS = 1 << 14
+COLUMN_BITS = 4
 _SLICES = 16
 _FAN_IN = 256
 _PARITY_BITS = 512
@@ -126,23 +127,37 @@ def _incidence(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
     return docs.mapInArrow(rows, f"_id {kind}, _n long, _c1 long, _c2 long, _columns array<long>, _parity struct<{', '.join(f'p{i}: bigint' for i in range(_PARITY_BITS // 64))}>, _wide array<bigint>, _half array<bigint>")
 
 
-def _rows_in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """``_id, _class, _block, _cols``: rows of the incidence matrix, dealt into blocks of columns; ``_class`` is the set's hash."""
+def _rows_in_blocks(docs: DataFrame, n: int, share: tuple[int, int], most: int) -> DataFrame:
+    """``_id, _class, _block, _cols``: rows of the incidence matrix, dealt into blocks of columns; ``_class`` is the set's hash.
+
+    Block -1 holds a whole row, for pairs of ``most`` n-grams in all; a row that
+    can be in a longer pair is given in blocks from 0 on, too or instead.
+    """
+    num, den = share
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, offsets in _chunks(batches, n):
             if not len(h):
                 continue
-            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            filled = np.flatnonzero(np.diff(offsets))
+            size = np.diff(offsets)
+            owner = np.repeat(np.arange(len(ids)), size)
+            filled = np.flatnonzero(size)
             sums = np.zeros(len(ids), np.uint64)
             sums[filled] = np.add.reduceat(mix(h + np.uint64(1)), offsets[:-1][filled])
+            whole = filled[size[filled] * (den + num) <= most * den]
+            dealt = size * (num + den) > most * num
             block = (h >> np.uint64(64 - COLUMN_BITS)).astype(np.int64)  # sets are sorted, so blocks are runs
-            starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])])
-            ends = np.append(starts[1:], len(h)) * 8
-            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts * 8, ends[-1:]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
-            at = owner[starts]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(mix(sums).view(np.int64)[at]), pa.array(block[starts], pa.int32()), packed], ["_id", "_class", "_block", "_cols"])
+            first = np.ones(len(h), bool)
+            first[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
+            starts = np.flatnonzero(first)
+            ends = np.append(starts[1:], len(h))
+            kept = dealt[owner[starts]]
+            data = memoryview(np.ascontiguousarray(h)).cast("B")
+            spans = [*zip(offsets[whole], offsets[whole + 1], strict=True), *zip(starts[kept], ends[kept], strict=True)]
+            at = np.concatenate([whole, owner[starts[kept]]])
+            number = np.concatenate([np.full(len(whole), -1), block[starts[kept]]])
+            columns = pa.array([bytes(data[x * 8 : y * 8]) for x, y in spans], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(mix(sums).view(np.int64)[at]), pa.array(number, pa.int32()), columns], ["_id", "_class", "_block", "_cols"])
 
     kind = docs.schema["_id"].dataType.simpleString()
     return docs.select("_id", "_text").mapInArrow(rows, f"_id {kind}, _class long, _block int, _cols binary")
@@ -183,7 +198,7 @@ def _likely(rows: DataFrame, keys: DataFrame, name: str, bits: int = 24) -> Data
     return kept.filter("getbit(_bits, _bit) = 1").select(*rows.columns)
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, share: tuple[int, int] = (90, 100), block_columns: int = BLOCK_COLUMNS) -> DataFrame:
     """Group documents whose n-gram sets have a Jaccard similarity of ``share`` or more.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lowered; a document's set
@@ -235,8 +250,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs(a, b, _sum)``: blocks of one row go to its pairs, then the pairs to the blocks of the other."""
-        rows = _rows_in_blocks(_likely(base.filter("_id IS NOT NULL"), cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()), "_id"), n)
-        left = rows.select(F.col("_id").alias("a"), F.col("_class").alias("_ca"), "_block", F.col("_cols").alias("_xa")).join(pairs.select("a", "b"), "a")
+        rows = _rows_in_blocks(_likely(base.filter("_id IS NOT NULL"), cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()), "_id"), n, share, block_columns)
+        wanted = (F.col("_block") >= 0) == (F.col("_sum") > block_columns)
+        left = rows.select(F.col("_id").alias("a"), F.col("_class").alias("_ca"), "_block", F.col("_cols").alias("_xa")).join(pairs, "a").filter(wanted).drop("_sum")
         both = rows.select(F.col("_id").alias("b"), F.col("_class").alias("_cb"), "_block", F.col("_cols").alias("_xb")).join(left, ["b", "_block"])
         counts = both.select("a", "b", "_ca", "_cb", "_xa", "_xb").mapInArrow(_overlaps, f"a {kind}, b {kind}, _ca long, _cb long, overlap long")
         found = counts.groupBy("a", "b", "_ca", "_cb").agg(F.sum("overlap").alias("overlap")).groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
