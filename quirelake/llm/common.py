@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset on one machine, as in tests, a temporary one is
+    made; on a cluster, whose executors could not read it, that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and sc.getCheckpointDir() is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or sc.getCheckpointDir()
@@ -48,5 +52,5 @@ def word_count(text: Column) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table in the shared checkpoint folder (for wide or many rows)."""
     path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # else each writer holds up to 128 MB
     return df.sparkSession.read.parquet(path)

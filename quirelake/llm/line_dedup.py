@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, ascii_lower
+from .common import WHITESPACE, ascii_lower, cut
+
+#: Partitions over which the lines of a very common key are dealt.
+SALTS = 32
 
 
 def _key(line: Column) -> Column:
@@ -40,8 +43,10 @@ def dedup_lines(
 
     At scale: the distinct keys of a document are found inside its row, so the
     count is one shuffle with map-side partial aggregates (a key that everyone
-    has is one row a task). The lookup of repeated keys and the join of their
-    positions are equi-joins that AQE can split; texts are shuffled once.
+    has is one row a task). Keys with over a thousandth of all repeated lines,
+    of which there can't be more than a thousand, are broadcast, and their lines
+    are dealt over ``SALTS`` partitions for the lookup. The join of positions is
+    an equi-join on the document; texts are shuffled once.
     """
     lines = docs.select(
         F.col(id_col).alias("_id"),
@@ -50,19 +55,24 @@ def dedup_lines(
         F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"),
     )
     long_enough = lambda k: F.length(k) >= min_chars
-    repeated = (
+    repeated = cut(
         lines.select("_id", F.explode(F.array_distinct(F.filter(F.transform("_lines", _key), long_enough))).alias("_key"))
         .select("_id", *_hashes(F.col("_key")))
         .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper"))
         .filter(F.col("_n") >= min_docs)
     )
+    common = max(1000, (repeated.agg(F.sum("_n")).first()[0] or 0) // 1000)
+    hot = repeated.filter(F.col("_n") > common).select("_h1", "_h2", F.lit(True).alias("_hot"))
+    salted = repeated.withColumn("_salt", F.explode(F.when(F.col("_n") > common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     dropped = (
         lines.select("_id", "_fp", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_id", "_fp", "_pos", _key(F.col("_line")).alias("_key"))
         .filter(long_enough(F.col("_key")))
         .select("_id", "_fp", "_pos", *_hashes(F.col("_key")))
-        .join(repeated, ["_h1", "_h2"])
+        .join(F.broadcast(hot), ["_h1", "_h2"], "left")
+        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "_pos"), F.lit(SALTS)).cast("int")).otherwise(0))
+        .join(salted, ["_h1", "_h2", "_salt"])
         .filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
         .groupBy("_id", "_fp")
         .agg(F.collect_set("_pos").alias("_drop"))
