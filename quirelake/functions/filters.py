@@ -12,19 +12,25 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .syntax import entries_of
+
 _SHORT = {"Fl": "FlateDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode"}
+#: Decoded bytes of a stream at most; what inflates beyond that is an error.
+MAX_DECODED = 1 << 30
 
 
 def _unpredict(data: bytes, predictor: int, columns: int, colors: int, bits: int) -> bytes:
     """Undo PNG (10 and up) and 8-bit TIFF (2) prediction; other predictors leave the data as it is."""
+    if predictor < 2 or 2 < predictor < 10:
+        return data
+    if min(columns, colors, bits) < 1 or columns * colors * bits > 1 << 31:
+        raise ValueError(f"predictor over {columns} columns of {colors} colours with {bits} bits")
     width, size = (columns * colors * bits + 7) // 8, max(1, colors * bits // 8)
     if predictor == 2:
         if bits != 8:
             raise ValueError(f"TIFF predictor with {bits} bits")
         rows = np.frombuffer(data[: len(data) // width * width], np.uint8).reshape(-1, columns, colors)
         return np.cumsum(rows, 1, dtype=np.uint64).astype(np.uint8).tobytes()
-    if predictor < 10:
-        return data
     out, above = bytearray(), np.zeros(width, np.int64)
     for start in range(0, len(data) - width, width + 1):
         kind, raw = data[start], np.frombuffer(data, np.uint8, width, start + 1).astype(np.int64)
@@ -45,11 +51,22 @@ def _unpredict(data: bytes, predictor: int, columns: int, colors: int, bits: int
     return bytes(out)
 
 
-def decode(data: bytes, filters: list[str], parameters: dict[str, int]) -> bytes:
-    for name in filters:
+def inflate(data: bytes) -> bytes:
+    """Whole zlib data; what follows them is ignored, an early end is an error."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, MAX_DECODED)
+    if not stream.eof:
+        raise ValueError("the data inflate beyond the limit" if stream.unconsumed_tail else "the data end early")
+    return out
+
+
+def decode(data: bytes, filters: list[str], parameters: list[dict[str, int]] | dict[str, int]) -> bytes:
+    """``data`` through ``filters`` from left to right; parameters by filter, or one dictionary for all."""
+    for i, name in enumerate(filters):
+        given = parameters if isinstance(parameters, dict) else parameters[i] if i < len(parameters) else {}
         name = _SHORT.get(name, name)
         if name == "FlateDecode":
-            data = _unpredict(zlib.decompressobj().decompress(data), parameters.get("Predictor", 1), parameters.get("Columns", 1), parameters.get("Colors", 1), parameters.get("BitsPerComponent", 8))
+            data = _unpredict(inflate(data), given.get("Predictor", 1), given.get("Columns", 1), given.get("Colors", 1), given.get("BitsPerComponent", 8))
         elif name == "ASCIIHexDecode":
             digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
             data = binascii.unhexlify(digits + b"0" * (len(digits) % 2))
@@ -60,13 +77,19 @@ def decode(data: bytes, filters: list[str], parameters: dict[str, int]) -> bytes
     return data
 
 
+def parameters_of(text: str | None) -> dict[str, int]:
+    """The whole numbers of a ``/DecodeParms`` dictionary's text."""
+    found = entries_of(text) or {}
+    return {k: int(v) for k, v in found.items() if re.fullmatch(r"[-+]?\d{1,18}", v)}
+
+
 @F.pandas_udf(T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("error", T.StringType())]))
 def decode_stream(raw: pd.Series, filters: pd.Series, parameters: pd.Series) -> pd.DataFrame:
-    """Bytes after a chain of filters (left to right), or what went wrong; null in, null out."""
+    """Bytes after a chain of filters (left to right; ``parameters`` holds dictionaries' texts), or what went wrong; null in, null out."""
     rows = []
     for data, names, given in zip(raw, filters, parameters, strict=True):
         try:
-            rows.append((None if data is None else decode(data, list(names if names is not None else ()), dict(given or {})), None))
+            rows.append((None if data is None else decode(data, list(names if names is not None else ()), [parameters_of(x) for x in (given if given is not None else ())]), None))
         except (ValueError, zlib.error) as wrong:
             rows.append((None, str(wrong)))
     return pd.DataFrame(rows, columns=["bytes", "error"])

@@ -1,8 +1,8 @@
-"""Objects, references, cross-reference rows and streams of PDF files, as DataFrames.
+"""Objects, references and streams of PDF files, as DataFrames.
 
-Input is ``files(file_id, content)``. Everything here is a projection of the
-bytes (read as Latin-1, so places are offsets) followed by joins and windows;
-damaged files give fewer rows and never an error.
+Input is ``files(file_id, content)``. A pass over the bytes finds where objects
+lie; everything else is projections and joins of their rows. Damaged files give
+fewer rows, or null values, and never an error.
 """
 
 from __future__ import annotations
@@ -13,64 +13,88 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import latin1, object_id
 from quirelake.functions.filters import decode_stream
+from quirelake.functions.scan import object_places
+from quirelake.functions.syntax import entries, int_value, items, name_value, number_value, ref_id
 
-_OBJECT = r"(?s)(?:^|[\x00\t\n\x0c\r ])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b"
-_STREAM = r"(?s)^(.*?)\bstream\r?\n(.*)\r?\nendstream\s*$"
 #: Object kinds by /Type.
 KINDS = {
-    "Catalog": "catalog", "Pages": "pages", "Page": "page", "Font": "font", "FontDescriptor": "fontDescriptor", "XObject": "xobject", "Annot": "annotation",
-    "Metadata": "metadata", "ObjStm": "objectStream", "XRef": "xrefStream", "StructTreeRoot": "structTreeRoot", "StructElem": "structElement", "Outlines": "outlines",
-    "EmbeddedFile": "embeddedFile", "Filespec": "fileSpec", "ExtGState": "extGState", "Pattern": "pattern", "Sig": "signature",
+    "Catalog": "catalog", "Pages": "pages", "Page": "page", "Font": "font", "FontDescriptor": "fontDescriptor", "Encoding": "encoding", "ExtGState": "extGState",
+    "Pattern": "pattern", "Shading": "shading", "Annot": "annot", "StructTreeRoot": "structTreeRoot", "StructElem": "structElem", "Metadata": "metadata",
+    "EmbeddedFile": "embeddedFile", "Outlines": "outlines", "Filespec": "embeddedFile", "Filespecifier": "embeddedFile", "XRef": "xrefStream", "ObjStm": "objectStream",
 }
+#: Kinds of XObjects by /Subtype.
+XOBJECT_KINDS = {"Image": "xobjectImage", "Form": "xobjectForm"}
+#: Short names of stream filters.
+SHORT_FILTERS = {"A85": "ASCII85Decode", "AHx": "ASCIIHexDecode", "Fl": "FlateDecode", "LZW": "LZWDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode", "RL": "RunLengthDecode"}
 
+_NAME = r"^/([^\x00\t\n\x0c\r ()<>\[\]{}/%]+)"
 
-def name_of(dictionary: Column, key: str) -> Column:
-    """The name under ``key`` of a dictionary's text, or null."""
-    return F.nullif(F.regexp_extract(dictionary, rf"/{key}\s*/([^\s()<>\[\]{{}}/%]+)", 1), F.lit(""))
 
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a small fixed table, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
-def ref_of(dictionary: Column, key: str) -> Column:
-    """The object id under ``key``, or null."""
-    number, generation = (F.regexp_extract(dictionary, rf"/{key}\s+(\d+)\s+(\d+)\s+R\b", k) for k in (1, 2))
-    return F.when(number != "", object_id(number, generation))
 
+def value_of(found: Column, key: str) -> Column:
+    """The text under ``key`` of an entries map, or null."""
+    return F.try_element_at(found, F.lit(key))
 
-def refs_of(dictionary: Column, key: str) -> Column:
-    """The object ids under ``key`` (one reference, or an array of them), in order."""
-    listed = F.coalesce(F.nullif(F.regexp_extract(dictionary, rf"/{key}\s*\[([^\]]*)\]", 1), F.lit("")), F.regexp_extract(dictionary, rf"/{key}\s+(\d+\s+\d+\s+R)\b", 1))
-    pairs = F.regexp_extract_all(listed, F.lit(r"(\d+\s+\d+)\s+R\b"), 1)
-    return F.transform(pairs, lambda p: F.concat(F.lit("obj:"), F.regexp_replace(p, r"\s+", ":")))
 
+def name_of(found: Column, key: str) -> Column:
+    return name_value(value_of(found, key))
 
-def numbers_of(dictionary: Column, key: str) -> Column:
+
+def ref_of(found: Column, key: str) -> Column:
+    return ref_id(value_of(found, key))
+
+
+def number_of(found: Column, key: str) -> Column:
+    return number_value(value_of(found, key))
+
+
+def int_of(found: Column, key: str) -> Column:
+    return int_value(value_of(found, key))
+
+
+def refs_in(text: Column) -> Column:
+    """The object ids in a value's text, in order."""
+    pairs = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(\d+[\x00\t\n\x0c\r ]+\d+)[\x00\t\n\x0c\r ]+R(?![A-Za-z0-9])"), 1)
+    return F.transform(pairs, lambda p: F.concat(F.lit("obj:"), F.regexp_replace(p, r"[\x00\t\n\x0c\r ]+", ":")))
+
+
+def refs_of(found: Column, key: str) -> Column:
+    """The object ids under ``key`` (one reference, or an array of them without what nests in it), in order."""
+    text = value_of(found, key)
+    flat = F.when(text.startswith("["), F.regexp_replace(F.substring(text, 2, 1 << 30), r"\[[^\[\]]*\]|<<[^<>]*>>", " ")).when(ref_id(text).isNotNull(), text).otherwise(F.lit(""))
+    return refs_in(flat)
+
+
+def numbers_of(found: Column, key: str) -> Column:
     """The numbers of the array under ``key`` as doubles, or null."""
-    listed = F.regexp_extract(dictionary, rf"/{key}\s*\[([^\]]*)\]", 1)
-    return F.when(listed != "", F.transform(F.regexp_extract_all(listed, F.lit(r"([-+]?\d*\.?\d+)"), 1), lambda x: x.try_cast("double")))
+    text = value_of(found, key)
+    listed = F.filter(F.split(F.regexp_replace(text, r"[\[\]\x00\t\n\x0c\r ]+", " "), " "), lambda x: x != "")
+    return F.when(text.startswith("["), F.filter(F.transform(listed, number_value), lambda x: x.isNotNull()))
 
 
-def number_of(dictionary: Column, key: str) -> Column:
-    return F.regexp_extract(dictionary, rf"/{key}\s+([-+]?\d*\.?\d+)(?!\s+\d+\s+R\b)", 1).try_cast("double")
+def rect_of(found: Column, key: str) -> Column:
+    """The first four numbers under ``key``, or null where there are fewer."""
+    n = numbers_of(found, key)
+    return F.when(F.size(n) >= 4, F.slice(n, 1, 4))
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """Every object definition: ``file_id, ordinal, number, generation, object_id, dictionary, stream``.
+    """Every object definition: ``file_id, ordinal, start, end, number, generation, object_id, closed, newest, dictionary, entries, stream``.
 
-    ``stream`` holds raw bytes, null for objects without one.
+    ``stream`` holds raw bytes, null for objects without one; ``dictionary`` is
+    the text of the value, ``entries`` its keys if it is a dictionary; ``closed``
+    tells whether ``endobj`` follows. Bytes are cut out inside a file's row, so
+    no copy of a file is made for each of its objects.
     """
-    text = latin1(F.col("content"))
-    groups = [F.regexp_extract_all(text, F.lit(_OBJECT), k) for k in (1, 2, 3)]
-    rows = files.select("file_id", F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("number", "generation", "body"), strict=True)])).alias("ordinal", "o"))
-    number, generation = F.col("o.number").try_cast("long"), F.col("o.generation").try_cast("int")
-    body, with_stream = F.col("o.body"), F.col("o.body").rlike(_STREAM)
-    return rows.select(
-        "file_id",
-        "ordinal",
-        number.alias("number"),
-        generation.alias("generation"),
-        object_id(number, generation).alias("object_id"),
-        F.btrim(F.when(with_stream, F.regexp_extract(body, _STREAM, 1)).otherwise(body), F.lit(" \t\r\n\x00\x0c")).alias("dictionary"),
-        F.when(with_stream, F.encode(F.regexp_extract(body, _STREAM, 2), "ISO-8859-1")).alias("stream"),
-    )
+    places = object_places("content")
+    data = lambda o: F.when(o.stream_start >= 0, F.substring("content", (o.stream_start + 1).cast("int"), (o.stream_end - o.stream_start).cast("int")))
+    cut_out = F.transform("_places", lambda o: F.struct(o.number.alias("number"), o.generation.alias("generation"), o.start.alias("start"), o.end.alias("end"), o.value.alias("dictionary"), o.closed.alias("closed"), o.newest.alias("newest"), data(o).alias("stream")))
+    rows = files.select("file_id", "content", places.alias("_places")).select("file_id", F.posexplode(cut_out).alias("ordinal", "o")).select("file_id", "ordinal", "o.*")
+    return rows.withColumns({"object_id": object_id(F.col("number"), F.col("generation")), "entries": entries("dictionary")})
 
 
 def newest(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "number"), order: str = "ordinal") -> DataFrame:
@@ -79,17 +103,25 @@ def newest(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "number"), order
     return rows.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank")
 
 
-def objects(files: DataFrame) -> DataFrame:
-    """The newest definition of each object with ``kind`` and ``hint``."""
-    kind, subtype = name_of(F.col("dictionary"), "Type"), name_of(F.col("dictionary"), "Subtype")
-    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), kind)
-    return (
-        newest(definitions(files))
-        .withColumn("kind", F.coalesce(known, F.when(F.col("stream").isNotNull(), "contentStream").otherwise("other")))
-        .withColumn("hint", F.when(kind.isNotNull(), F.concat_ws(" / ", kind, subtype)).when(F.col("stream").isNotNull(), F.concat_ws(" / ", F.lit("Stream"), subtype)))
+def classified(found: DataFrame) -> DataFrame:
+    """``found`` with ``kind`` and ``hint``, which the entries and the presence of a stream decide."""
+    kind, subtype = name_of(F.col("entries"), "Type"), name_of(F.col("entries"), "Subtype")
+    streamed = F.col("stream").isNotNull()
+    of_type = F.coalesce(lookup(KINDS, kind), F.when(kind == "XObject", F.coalesce(lookup(XOBJECT_KINDS, subtype), F.lit("other"))))
+    return found.withColumn("kind", F.coalesce(of_type, F.when(streamed, "contentStream").otherwise("other"))).withColumn(
+        "hint", F.when(subtype.isNotNull(), F.concat(F.coalesce(kind, F.lit("Stream")), F.lit(" / "), subtype)).otherwise(kind)
     )
 
 
+def objects(files: DataFrame) -> DataFrame:
+    """The newest definition of each object with ``kind`` and ``hint``, by a scan of the bytes.
+
+    This is what a file without a usable cross-reference table holds;
+    ``xref.live_objects`` goes by the tables where they can be read.
+    """
+    return classified(definitions(files).filter("newest"))
+
+
 def find_objects(found: DataFrame, query: str) -> DataFrame:
     """Objects whose id, kind, hint or number contains ``query`` (lower-cased), by number and generation."""
     q = F.lit(query.lower())
@@ -97,10 +129,23 @@ def find_objects(found: DataFrame, query: str) -> DataFrame:
     return found.filter(fits).orderBy("file_id", "number", "generation")
 
 
+def object_window(found: DataFrame, first: int, rows: int, overscan: int = 8) -> DataFrame:
+    """The objects of each file in the viewport that starts at row ``first`` (from 0), with ``overscan`` rows around it."""
+    place = F.row_number().over(W.partitionBy("file_id").orderBy("number", "generation")) - 1
+    return found.withColumn("row", place).filter(F.col("row").between(max(0, first - overscan), first + rows + overscan - 1))
+
+
+def object_detail(files: DataFrame, limit: int = 2048) -> DataFrame:
+    """``objects`` with ``raw_text``: up to ``limit`` bytes of the definition as Latin-1, with a line of dots where it goes on."""
+    found = objects(files)
+    n = F.col("end") - F.col("start")
+    text = latin1(F.substring("content", (F.col("start") + 1).cast("int"), F.least(n, F.lit(limit)).cast("int")))
+    return found.join(files.select("file_id", "content"), "file_id").withColumn("raw_text", F.when(n > limit, F.concat(text, F.lit("\n…"))).otherwise(text)).drop("content")
+
+
 def edges(found: DataFrame) -> DataFrame:
-    """``file_id, src_id, ordinal, dst_id``: references in an object's dictionary, in order."""
-    refs = F.transform(F.regexp_extract_all("dictionary", F.lit(r"(\d+\s+\d+)\s+R\b"), 1), lambda p: F.concat(F.lit("obj:"), F.regexp_replace(p, r"\s+", ":")))
-    return found.select("file_id", F.col("object_id").alias("src_id"), F.posexplode(refs).alias("ordinal", "dst_id"))
+    """``file_id, src_id, ordinal, dst_id``: references in an object's value, in order."""
+    return found.select("file_id", F.col("object_id").alias("src_id"), F.posexplode(refs_in(F.col("dictionary"))).alias("ordinal", "dst_id"))
 
 
 def missing_references(found: DataFrame) -> DataFrame:
@@ -109,62 +154,42 @@ def missing_references(found: DataFrame) -> DataFrame:
     return edges(found).join(known, ["file_id", "dst_id"], "left_anti")
 
 
-def xref_rows(files: DataFrame) -> DataFrame:
-    """Rows of classic tables: ``file_id, section, ordinal, number, type, offset, generation``; section 0 is the first in the file."""
-    tables = F.regexp_extract_all(latin1(F.col("content")), F.lit(r"(?s)(?:^|\n|\r)xref\s+(.*?)\s*trailer"), 1)
-    lines = files.select("file_id", F.posexplode(tables).alias("section", "table")).select("file_id", "section", F.posexplode(F.split(F.btrim("table"), r"[ ]*[\r\n]+")).alias("ordinal", "line"))
-    order = W.partitionBy("file_id", "section").orderBy("ordinal")
-    head = F.col("line").rlike(r"^\d+ \d+$")
-    first = F.when(head, F.struct(F.regexp_extract("line", r"^(\d+)", 1).try_cast("long").alias("number"), F.col("ordinal").alias("at")))
-    entry = r"^(\d{10}) (\d{5}) ([nf])"
-    return (
-        lines.withColumn("_first", F.last(first, ignorenulls=True).over(order))
-        .filter(F.col("line").rlike(entry))
-        .select(
-            "file_id",
-            "section",
-            "ordinal",
-            (F.col("_first.number") + F.col("ordinal") - F.col("_first.at") - 1).alias("number"),
-            F.regexp_extract("line", entry, 3).alias("type"),
-            F.regexp_extract("line", entry, 1).cast("long").alias("offset"),
-            F.regexp_extract("line", entry, 2).cast("int").alias("generation"),
-        )
-    )
-
-
-def file_facts(files: DataFrame) -> DataFrame:
-    """``file_id, byte_size, sha256, pdf_version, eof_markers, startxref, linearized, encrypted``."""
-    text = latin1(F.col("content"))
-    head, tail = latin1(F.substring("content", 1, 1024)), latin1(F.substring("content", -4096, 4096))
-    return files.select(
-        "file_id",
-        F.octet_length("content").cast("long").alias("byte_size"),
-        F.sha2("content", 256).alias("sha256"),
-        F.coalesce(F.nullif(F.regexp_extract(head, r"%PDF-([^\r\n]*)", 1), F.lit("")), F.lit("unknown")).alias("pdf_version"),
-        F.regexp_count(text, F.lit("%%EOF")).cast("long").alias("eof_markers"),
-        F.regexp_extract(tail, r"(?s).*startxref\s+(\d+)", 1).try_cast("long").alias("startxref"),
-        F.contains(latin1(F.substring("content", 1, 2048)), F.lit("/Linearized")).alias("linearized"),
-        text.rlike(r"(?s)trailer\s*<<[^>]*/Encrypt").alias("encrypted"),
-    )
+def filters_of(found: Column) -> Column:
+    """Names of the stream filters in order, short names written out."""
+    listed = value_of(found, "Filter")
+    names = F.when(listed.startswith("/"), F.array(name_value(listed))).when(listed.startswith("["), F.regexp_extract_all(listed, F.lit(r"/([^\x00\t\n\x0c\r ()<>\[\]{}/%]+)"), 1))
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.coalesce(lookup(SHORT_FILTERS, x), x))
 
 
-def warnings(files: DataFrame) -> DataFrame:
-    """``file_id, warning_id, severity, category``: what is missing in a file."""
-    facts = file_facts(files)
-    checks = [
-        (F.col("pdf_version") == "unknown", "warn:header-missing", "error", "structure"),
-        (F.col("startxref").isNull(), "warn:startxref-missing", "warn", "structure"),
-        (F.col("eof_markers") == 0, "warn:eof-missing", "warn", "structure"),
-    ]
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("warning_id"), F.lit(s).alias("severity"), F.lit(k).alias("category"))) for c, i, s, k in checks]))
-    return facts.select("file_id", F.explode(found).alias("w")).select("file_id", "w.*")
+def decoded(found: DataFrame) -> DataFrame:
+    """``found`` with ``filters, decoded, error``; parameters are aligned to the filters, ``/DP`` stands in for ``/DecodeParms``."""
+    parms = F.coalesce(value_of(F.col("entries"), "DecodeParms"), value_of(F.col("entries"), "DP"))
+    listed = found.withColumn("filters", filters_of(F.col("entries"))).withColumn("_parms", F.when(parms.startswith("["), items(parms)).otherwise(F.array(parms)))
+    done = listed.withColumn("_d", decode_stream("stream", "filters", "_parms"))
+    return done.withColumns({"decoded": F.col("_d.bytes"), "error": F.col("_d.error")}).drop("_d", "_parms")
 
 
 def streams(found: DataFrame) -> DataFrame:
     """``file_id, object_id, filters, raw, decoded, error`` of the objects that have a stream."""
-    listed = F.coalesce(F.nullif(F.regexp_extract("dictionary", r"/Filter\s*\[([^\]]*)\]", 1), F.lit("")), F.regexp_extract("dictionary", r"/Filter\s*(/[^\s()<>\[\]{}/%]+)", 1))
-    named = ("Predictor", "Columns", "Colors", "BitsPerComponent")
-    parameters = F.map_filter(F.create_map(*[x for n in named for x in (F.lit(n), number_of(F.col("dictionary"), n).cast("int"))]), lambda _, v: v.isNotNull())
-    rows = found.filter("stream IS NOT NULL").select("file_id", "object_id", F.regexp_extract_all(listed, F.lit(r"/([^\s/]+)"), 1).alias("filters"), F.col("stream").alias("raw"), parameters.alias("_parms"))
-    done = rows.withColumn("_d", decode_stream("raw", "filters", "_parms"))
-    return done.select("file_id", "object_id", "filters", "raw", F.col("_d.bytes").alias("decoded"), F.col("_d.error").alias("error"))
+    return decoded(found.filter("stream IS NOT NULL")).select("file_id", "object_id", "filters", F.col("stream").alias("raw"), "decoded", "error")
+
+
+def stream_by_id(found: DataFrame, file_id: str, object_id: str) -> DataFrame:
+    """The stream of one object, or a row whose ``error`` says that it is missing or has none."""
+    wanted = found.sparkSession.createDataFrame([(file_id, object_id)], "file_id string, object_id string")
+    rows = decoded(wanted.join(found.select("file_id", "object_id", "entries", "stream", F.lit(True).alias("_known")), ["file_id", "object_id"], "left"))
+    missing = F.when(F.col("_known").isNull(), "object not found").when(F.col("stream").isNull(), "not a stream")
+    return rows.select("file_id", "object_id", "filters", F.col("stream").alias("raw"), "decoded", F.coalesce(missing, "error").alias("error"))
+
+
+#: Labels of object kinds.
+CHIPS = {
+    "catalog": "Catalog", "pages": "Pages", "page": "Page", "font": "Font", "fontDescriptor": "FontDesc", "encoding": "Enc", "xobjectImage": "Image", "xobjectForm": "Form",
+    "extGState": "ExtGS", "colorSpace": "ColorSp", "pattern": "Pattern", "shading": "Shading", "annot": "Annot", "structTreeRoot": "StructTree", "structElem": "StructEl",
+    "metadata": "Meta", "embeddedFile": "File", "outlines": "Outline", "acroForm": "AcroForm", "signature": "Sig", "contentStream": "ContentStm", "objectStream": "ObjStm",
+    "xrefStream": "XRefStm", "resources": "Resources",
+}
+
+
+def kind_chip(kind: Column) -> Column:
+    return F.coalesce(lookup(CHIPS, kind), F.lit("Obj"))

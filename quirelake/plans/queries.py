@@ -9,10 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.functions import file_size, hexdump, project_rect
-from quirelake.operators.content import nesting, operations, string_bytes
-from quirelake.operators.objects import definitions, edges, file_facts, find_objects, missing_references, number_of, newest, objects, streams, warnings, xref_rows
+from quirelake.functions.syntax import string_bytes
+from quirelake.operators.content import nesting, operations
+from quirelake.operators.files import file_facts, warnings
+from quirelake.operators.objects import definitions, edges, find_objects, missing_references, newest, number_of, objects, streams
 from quirelake.operators.pages import pages
+from quirelake.operators.xref import xref_rows
 
+from . import corpus_queries
 from . import fixtures as fx
 
 
@@ -52,7 +56,7 @@ def op_nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def newest_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = newest(definitions(fx.revision_files(fx.table(spark, sf_dir, "orders"))))
-    return last.select(F.split_part("file_id", F.lit("-"), F.lit(1)).cast("long").alias("file"), "number", number_of(F.col("dictionary"), "Key").cast("long").alias("order_key"))
+    return last.select(F.split_part("file_id", F.lit("-"), F.lit(1)).cast("long").alias("file"), "number", number_of("entries", "Key").cast("long").alias("order_key"))
 
 
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         text_lines, object_kinds, object_search, object_edges, missing_refs, op_categories, op_nesting_depth, newest_objects, page_tree, stream_hashes, hex_rows, file_warnings, file_versions, xref_entries, overlay_boxes, size_labels, file_sizes,
     )
-}
+} | corpus_queries.QUERIES
 
 _OPS = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence,
   CASE event_type WHEN 'view' THEN 'q' WHEN 'click' THEN 'Q' WHEN 'purchase' THEN 'BT' WHEN 'error' THEN 'ET' ELSE 'w' END AS operator FROM events"""
@@ -159,4 +163,4 @@ FROM (SELECT DISTINCT doc_id FROM labels) GROUP BY ALL""",
     "file_sizes": """WITH b AS (SELECT page_id, strlen(html)::BIGINT AS n FROM pages),
 t AS (SELECT *, (n * 20 + 1024) // 2048 AS kb, (n * 200 + 1048576) // 2097152 AS mb FROM b)
 SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (kb // 10) || '.' || (kb % 10) || ' KB' ELSE (mb // 100) || '.' || lpad((mb % 100)::VARCHAR, 2, '0') || ' MB' END AS label FROM t""",
-}
+} | corpus_queries.ORACLE_SQL

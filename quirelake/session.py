@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +28,18 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(root.parent))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once and read again from the folder that ``spark.checkpoint.dir`` names, with a small plan.
+
+    Only where that is unset on one machine, as in tests, a temporary folder is
+    made; on a cluster, whose executors could not read it, that is an error.
+    """
+    sc = rows.sparkSession.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return rows.checkpoint()

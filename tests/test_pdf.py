@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import file_size, fingerprint, hexdump, operator_category, rotation
 from quirelake.functions.filters import decode
-from quirelake.operators.content import nesting, operations, string_bytes
-from quirelake.operators.objects import definitions, edges, file_facts, objects, streams, warnings, xref_rows
+from quirelake.functions.syntax import string_bytes
+from quirelake.operators.content import nesting, operations
+from quirelake.operators.files import file_facts, warnings
+from quirelake.operators.objects import definitions, edges, objects, streams
 from quirelake.operators.pages import pages
+from quirelake.operators.xref import xref_rows
 
 TREE = b"""%PDF-1.7
 1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
