@@ -30,6 +30,8 @@ SKETCH_BITS = 22
 #: Pairs of more n-grams than this are multiplied in ``2**COLUMN_BITS`` blocks of columns, others in one.
 BLOCK_COLUMNS = 1 << 14
 COLUMN_BITS = 4
+#: Rounds in which one more class of a column meets the others before all pairs that are left do.
+STARS = 2
 _SLICES = 16
 _FAN_IN = 256
 _PARITY_BITS = 512
@@ -214,9 +216,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nothing; an empty table gives an empty table; columns not named are ignored.
 
     Exactness: documents of one set are a class. Classes that meet in a column
-    are first compared with the column's smallest class; where a column still
-    holds classes of different components, all its pairs of those are compared
-    that pass the size bound. No link between two components can be missed, and
+    are first compared with the column's smallest class, then, in columns that
+    still hold different components, with ``STARS`` others in turn; what is left
+    there is compared pair by pair if it passes the bounds. No link between two components can be missed, and
     a large group of copies needs one comparison for each member.
 
     At scale: a column's rows are aggregated before the shuffle, joins are
@@ -262,6 +264,19 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     first = cut(possible(met.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum"))))
     links = cut(verified(first))
     found = cut(connected_components(links))
+    tried = first.select("a", "b")
+    for turn in range(STARS):
+        # another class of each column that still holds several components meets those of the others
+        placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", F.coalesce("component", "_rep").alias("_comp"))
+        one = F.struct("_rep", "_comp")
+        heads = placed.groupBy("_column").agg(F.min_by(one, F.xxhash64("_rep", F.lit(turn))).alias("_l"), F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).filter("_x <> _y").select("_column", "_l")
+        met = placed.join(heads, "_column").filter("_comp <> _l._comp").select(F.least("_rep", "_l._rep").alias("a"), F.greatest("_rep", "_l._rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        star = cut(possible(met.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum"))))
+        if star.isEmpty():
+            break
+        tried = cut(tried.unionByName(star.select("a", "b")))
+        links = cut(links.unionByName(verified(star)))
+        found = cut(connected_components(links))
     # columns that still hold classes of more than one component
     placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", "_n", F.coalesce("component", "_rep").alias("_comp"))
     split = placed.groupBy("_column").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_k")).filter("_x <> _y AND _k > 2")
@@ -274,7 +289,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .filter(near)
         .select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum"))
         .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     more = cut(possible(pairs))
     if not more.isEmpty():
