@@ -38,7 +38,7 @@ CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMN
 
 _CLASS_OF = {ch: alphabet for alphabet in CLASSES for ch in alphabet}
 _POOL_OF = {name: key for key, names in GIVEN_NAMES.items() for name in names}
-_TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Sr Sra Monsieur Madame Mme".split()
+_TITLES = set("Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Sr Sra Monsieur Madame Mme".split())
 _CAP = r"\p{Lu}\p{Ll}[\p{L}'’-]*"
 
 #: What may stand between the digits of a telephone number.
@@ -63,8 +63,45 @@ _GROUPED = next(pattern for kind, pattern in PATTERNS if kind == "phone")
 _HINT = regex.compile(r"[\d@]|::|(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|private key)")
 #: Words after which a person is named.
 CUES = ("my name is", "name is", "name:", "i am", "i'm", "this is", "dear", "contact", "contact person:", "attn:", "attn.", "signed,", "regards,", "sincerely,", "from:", "to:", "author:", "written by", "mein name ist", "ich heiße", "sehr geehrter", "sehr geehrte", "liebe", "lieber", "je m'appelle", "mon nom est", "cher", "chère", "me llamo", "mi nombre es", "estimado", "estimada", "меня зовут", "με λένε")
-_CUED = regex.compile(rf"(?<!\w)(?i:{'|'.join(map(regex.escape, CUES))})[ \t]+(?P<first>{_CAP}) (?P<last>{_CAP})\b")
-_NAME = regex.compile(rf"\b(?:(?P<title>{'|'.join(_TITLES)})\.? )?(?P<first>{_CAP})(?: (?P<last>{_CAP}))?")
+_CAPITALISED = regex.compile(_CAP)
+
+
+def _after_cue(text: str, at: int) -> bool:
+    """Whether a cue and a blank end at ``at``."""
+    before = text[max(0, at - 24) : at]
+    if not before or before[-1] not in " \t":
+        return False
+    before = before.rstrip(" \t").lower()
+    return before.endswith(CUES) and any(before.endswith(c) and not before[: -len(c)][-1:].isalnum() for c in CUES)
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of given names and surnames; the capitalised words of a text are looked at once."""
+    words = [(*m.span(), m[0]) for m in _CAPITALISED.finditer(text)]
+    words = [x for x in words if not text[x[0] - 1 : x[0]].isalnum()]
+    follows = lambda k, gaps: k + 1 < len(words) and text[words[k][1] : words[k + 1][0]] in gaps
+    found, surnames = [], set()
+    for k, (a, b, word) in enumerate(words):
+        named: list[int] = []
+        if word in _POOL_OF:
+            found.append((a, b, "given"))
+            named = [k + 1] if follows(k, (" ",)) else []
+        elif word in _TITLES and follows(k, (" ", ". ")):
+            named = [k + 2] if follows(k + 1, (" ",)) else [k + 1]
+        elif follows(k, (" ",)) and _after_cue(text, a):
+            named = [k, k + 1]
+        for j in named:
+            if words[j][2] not in _POOL_OF:
+                found.append((words[j][0], words[j][1], "surname"))
+                surnames.add(words[j][2])
+    if surnames:
+        for a, _, word in words:
+            at = 0
+            for part in regex.split("(['’-])", word) if word not in surnames else [word]:
+                if part in surnames:
+                    found.append((a + at, a + at + len(part), "surname"))
+                at += len(part)
+    return found
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -89,23 +126,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                     continue
                 if not (kind == "iban" and not _iban_valid(m["v"])):
                     found.append((*m.span("v"), kind))
-    surnames: set[str] = set()
-    for m in _CUED.finditer(text):
-        for part in ("first", "last"):
-            if m[part] not in _POOL_OF:
-                found.append((*m.span(part), "surname"))
-                surnames.add(m[part])
-    for m in _NAME.finditer(text, overlapped=True):
-        if m["first"] in _POOL_OF:
-            found.append((*m.span("first"), "given"))
-            if m["last"]:
-                found.append((*m.span("last"), "surname"))
-                surnames.add(m["last"])
-        elif m["title"] and (m["last"] or m["first"]) not in _POOL_OF:
-            found.append((*m.span("last" if m["last"] else "first"), "surname"))
-            surnames.add(m["last"] or m["first"])
-    if surnames:
-        found += [(*m.span(), "surname") for m in regex.finditer(r"\b\L<names>\b", text, names=list(surnames))]
+    found += _names(text)
     rank = {kind: i for i, (kind, _) in enumerate(PATTERNS)}
     taken: list[tuple[int, int, str]] = []
     for span in sorted(set(found), key=lambda x: (rank.get(x[2], 99), x[0], -x[1])):
