@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join: int8 tiles, error bounds, float64 recomputation, heaps.
 
-Vectors are scaled to int8 once. A tile multiplies a block of queries with a
-block of candidates; the rounding errors bound how far each product can be off,
-so that only pairs that may be among a query's nearest are computed again in
-double precision. The lists that tiles give for one query are merged by heaps.
+Vectors are rounded to int8 once, and only these blocks and their norms are
+shuffled. A tile multiplies a block of queries with a block of candidates; the
+rounding errors bound how far each product can be off, so that a tile keeps only
+candidates that may be among a query's nearest. Heaps merge the tiles' lists,
+and the pairs that survive are computed again in double precision.
 """
 
 from __future__ import annotations
@@ -15,84 +16,78 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
 
-_LIST = "query_id long, vec_ids array<long>, scores array<double>"
+_LIST = "query_id long, vec_ids array<long>, lows array<double>, highs array<double>"
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float64).reshape(-1, dim)
-
-
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows, their scale, and the 1-norms of the rounded rows and of the rounding errors."""
-    scale = np.maximum(np.abs(x).max(1), np.finfo(np.float64).tiny) / 127
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 rows, and for each its scale and the 2-norms of the row, of the rounded row and of the error (norms rounded up)."""
+    scale = np.nextafter((np.abs(x).max(1) / 127).astype(np.float32), np.float32(np.inf)).astype(np.float64)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     rounded = q * scale[:, None]
-    return q, scale, np.abs(rounded).max(1), np.abs(x - rounded).sum(1)
-
+    norms = [np.sqrt((y * y).sum(1)) * (1 + 1e-6) for y in (x, rounded, x - rounded)]
+    return q, np.stack([scale.astype(np.float32), *[np.nextafter(n.astype(np.float32), np.float32(np.inf)) for n in norms]], 1)
 
-def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of rows of ``x`` with rows of ``y``, summed from the first component on."""
-    total = np.zeros(len(x))
-    for k in range(x.shape[1]):
-        total += x[:, k] * y[:, k]
-    return total
 
+def tile(queries: tuple[np.ndarray, np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, strip: int = 256) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the candidates of the block that may be among its ``k`` nearest, with bounds of their products.
 
-def tile(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int, strip: int = 256) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ``k`` nearest candidates of the block, nearest first, ties to the smaller id.
-
-    With x = rounded + error, |x.y - rx.ry| <= |ry|_max |ex|_1 + |x|_max |ey|_1.
-    A candidate whose upper bound is below the k-th best lower bound is out.
+    Blocks are ``(ids, int8 rows, scale and norms)``. With x = rx + ex,
+    |x.y - rx.ry| <= |ex| |y| + |rx| |ey|. A candidate whose upper bound is
+    below the k-th best lower bound is out.
     """
-    q8, q_scale, q_max, q_err = _quantised(queries)
-    c8, c_scale, c_max, c_err = _quantised(candidates)
-    q_abs = np.abs(queries).max(1)
-    c32 = c8.astype(np.float32)  # int8 products are exact in float32 up to 2**24 / 127**2 = 1040 components, else float64
-    if queries.shape[1] > 1040:
-        c32 = c32.astype(np.float64)
+    query_ids, q8, q = queries
+    ids, c8, c = candidates
+    kind = np.float32 if q8.shape[1] <= 1040 else np.float64  # int8 products are exact in float32 up to 2**24 / 127**2 components
+    ct = c8.astype(kind).T
+    sizes, lengths, _, errors = np.ascontiguousarray(c.T, np.float64)
     out = []
-    for start in range(0, len(queries), strip):
+    for start in range(0, len(query_ids), strip):
         part = slice(start, start + strip)
-        near = (q8[part].astype(c32.dtype) @ c32.T).astype(np.float64) * q_scale[part, None] * c_scale
-        off = (c_max * q_err[part, None] + q_abs[part, None] * c_err) * (1 + 1e-9) + 1e-12 * (np.abs(near) + 1)
+        scale, _, rounded, error = q[part].astype(np.float64).T[:, :, None]
+        near = (q8[part].astype(kind) @ ct).astype(np.float64) * scale * sizes
+        off = (error * lengths + rounded * errors) * (1 + 1e-9) + 1e-12 * (np.abs(near) + 1)
         own = query_ids[part, None] == ids
-        low = np.where(own, -np.inf, near - off)
+        low, high = np.where(own, -np.inf, near - off), near + off
         at = max(0, len(ids) - k)
         least = np.partition(low, at, axis=1)[:, at]
-        row, col = np.nonzero((near + off >= least[:, None]) & ~own)
-        score = products(queries[part][row], candidates[col])
-        order = np.lexsort((ids[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
+        row, col = np.nonzero((high >= least[:, None]) & ~own)
         first = np.searchsorted(row, np.arange(len(near)))
-        ends = np.append(first[1:], len(row))
-        for i, (a, b) in enumerate(zip(first, ends, strict=True)):
-            b = min(b, a + k)
-            out.append((int(query_ids[start + i]), ids[col[a:b]], score[a:b]))
+        for i, (a, b) in enumerate(zip(first, [*first[1:], len(row)], strict=True)):
+            found = col[a:b]
+            out.append((int(query_ids[start + i]), ids[found], low[i, found], high[i, found]))
     return out
 
 
-def merged(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[int], list[float]]:
-    """The first ``k`` of lists that are each sorted by falling score, then id: one heap over their heads."""
-    best = heapq.merge(*[list(zip((-s for s in scores), ids, strict=True)) for ids, scores in lists])
-    top = [x for x, _ in zip(best, range(k), strict=False)]
-    return [int(i) for _, i in top], [-s for s, _ in top]
+def merged(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[list[int], list[float], list[float]]:
+    """Of lists of candidates with bounds, those that a heap of the ``k`` best lower bounds does not exclude."""
+    ids, lows, highs = (np.concatenate(x) for x in zip(*lists, strict=True))
+    best = heapq.nlargest(k, lows)
+    kept = highs >= (best[-1] if len(best) == k else -np.inf)
+    return ids[kept].tolist(), lows[kept].tolist(), highs[kept].tolist()
 
 
 def _blocks(vectors: DataFrame, name: str, n: int) -> DataFrame:
-    """``_dim, name, _ids, _m``: blocks of vectors as packed bytes, dealt by the hash of the id."""
+    """``_dim, name, _ids, _m, _s``: blocks of int8 vectors with scales and norms as packed bytes, dealt by the hash of the id."""
     block = F.pmod(F.xxhash64("_id", F.lit(name)), F.lit(n)).cast("int")
+    kind = "_id long, _dim int, _m binary, _s binary"
+
+    def round_off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, group in batch.groupby("_dim"):
+                q, s = quantised(np.stack([np.asarray(v, np.float64) for v in group["_v"]]))
+                yield pd.DataFrame({"_id": group["_id"], "_dim": dim, "_m": [x.tobytes() for x in q], "_s": [x.tobytes() for x in s]})
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_id", kind="stable")
         ids = group["_id"].to_numpy(np.int64).tobytes()
-        m = b"".join(np.asarray(v, np.float64).tobytes() for v in group["_v"])
-        return pd.DataFrame({"_dim": [group["_dim"].iloc[0]], name: [group[name].iloc[0]], "_ids": [ids], "_m": [m]})
+        return pd.DataFrame({"_dim": [group["_dim"].iloc[0]], name: [group[name].iloc[0]], "_ids": [ids], "_m": [b"".join(group["_m"])], "_s": [b"".join(group["_s"])]})
 
-    return vectors.withColumn(name, block).groupBy("_dim", name).applyInPandas(pack, f"_dim int, {name} int, _ids binary, _m binary")
+    small = vectors.select("_id", "_dim", "_v").mapInPandas(round_off, kind)
+    return small.withColumn(name, block).groupBy("_dim", name).applyInPandas(pack, f"_dim int, {name} int, _ids binary, _m binary, _s binary")
 
 
 def nearest(
@@ -120,9 +115,11 @@ def nearest(
     named are ignored.
 
     At scale: blocks have about ``query_block`` and ``candidate_block`` rows
-    whatever the input, each query block meets each candidate block once, and a
-    tile returns ``k`` rows a query. Lists are merged ``fan_in`` at a time, so
-    no task holds all lists of a query.
+    whatever the input, a vector in them takes a byte a component and 24 more,
+    and each query block meets each candidate block once. Of equal vectors only
+    the ``k + 1`` smallest ids can be among the nearest and are candidates, so
+    that a common vector makes no long lists. Lists are merged ``fan_in`` at a
+    time, so no task holds all lists of a query.
     """
     usable = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(
         F.col(id_col).cast("long").alias("_id"), is_query.alias("_q"), F.col(vector_col).cast("array<double>").alias("_v")
@@ -131,30 +128,24 @@ def nearest(
     base = cut(usable.filter(finite).groupBy("_id").agg(F.min("_v").alias("_v"), F.max("_q").alias("_q")).withColumn("_dim", F.size("_v")))
     count = base.agg(F.count(F.lit(1)), F.count_if("_q")).first()
     n_candidates, n_queries = max(1, -(-count[0] // candidate_block)), max(1, -(-count[1] // query_block))
-    candidates = _blocks(base.select("_id", "_v", "_dim"), "_c", n_candidates).withColumnsRenamed({"_ids": "_cids", "_m": "_cm"})
-    queries = _blocks(base.filter("_q").select("_id", "_v", "_dim"), "_b", n_queries).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
+    alike = F.row_number().over(W.partitionBy(F.xxhash64("_v"), "_v").orderBy("_id"))
+    candidates = _blocks(base.withColumn("_k", alike).filter(F.col("_k") <= k + 1), "_c", n_candidates).withColumnsRenamed({"_ids": "_cids", "_m": "_cm", "_s": "_cs"})
+    queries = _blocks(base.filter("_q"), "_b", n_queries).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
     pairs = queries.join(candidates, ["_dim", "_c"]).repartition(min(4096, n_candidates * n_queries), "_b", "_c")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 dim = batch.column("_dim")[i].as_py()
-                qids, cids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("_ids", "_cids"))
-                q, c = (_matrix(batch.column(m).slice(i, 1), dim) for m in ("_m", "_cm"))
-                found = tile(q, qids, c, cids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in found], pa.int64()),
-                        pa.array([x[1] for x in found], pa.list_(pa.int64())),
-                        pa.array([x[2] for x in found], pa.list_(pa.float64())),
-                        pa.array([batch.column("_c")[i].as_py()] * len(found), pa.int32()),
-                    ],
-                    ["query_id", "vec_ids", "scores", "part"],
-                )
+                read = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                q, c = ((read(a, np.int64), read(m, np.int8).reshape(-1, dim), read(n, np.float32).reshape(-1, 4)) for a, m, n in (("_ids", "_m", "_s"), ("_cids", "_cm", "_cs")))
+                found = tile(q, c, k)
+                columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), *(pa.array([x[j] for x in found], pa.list_(pa.float64())) for j in (2, 3))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([batch.column("_c")[i].as_py()] * len(found), pa.int32())], ["query_id", "vec_ids", "lows", "highs", "part"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(q, *merged(list(zip(g["vec_ids"], g["scores"], strict=True)), k)) for q, g in group.groupby("query_id", sort=False)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_ids", "scores"]).assign(part=int(group["part"].iloc[0]))
+        rows = [(q, *merged(list(zip(g["vec_ids"], g["lows"], g["highs"], strict=True)), k)) for q, g in group.groupby("query_id", sort=False)]
+        return pd.DataFrame(rows, columns=["query_id", "vec_ids", "lows", "highs"]).assign(part=int(group["part"].iloc[0]))
 
     lists = pairs.mapInArrow(multiply, f"{_LIST}, part int")
     parts = n_candidates
@@ -163,5 +154,9 @@ def nearest(
         # a group holds the lists of some 256 queries from fan_in blocks
         lists = lists.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).withColumn("_g", F.pmod(F.xxhash64("query_id"), F.lit(max(1, count[1] // 256))))
         lists = lists.groupBy("_g", "part").applyInPandas(merge, f"{_LIST}, part int")
-    flat = lists.select("query_id", F.posexplode(F.arrays_zip("vec_ids", "scores")).alias("_p", "_x"))
-    return flat.select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_x.vec_ids").alias("vec_id"), F.col("_x.scores").alias("score"))
+    # the pairs that are left, in double precision, summed from the first component on
+    left = lists.select("query_id", F.explode("vec_ids").alias("vec_id"))
+    both = left.join(base.select(F.col("_id").alias("vec_id"), F.col("_v").alias("_cv")), "vec_id").join(base.filter("_q").select(F.col("_id").alias("query_id"), "_v"), "query_id")
+    scored = both.select("query_id", "vec_id", F.aggregate(F.zip_with("_v", "_cv", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
