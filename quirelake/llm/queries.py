@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from .common import read
 from .decontamination import contaminated_pairs
+from .fill_middle import fill_in_middle, restored
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .nearest import nearest
@@ -71,12 +72,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, share=(90, 100))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read(spark, sf_dir, "documents"), seed=42)
+    text = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, op13_fill_in_middle, pipeline)}
 
 
 _LINES = r"""
@@ -152,5 +159,26 @@ FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id JOIN smallest ON d.d
 """
 
 
+_FILL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+numbers AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+         ('0x' || h[17:24])::BIGINT % 100 AS changes, ('0x' || h[25:32])::BIGINT % 100 AS kind FROM d),
+parts AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(u[greatest(x, y) + 1:], '') AS suffix,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR changes >= 50 THEN 'plain'
+              WHEN kind < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbers)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD}
+    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD, "op13_fill_in_middle": _FILL}
