@@ -18,6 +18,7 @@ from .nearest import nearest
 from .ngram_join import jaccard_join
 from .pii import replace_pii
 from .quality import fit_quality, score_quality
+from .ranked_search import search_documents
 from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
@@ -72,6 +73,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, share=(90, 100))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(read(spark, sf_dir, "documents"), seed=42)
     text = restored(F.col("output"), F.col("form"))
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, op13_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, op12_ranked_search, op13_fill_in_middle, pipeline)}
 
 
 _LINES = r"""
@@ -159,6 +164,25 @@ FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id JOIN smallest ON d.d
 """
 
 
+_RANKED = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*)::BIGINT AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+factors AS (SELECT doc_id, (100 - 25 + (25 * n * docs) // terms)::BIGINT AS m FROM lengths, totals),
+postings AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, totals GROUP BY term, docs),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN factors USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 _FILL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
@@ -181,4 +205,4 @@ FROM parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD, "op13_fill_in_middle": _FILL}
+    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD, "op12_ranked_search": _RANKED, "op13_fill_in_middle": _FILL}
