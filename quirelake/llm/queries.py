@@ -19,6 +19,7 @@ from .ngram_join import jaccard_join
 from .pii import replace_pii
 from .quality import fit_quality, score_quality
 from .ranked_search import search_documents
+from .secret_scan import ACCESS, ASSIGN, BREAK, ENDPOINT, HEX, IDENT, KEY, REACH, WEAK, listed, scan_secrets
 from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls
@@ -73,6 +74,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, share=(90, 100))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_linked", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
 
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, op12_ranked_search, op13_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_url_filter, op4_pii, op5_decontamination, op6_substring_dedup, op7_source_mixing, op8_nearest, op9_toxicity, op10_ngram_jaccard, op11_secret_scan, op12_ranked_search, op13_fill_in_middle, pipeline)}
 
 
 _LINES = r"""
@@ -164,6 +170,51 @@ FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id JOIN smallest ON d.d
 """
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SECRETS = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+matched AS (
+  SELECT r, t, 'assign' AS pattern, regexp_extract_all(t, {_quoted(ASSIGN)}) AS ms, string_split_regex(t, {_quoted(ASSIGN)}) AS gaps FROM docs UNION ALL
+  SELECT r, t, 'access', regexp_extract_all(t, {_quoted(ACCESS)}), string_split_regex(t, {_quoted(ACCESS)}) FROM docs UNION ALL
+  SELECT r, t, 'hex', regexp_extract_all(t, {_quoted(HEX)}), string_split_regex(t, {_quoted(HEX)}) FROM docs UNION ALL
+  SELECT r, t, 'weak', regexp_extract_all(t, {_quoted(WEAK)}), string_split_regex(t, {_quoted(WEAK)}) FROM docs UNION ALL
+  SELECT r, t, 'break', regexp_extract_all(t, {_quoted(BREAK)}), string_split_regex(t, {_quoted(BREAK)}) FROM docs),
+hits AS (SELECT r, pattern, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS nth FROM matched WHERE len(ms) > 0),
+kinds AS (
+  SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r, pattern ORDER BY nth)::BIGINT AS e,
+    CASE WHEN pattern = 'assign' THEN CASE WHEN length(regexp_extract(m, {_quoted(ASSIGN)}, 2)) >= 6 THEN 'assign' END
+         WHEN pattern <> 'weak' THEN pattern
+         WHEN regexp_full_match(m, {_quoted(ENDPOINT)}) THEN 'endpoint' WHEN regexp_full_match(m, {_quoted(KEY)}) THEN 'key' WHEN regexp_full_match(m, {_quoted(IDENT)}) THEN 'ident'
+         WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN 'blob' END AS kind
+  FROM hits),
+places AS (
+  SELECT r, kind, e - length(m) AS s, e, list_position(['assign', 'access', 'hex', 'ident', 'key', 'blob', 'endpoint'], kind) AS o
+  FROM kinds WHERE kind IS NOT NULL),
+parts AS (
+  SELECT *, (SELECT count(*) FROM places b WHERE b.r = p.r AND b.kind = 'break' AND b.s <= p.s) AS scope FROM places p WHERE kind <> 'break'),
+clear AS (SELECT * FROM parts p WHERE o < 4 OR NOT EXISTS (SELECT 1 FROM parts q WHERE q.r = p.r AND q.o < 4 AND q.s < p.e AND p.s < q.e)),
+seen AS (
+  SELECT p.r, p.s, p.e, p.kind, p.o, bool_or(q.kind = 'access') AS i, bool_or(q.kind IN ('assign', 'hex')) AS x, bool_or(q.kind = 'ident') AS wi,
+         bool_or(q.kind IN ('key', 'blob')) AS wx, bool_or(q.kind = 'endpoint') AS ep
+  FROM clear p JOIN clear q ON p.r = q.r AND p.scope = q.scope AND (p.o, p.s, p.e) <> (q.o, q.s, q.e) AND p.s - q.e <= {REACH} AND q.s - p.e <= {REACH}
+  WHERE p.o >= 4 GROUP BY ALL),
+every AS (
+  SELECT r, s, e, kind, o FROM places WHERE o < 4 UNION ALL
+  SELECT r, s, e, kind, o FROM seen
+  WHERE CASE WHEN kind = 'ident' THEN x OR (wx AND ep) WHEN kind = 'endpoint' THEN (i OR wi) AND (x OR wx) ELSE i OR (wi AND ep) END),
+lists AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         count(*) FILTER (o >= 4) AS n_linked, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 4) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans
+  FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_linked, 0) AS n_linked,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists ON docs.r = lists.r
+"""
+
 _RANKED = r"""
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
@@ -205,4 +256,4 @@ FROM parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD, "op12_ranked_search": _RANKED, "op13_fill_in_middle": _FILL}
+    return {"op1_line_dedup": _LINES, "op7_source_mixing": _MIX, "op8_nearest": _NEAREST, "op10_ngram_jaccard": _JACCARD, "op11_secret_scan": _SECRETS, "op12_ranked_search": _RANKED, "op13_fill_in_middle": _FILL}
