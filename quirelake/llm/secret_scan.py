@@ -59,7 +59,8 @@ def _hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select("*", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_{k}") for k, p in patterns.items()])
     rows = rows.withColumn("_break", F.when(F.size("_weak") > 0, F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))).otherwise(F.array().cast("array<string>")))
     patterns["break"] = BREAK
-    rows = rows.select("*", *[F.when(F.size(f"_{k}") > 0, F.transform(F.split(text, p, -1), F.length)).alias(f"_{k}_gaps") for k, p in patterns.items()])
+    gaps = {k: F.when(F.size(f"_{k}") > 0, F.transform(F.split(text, p, -1), F.length)).otherwise(F.array().cast("array<int>")) for k, p in patterns.items()}
+    rows = rows.select("*", *[F.arrays_zip(F.col(f"_{k}").alias("match"), F.slice(g, F.lit(1), F.size(f"_{k}")).alias("gap")).alias(f"_{k}s") for k, g in gaps.items()])
 
     def kind(name: str, match: Column) -> Column:
         if name == "assign":
@@ -67,8 +68,8 @@ def _hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return _weak_kind(match) if name == "weak" else F.lit(name)
 
     def hit(name: str) -> Column:
-        parts = lambda match, i: (F.lit(name).alias("pattern"), i.alias("nth"), F.get(f"_{name}_gaps", i).alias("gap"), F.length(match).alias("size"), kind(name, match).alias("kind"))
-        return F.transform(f"_{name}", lambda match, i: F.struct(*parts(match, i)))
+        parts = lambda x, i: (F.lit(name).alias("pattern"), i.alias("nth"), x["gap"].alias("gap"), F.length(x["match"]).alias("size"), kind(name, x["match"]).alias("kind"))
+        return F.transform(f"_{name}s", lambda x, i: F.struct(*parts(x, i)))
 
     return stored(rows.select("_row", "_id", F.length(text).alias("_chars"), F.concat(*map(hit, patterns)).alias("_hits")))
 
