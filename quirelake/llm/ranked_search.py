@@ -41,59 +41,69 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tf // (1000 * tf + 12 * m)
 
 
-def _bits(values: np.ndarray, width: int) -> np.ndarray:
-    return ((values[:, None] >> np.arange(width)) & 1).astype(bool).ravel()
+def pack(gaps: np.ndarray, more: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of consecutive blocks, bit by bit: ``(bits of a gap, bits of a count, offsets in bytes, bytes)``.
 
-
-def pack(docs: np.ndarray, tfs: np.ndarray) -> bytes:
-    """Gaps between documents and occurrences, each in as many bits as the largest of the block needs."""
-    gaps, more = np.diff(docs, prepend=docs[:1]), tfs - 1
-    a, b = int(gaps.max()).bit_length(), int(more.max()).bit_length()
-    return bytes((a, b)) + np.packbits(np.concatenate((_bits(gaps, a), _bits(more, b)))).tobytes()
-
-
-def unpack(data: bytes, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = data[0], data[1]
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, -1, 2), count=n * (a + b))
+    A block has its gaps between documents and then its occurrences less one,
+    each in as many bits as the largest of the block needs.
+    """
+    sizes = np.diff(starts, append=len(gaps))
+    block, place = np.repeat(np.arange(len(starts)), sizes), np.arange(len(gaps)) - np.repeat(starts, sizes)
+    widths = [np.frexp(np.maximum.reduceat(x, starts))[1].astype(np.int64) for x in (gaps, more)]
+    offsets = np.concatenate(([0], np.cumsum((sizes * (widths[0] + widths[1]) + 7) // 8)))
+    bits = np.zeros(int(offsets[-1]) * 8, bool)
+    for values, width, before in ((gaps, widths[0], 0), (more, widths[1], sizes * widths[0])):
+        at = (offsets[:-1] * 8 + before)[block] + place * width[block]
+        for bit in range(int(width.max(initial=0))):
+            some = width[block] > bit
+            bits[at[some] + bit] = (values[some] >> bit) & 1
+    return widths[0], widths[1], offsets, np.packbits(bits)
+
+
+def unpack(data: bytes, first: int, n: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * (a + b))
     gaps = bits[: n * a].reshape(n, a) @ (1 << np.arange(a))
     return first + np.cumsum(gaps), 1 + bits[n * a :].reshape(n, b) @ (1 << np.arange(b))
 
 
 def _shard(shard: int, ids: list, found: list[Counter], n_docs: int, n_terms: int, kind: pa.DataType) -> pa.RecordBatch:
     """One row with the shard's documents, and one for each block of a term."""
-    lengths = np.array([sum(x.values()) for x in found], np.int64)
+    lengths = np.array([x.total() for x in found], np.int64)
     m = 100 - 25 + 25 * lengths * n_docs // max(n_terms, 1)
     docs = np.repeat(np.arange(len(found)), [len(x) for x in found])
     tfs = np.fromiter((n for x in found for n in x.values()), np.int64, len(docs))
     numbers: dict[bytes, int] = {}
     of = np.fromiter((numbers.setdefault(t, len(numbers)) for x in found for t in x), np.int64, len(docs))
-    order = np.lexsort((docs, of))
+    order = np.argsort(of, kind="stable")  # documents stay in order
     docs, tfs, of = docs[order], tfs[order], of[order]
-    tops = impact(tfs, m[docs])
-    ends = np.searchsorted(of, np.arange(len(numbers)), "right")
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    rows: dict[str, list] = {c: [] for c in ("term", "block", "first", "last", "n", "top", "data")}
-    for term, a, z in zip(numbers, starts.tolist(), ends.tolist(), strict=True):
-        for k, at in enumerate(range(a, z, BLOCK)):
-            part = slice(at, min(at + BLOCK, z))
-            values = (term.decode(errors="replace"), k, docs[part][0], docs[part][-1], part.stop - at, tops[part].max(), pack(docs[part], tfs[part]))
-            for column, value in zip(rows.values(), values, strict=True):
-                column.append(value)
-    size = len(rows["term"])
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    starts = np.flatnonzero(place % BLOCK == 0)
+    gaps = np.diff(docs, prepend=0)
+    gaps[starts] = 0
+    a, b, offsets, data = pack(gaps, tfs - 1, starts)
+    ends = np.append(starts[1:], len(docs)) - 1
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    terms_ = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(of[starts]))
+    heads = (place[starts] // BLOCK, docs[starts], docs[ends], ends - starts + 1, a, b)
+    top = np.maximum.reduceat(impact(tfs, m[docs]), starts)
+
+    def after(column: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(1, column.type), column])
+
+    size = len(starts)
     columns = [
-        pa.array([shard] * (size + 1), pa.int64()),
-        *(pa.array([None, *rows[c]], t) for c, t in (("term", pa.string()), ("block", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("n", pa.int32()), ("top", pa.int64()), ("data", pa.binary()))),
-        pa.array([ids] + [None] * size, pa.list_(kind)),
-        pa.array([m.tolist()] + [None] * size, pa.list_(pa.int64())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "block", "first", "last", "n", "top", "data", "ids", "m"])
+        pa.array(np.full(size + 1, shard), pa.int64()), after(terms_), *(after(pa.array(x, pa.int32())) for x in heads), after(pa.array(top, pa.int64())), after(packed),
+        pa.array([ids] + [None] * size, pa.list_(kind)), pa.array([m.tolist()] + [None] * size, pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "block", "first", "last", "n", "a", "b", "top", "data", "ids", "m"])
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """The index of all rows of ``docs``, and how many of them have a term.
 
-    Rows ``shard, term, block, first, last, n, top, data, ids, m``: a block's
-    places in its shard, postings, largest impact and packed postings; and for
+    Rows ``shard, term, block, first, last, n, a, b, top, data, ids, m``: a
+    block's places in its shard, postings, bits of a gap and of a count, largest
+    impact and packed postings; and for
     each shard a row without term that has the ids and length factors of its
     documents. Two passes: counts of documents and terms, then the shards,
     which each task makes of its own rows, so nothing is shuffled.
@@ -122,62 +132,75 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield _shard(number, ids, found, n_docs, n_terms, kind)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"shard long, term string, block int, first int, last int, n int, top long, data binary, ids array<{kind}>, m array<long>"
+    schema = f"shard long, term string, block int, first int, last int, n int, a int, b int, top long, data binary, ids array<{kind}>, m array<long>"
     return stored(docs.select(F.col(id_col).alias("_id"), text.alias("_text")).mapInArrow(shards, schema)), n_docs
 
 
 class Postings:
-    """A term's blocks in a shard: heads as arrays, postings unpacked once asked for."""
+    """A term's blocks in a shard: heads as arrays, documents and impacts unpacked once asked for."""
 
-    def __init__(self, first: np.ndarray, last: np.ndarray, n: np.ndarray, top: np.ndarray, data: list[bytes]) -> None:
-        self.first, self.last, self.n, self.top, self.data = first, last, n, top, data
-        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, heads: dict[str, np.ndarray], data: list[bytes], m: np.ndarray) -> None:
+        self.heads, self.first, self.last, self.top = heads, heads["first"], heads["last"], heads["top"]
+        self.data, self._m, self._open = data, m, {}
 
-    def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self._open:
-            self._open[k] = unpack(self.data[k], int(self.first[k]), int(self.n[k]))
-        return self._open[k]
+    def blocks(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and impacts of some blocks."""
+        for k in numbers.tolist():
+            if k not in self._open:
+                docs, tfs = unpack(self.data[k], *(int(self.heads[c][k]) for c in ("first", "n", "a", "b")))
+                self._open[k] = docs, impact(tfs, self._m[docs])
+        some = [self._open[k] for k in numbers.tolist()]
+        return some[0] if len(some) == 1 else (np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]))
 
     @property
     def opened(self) -> int:
         return len(self._open)
 
 
-def block_max_wand(weighted: list[tuple[int, Postings]], m: np.ndarray, k: int, before: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best documents of a shard and their scores; ``before`` puts documents of equal score into their order.
+#: Stretches that a query visits first, and how many times as many it visits after each visit.
+FIRST_VISIT, GROWTH = 32, 8
+
+
+def block_max_wand(weighted: list[tuple[int, Postings]], n_docs: int, k: int, before: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of a shard's documents and their scores; ``before`` puts documents of equal score into their order.
 
     The heads of all blocks cut the shard into stretches, in each of which one
     block of a term at most can stand; the sum of their largest impacts bounds
-    its scores. Stretches are visited from the largest bound down, twice as many
-    each time, until the next bound is under the k-th score so far.
+    its scores. Stretches are visited from the largest bound down until the next
+    bound is under the k-th score so far; only then are their blocks unpacked.
     """
     edges = np.unique(np.concatenate([x for _, p in weighted for x in (p.first, p.last + 1)]))
-    starts, ends = edges[:-1], edges[1:] - 1
-    bound = np.zeros(len(starts), np.int64)
+    starts, ends = edges[:-1], edges[1:]
+    bound, standing = np.zeros(len(starts), np.int64), []
     for weight, p in weighted:
-        at = np.minimum(np.searchsorted(p.last, starts), len(p.last) - 1)
-        bound += np.where((p.first[at] <= starts) & (p.last[at] >= starts), weight * p.top[at], 0)
+        at = np.searchsorted(p.last, starts)
+        at[at == len(p.last)] = -1
+        at[p.first[at] > starts] = -1
+        bound += np.where(at >= 0, weight * p.top[at], 0)
+        standing.append(at)
     order = np.argsort(-bound, kind="stable")
     best_docs, best_scores, least = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
-    done, step = 0, 1
+    done, step = 0, FIRST_VISIT
     while done < len(order) and bound[order[done]] >= least:
         now = order[done : done + step]
-        now = np.sort(now[bound[now] >= least])
-        done, step = done + step, step * 2
-        lengths = ends[now] - starts[now] + 1
-        docs = np.repeat(starts[now] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-        scores = np.zeros(len(docs), np.int64)
-        for weight, p in weighted:
-            at = np.searchsorted(p.last, starts[now])
-            inside = at < len(p.last)
-            inside[inside] = p.first[at[inside]] <= starts[now][inside]
-            for b in np.unique(at[inside]):
-                which, tfs = p.block(int(b))
-                place = np.minimum(np.searchsorted(docs, which), len(docs) - 1)
-                hit = docs[place] == which
-                scores[place[hit]] += weight * impact(tfs[hit], m[which[hit]])
-        good = scores >= least
-        docs, scores = np.concatenate((best_docs, docs[good])), np.concatenate((best_scores, scores[good]))
+        now = now[bound[now] >= least]
+        done, step = done + step, step * GROWTH
+        scores = np.zeros(n_docs, np.int64)
+        for (weight, p), at in zip(weighted, standing, strict=True):
+            wanted = np.zeros(len(p.last) + 1, bool)
+            wanted[at[now]] = True
+            wanted = np.flatnonzero(wanted[:-1])
+            if len(wanted):
+                docs, impacts = p.blocks(wanted)
+                scores[docs] += weight * impacts
+        visited = np.zeros(n_docs + 1, np.int64)
+        visited[starts[now]] += 1
+        visited[ends[now]] -= 1
+        docs = np.flatnonzero((np.cumsum(visited[:-1]) > 0) & (scores >= least))
+        docs, scores = np.concatenate((best_docs, docs)), np.concatenate((best_scores, scores[docs]))
+        if len(docs) > k:
+            least_of = np.partition(scores, -k)[-k]
+            docs, scores = docs[scores >= least_of], scores[scores >= least_of]
         top = before(docs)
         top = top[np.argsort(-scores[top], kind="stable")][:k]
         best_docs, best_scores = docs[top], scores[top]
@@ -202,15 +225,18 @@ def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
             return pd.DataFrame(columns=columns)
         ids, m = list(heads["ids"].iloc[0]), np.array(heads["m"].iloc[0], np.int64)
         ranks = _in_order(ids)
+        of_terms = blocks[blocks["term"].notna()].sort_values(["term", "block"])
+        columns_of = {c: of_terms[c].to_numpy(np.int64) for c in ("block", "first", "last", "n", "a", "b", "top")}
+        starts, names, data = np.flatnonzero(columns_of["block"] == 0), of_terms["term"].to_numpy(), of_terms["data"].to_numpy()
         postings = {}
-        for term, x in blocks[blocks["term"].notna()].sort_values("block").groupby("term"):
-            postings[term] = Postings(*(x[c].to_numpy(np.int64) for c in ("first", "last", "n", "top")), list(x["data"]))
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(names)], strict=True):
+            postings[names[a]] = Postings({c: x[a:z] for c, x in columns_of.items()}, list(data[a:z]), m)
         rows = []
         for query, words, weights in zip(queries["_query"], queries["_terms"], queries["_weights"], strict=True):
             weighted = [(int(w), postings[t]) for t, w in zip(words, weights, strict=True) if t in postings and w > 0]
             if weighted:
-                docs, scores = block_max_wand(weighted, m, k, lambda d: np.argsort(ranks[d], kind="stable"))
-                rows += [(query, ids[d], s, sum(p.opened for _, p in weighted), sum(len(p.n) for _, p in weighted)) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)]
+                docs, scores = block_max_wand(weighted, len(ids), k, lambda d: np.argsort(ranks[d], kind="stable"))
+                rows += [(query, ids[d], s, sum(p.opened for _, p in weighted), sum(len(p.last) for _, p in weighted)) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)]
         return pd.DataFrame(rows, columns=columns)
 
     return search
@@ -263,7 +289,7 @@ def search_documents(
     lists = words.join(weights, "term").groupBy("_query", "_batch").agg(F.collect_list(F.struct("term", (F.col("_w") * F.col("_times")).alias("w"))).alias("_t"))
     lists = lists.select("_query", "_batch", F.col("_t.term").alias("_terms"), F.col("_t.w").alias("_weights"))
     heads = index.filter("term IS NULL").withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    blocks = found.unionByName(heads).select("shard", "_batch", "term", "block", "first", "last", "n", "top", "data", "ids", "m")
+    blocks = found.unionByName(heads).select("shard", "_batch", "term", "block", "first", "last", "n", "a", "b", "top", "data", "ids", "m")
     tasks = heads.select(F.col("shard").alias("_shard"), "_batch").join(lists, "_batch").withColumnRenamed("_batch", "_part")
     kind = docs.schema[id_col].dataType.simpleString()
     best = (
