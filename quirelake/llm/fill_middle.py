@@ -1,17 +1,17 @@
 """Fill-in-the-middle transformation over an index of distinct texts.
 
-Identical texts are grouped by their content, the token boundaries of each are
-computed once as an Elias-Fano list, documents are joined back to their text,
-and each selects its seeded cuts from the list.
+Identical texts are grouped by their content, documents are joined back to their
+text as id and key, the token boundaries of a text are computed once as an
+Elias-Fano list when its first document comes, and each document selects its
+seeded cuts from the list.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +60,14 @@ def select(coded: bytes, rank: int) -> int:
     return (place - rank) << low | int(bits @ (1 << np.arange(low)))
 
 
-def boundaries(column: pd.Series) -> Iterator[np.ndarray]:
+def boundaries(column: pa.Array) -> Iterator[np.ndarray]:
     """Ends of the tokens of each text, in code points.
 
     A token is a run of other characters with the ``[\\x20\\x09-\\x0D]`` before
     it; what of those stands last is a token too. So tokens end where runs of
     other characters end, and at the end of the text.
     """
-    for _, _, data, offsets in text_chunks(pa.Array.from_pandas(column, type=pa.large_string())):
+    for _, _, data, offsets in text_chunks(column):
         space = _SPACE[data]
         ends = ~space
         ends[:-1] &= space[1:]
@@ -81,17 +81,43 @@ def boundaries(column: pd.Series) -> Iterator[np.ndarray]:
             yield points[at[places[i] : places[i + 1]]] - before[i]
 
 
-def _index(texts: DataFrame) -> DataFrame:
-    """``_key, _text, _n, _list`` of each distinct text of ``_key, _text``."""
-
-    @F.pandas_udf("_n long, _list binary")
-    def listed(column: pd.Series) -> pd.DataFrame:
-        lists = [(len(ends), encode(ends)) for ends in boundaries(column)]
-        return pd.DataFrame(lists, columns=["_n", "_list"])
-
-    one = texts.groupBy("_key").agg(F.collect_set("_text").alias("_texts"))
+def _texts(rows: DataFrame) -> DataFrame:
+    """``_key, _text`` of each distinct text, which all rows of the key must share."""
+    one = rows.groupBy("_key").agg(F.collect_set("_text").alias("_texts"))
     text = F.when(F.size("_texts") == 1, F.get("_texts", F.lit(0))).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
-    return one.select("_key", text.alias("_text")).withColumn("_listed", listed("_text")).select("_key", "_text", "_listed.*")
+    return one.select("_key", text.alias("_text"))
+
+
+def _cutter(rate: int, suffix_first: int, sentinels: tuple[str, str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    p, s, m = sentinels
+
+    def made(text: str, n: int, coded: bytes, numbers: tuple[int, ...]) -> tuple[str, int | None, int | None, str]:
+        if not n or any(x in text for x in sentinels) or numbers[2] % 100 >= rate:
+            return "plain", None, None, text
+        one, two = sorted((numbers[0] % (n + 1), numbers[1] % (n + 1)))
+        a, b = (select(coded, x - 1) if x else 0 for x in (one, two))
+        if numbers[3] % 100 < suffix_first:
+            return "spm", a, b - a, f"{s}{text[b:]}{p}{text[:a]}{m}{text[a:b]}"
+        return "psm", a, b - a, f"{p}{text[:a]}{s}{text[b:]}{m}{text[a:b]}"
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key, so a list is made where the key changes, and kept until it does again."""
+        key, n, coded = None, 0, b""
+        for batch in batches:
+            keys = batch.column(1).to_pylist()
+            new = [i for i, x in enumerate(keys) if x != (keys[i - 1] if i else key)]
+            lists = dict(zip(new, boundaries(batch.column(2).take(pa.array(new, pa.int64()))), strict=True))
+            rows = []
+            for i, (text, *numbers) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True)):
+                if i in lists:
+                    n, coded = len(lists[i]), encode(lists[i])
+                rows.append((n, *made(text, n, coded, numbers)))
+            key = keys[-1] if keys else key
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+
+    return cut_all
 
 
 def restored(output: Column, form: Column, sentinels: tuple[str, str, str] = ("<P>", "<S>", "<M>")) -> Column:
@@ -131,10 +157,10 @@ def fill_in_middle(
     gives an empty table; columns not named are ignored.
 
     At scale: the text of each content is shuffled once, after copies of it have
-    met in each task, and one Elias-Fano list (some five bits a token) is made
-    of it; documents come to it as id and key only. A group is one text if all
-    its rows are equal as text, not only by their key; else the job ends with
-    an error. Copies of a text that more than a thousandth of all rows (1000 at
+    met in each task; documents come to it as id and key only, in the order of
+    keys, and one Elias-Fano list (some five bits a token) serves them all. A
+    group is one text if all its rows are equal as text, not only by their key;
+    else the job ends with an error. Copies of a text that more than a thousandth of all rows (1000 at
     least) share, of which there can't be more than a thousand, are dealt over
     ``SALTS`` partitions; the broadcast list of such keys has at most that many.
     """
@@ -144,36 +170,16 @@ def fill_in_middle(
     hot = cut(counts.filter(F.col("_rows") > common).select("_key", F.lit(True).alias("_hot")))
     marked = rows.join(F.broadcast(hot), "_key", "left")
     usual, often = marked.filter("_hot IS NULL"), marked.filter("_hot")
-    usual = usual.select("_id", "_key").join(_index(usual.select("_key", "_text")), "_key")
     salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    salted = _index(often.select("_key", "_text")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    often = often.select("_id", "_key", salt.alias("_salt")).join(salted, ["_key", "_salt"]).drop("_salt")
+    salted = _texts(often).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), 256)
+    numbers = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"_h{i}") for i in range(4)]
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf("_from long, _to long")
-    def cuts(lists: pd.Series, one: pd.Series, two: pd.Series) -> pd.DataFrame:
-        found = [(select(x, a - 1) if a else 0, select(x, b - 1) if b else 0) for x, a, b in zip(lists, one, two, strict=True)]
-        return pd.DataFrame(found, columns=["_from", "_to"])
+    def cut_up(joined: DataFrame) -> DataFrame:
+        given = joined.select("_id", "_key", "_text", *numbers).sortWithinPartitions("_key")
+        return given.mapInArrow(_cutter(rate, suffix_first, sentinels), f"_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
 
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), 256)
-    numbers = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
-    text, n = F.col("_text"), F.col("_n")
-    plain = (n == 0) | F.contains(text, F.lit(sentinels[0])) | F.contains(text, F.lit(sentinels[1])) | F.contains(text, F.lit(sentinels[2]))
-    seeded = usual.unionByName(often).select(
-        "_id", "_text", "_n", "_list",
-        F.least(numbers[0] % (n + 1), numbers[1] % (n + 1)).alias("_one"),
-        F.greatest(numbers[0] % (n + 1), numbers[1] % (n + 1)).alias("_two"),
-        F.when(plain | (numbers[2] % 100 >= rate), "plain").when(numbers[3] % 100 < suffix_first, "spm").otherwise("psm").alias("_form"),
-    )
-    placed = seeded.withColumn("_cut", cuts("_list", "_one", "_two")).select("_id", "_text", "_n", "_form", "_cut.*")
-    start, end = F.col("_from").cast("int"), F.col("_to").cast("int")
-    prefix, middle, suffix = F.substring(text, F.lit(1), start), F.substring(text, start + 1, end - start), F.substring(text, end + 1, F.length(text))
-    p, s, m = map(F.lit, sentinels)
-    changed = F.col("_form") != "plain"
-    return placed.select(
-        F.col("_id").alias(id_col),
-        n.alias("n"),
-        F.col("_form").alias("form"),
-        F.when(changed, F.col("_from")).alias("prefix_chars"),
-        F.when(changed, F.col("_to") - F.col("_from")).alias("middle_chars"),
-        F.when(~changed, text).when(F.col("_form") == "psm", F.concat(p, prefix, s, suffix, m, middle)).otherwise(F.concat(s, suffix, p, prefix, m, middle)).alias("output"),
-    )
+    made = cut_up(usual.select("_id", "_key").join(_texts(usual), "_key"))
+    made = made.unionByName(cut_up(often.select("_id", "_key", salt.alias("_salt")).join(salted, ["_key", "_salt"])))
+    return made.withColumnRenamed("_id", id_col)
