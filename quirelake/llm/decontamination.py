@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, word_count
 from .tokens import mix, text_chunks, words
 
 _BASE = 0x9E3779B97F4A7C15 | 3
@@ -128,8 +128,8 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield row, end, [h[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _seeds(texts: DataFrame, n: int, among: np.ndarray | None) -> DataFrame:
-    """``_id, _seed``: the distinct runs of ``n`` words of each text; shorter texts are one seed of ``items`` only."""
+def _seeds(texts: DataFrame, lengths: list[int], among: np.ndarray | None = None) -> DataFrame:
+    """``_id, _seed``: the distinct runs of each of ``lengths`` words of each text; without ``among``, of the largest of them that the text has."""
     shared = texts.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,8 @@ def _seeds(texts: DataFrame, n: int, among: np.ndarray | None) -> DataFrame:
             for row, end, tokens in _tokens(batch.column(1)):
                 out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for i, t in enumerate(tokens):
-                    h = np.unique(window_hashes(t, n))
+                    chosen = lengths if shared is not None else [x for x in lengths if x <= len(t)][-1:]
+                    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *(window_hashes(t, x) for x in chosen)]))
                     if shared is not None:
                         bits = shared.value
                         slot = h >> np.uint64(64 - (len(bits) * 8 - 1).bit_length())
@@ -179,8 +180,8 @@ def contaminated_pairs(
     Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lowered. Tiles are at least
     ``min_match`` words long; ``coverage`` is tiled words over words of the item.
 
-    Edge cases: null or empty texts and items match nothing, nor do items of
-    fewer than ``min_match`` words (one cannot tell them from chance); null
+    Edge cases: null or empty texts and items match nothing; an item of fewer
+    than ``min_match`` words is one tile, found as a whole at word bounds; null
     ids take no part; repeated rows with one id count once (the least text is
     taken, so reruns agree); empty tables give an empty table; columns not
     named are ignored.
@@ -193,8 +194,10 @@ def contaminated_pairs(
     """
     items = cut(benchmark.filter(F.col(item_col).isNotNull()).groupBy(F.col(item_col).alias("_id")).agg(F.min(F.col(item_text_col).cast("string")).alias("_text")))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    item_seeds = cut(_seeds(items, min_match, None).select(F.col("_id").alias("_item"), "_seed"))
-    doc_seeds = _seeds(base, min_match, _seed_bits(item_seeds, filter_bits))
+    item_seeds = cut(_seeds(items, list(range(1, min_match + 1))).select(F.col("_id").alias("_item"), "_seed"))
+    short = items.select(word_count(F.col("_text")).cast("int").alias("n")).filter(F.col("n").between(1, min_match - 1)).distinct()
+    lengths = sorted(r["n"] for r in short.collect())  # fewer than min_match numbers
+    doc_seeds = _seeds(base, [*lengths, min_match], _seed_bits(item_seeds, filter_bits))
     pairs = cut(doc_seeds.join(item_seeds, "_seed").select("_id", "_item").distinct())
     texts = base.join(pairs.select("_id").distinct(), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
     both = pairs.join(texts, "_id").join(items.select(F.col("_id").alias("_item"), F.col("_text").alias("_item_text")), "_item")
@@ -205,7 +208,7 @@ def contaminated_pairs(
             rows = []
             for row, _, part in _tokens(batch.column(2)):
                 for i, doc in enumerate(part, row):
-                    found = tiles(doc, item_tokens[i], min_match)
+                    found = tiles(doc, item_tokens[i], min(min_match, len(item_tokens[i])))
                     rows.append((sum(x[2] for x in found), len(item_tokens[i]), len(found)))
             covered, n_words, n_tiles = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), covered, n_words, n_tiles], ["_id", "_item", "covered", "n_words", "n_tiles"])

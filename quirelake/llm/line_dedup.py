@@ -37,13 +37,14 @@ def dedup_lines(
     Returns ``id, *carry, text, n_lines, n_dropped``, one row for each input row.
 
     Edge cases: a null or empty text is one empty line and comes back as ``""``;
-    each input row counts as a document, so repeated rows count each, and rows
-    that tie for the largest id keep their lines; a null id sorts below all
-    others; an empty table gives an empty table; columns not named are ignored.
+    rows that share an id are one document where documents are counted, and all
+    keep their lines if that id is the largest; rows without an id are one
+    document, below all others; an empty table gives an empty table; columns
+    not named are ignored.
 
-    At scale: the distinct keys of a document are found inside its row, so the
-    count is one shuffle with map-side partial aggregates (a key that everyone
-    has is one row a task). Keys with over a thousandth of all repeated lines,
+    At scale: the distinct keys of a row are found inside it, and the count is
+    two shuffles with map-side partial aggregates: by key and document, which
+    spreads a key that everyone has, and by key. Keys with over a thousandth of all repeated lines,
     of which there can't be more than a thousand, are broadcast, and their lines
     are dealt over ``SALTS`` partitions for the lookup. The join of positions is
     an equi-join on the document; texts are shuffled once.
@@ -59,7 +60,7 @@ def dedup_lines(
         lines.select("_id", F.explode(F.array_distinct(F.filter(F.transform("_lines", _key), long_enough))).alias("_key"))
         .select("_id", *_hashes(F.col("_key")))
         .groupBy("_h1", "_h2")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper"))
+        .agg(F.count_distinct(F.struct("_id")).alias("_n"), F.max("_id").alias("_keeper"))
         .filter(F.col("_n") >= min_docs)
     )
     common = max(1000, (repeated.agg(F.sum("_n")).first()[0] or 0) // 1000)

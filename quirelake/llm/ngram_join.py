@@ -30,8 +30,8 @@ SKETCH_BITS = 22
 #: Pairs of more n-grams than this are multiplied in ``2**COLUMN_BITS`` blocks of columns, others in one.
 BLOCK_COLUMNS = 1 << 14
 COLUMN_BITS = 4
-#: Rounds in which one more class of a column meets the others before all pairs that are left do.
-STARS = 2
+#: Rounds at most in which one more class of a column meets the others before all pairs that are left do.
+STARS = 8
 _SLICES = 16
 _FAN_IN = 256
 _PARITY_BITS = 512
@@ -216,9 +216,10 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nothing; an empty table gives an empty table; columns not named are ignored.
 
     Exactness: documents of one set are a class. Classes that meet in a column
-    are first compared with the column's smallest class, then, in columns that
-    still hold different components, with ``STARS`` others in turn; what is left
-    there is compared pair by pair if it passes the bounds. No link between two components can be missed, and
+    are first compared with the column's smallest class. As long as columns hold
+    more pairs of different components than there are rows, another class of
+    each meets the others (``STARS`` times at most); what is left there is
+    compared pair by pair if it passes the bounds. No link between two components can be missed, and
     a large group of copies needs one comparison for each member.
 
     At scale: a column's rows are aggregated before the shuffle, joins are
@@ -265,9 +266,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links = cut(verified(first))
     found = cut(connected_components(links))
     tried = first.select("a", "b")
+    n_members = members.count()
     for turn in range(STARS):
-        # another class of each column that still holds several components meets those of the others
+        # another class of each column that still holds several components meets those of the others,
+        # as long as more pairs than rows would be left
         placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", F.coalesce("component", "_rep").alias("_comp"))
+        sizes = placed.groupBy("_column", "_comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("_column").agg(((F.sum("_k") ** 2 - F.sum(F.col("_k") * F.col("_k"))) / 2).alias("_pairs"))
+        if (sizes.agg(F.sum("_pairs")).first()[0] or 0) <= n_members:
+            break
         one = F.struct("_rep", "_comp")
         heads = placed.groupBy("_column").agg(F.min_by(one, F.xxhash64("_rep", F.lit(turn))).alias("_l"), F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).filter("_x <> _y").select("_column", "_l")
         met = placed.join(heads, "_column").filter("_comp <> _l._comp").select(F.least("_rep", "_l._rep").alias("a"), F.greatest("_rep", "_l._rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

@@ -9,10 +9,12 @@ whose surrogate is taken or is a real entity; they get the next draw.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
 import ipaddress
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -128,11 +130,12 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                     found.append((*m.span("v"), kind))
     found += _names(text)
     rank = {kind: i for i, (kind, _) in enumerate(PATTERNS)}
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # apart and in order, so only the two around a span can overlap it
     for span in sorted(set(found), key=lambda x: (rank.get(x[2], 99), x[0], -x[1])):
-        if all(span[1] <= a or span[0] >= b for a, b, _ in taken):
-            taken.append(span)
-    return sorted(taken)
+        at = bisect.bisect(taken, span)
+        if (not at or taken[at - 1][1] <= span[0]) and (at == len(taken) or taken[at][0] >= span[1]):
+            taken.insert(at, span)
+    return taken
 
 
 def _iban_valid(value: str) -> bool:
@@ -259,27 +262,30 @@ def _final_surrogates(found: DataFrame, key: bytes, max_draws: int) -> DataFrame
 
     Given names need no check: each stands for the next one in a keyed cycle of
     its pool. Entities that ``max_draws`` draws leave without a surrogate of
-    their own raise an error.
+    their own get one that is longer by ``#`` and a keyed digest, so the forms
+    of a kind can't run out.
     """
 
     def draws(n: int):
+        def one(kind: str, value: str) -> str:
+            tag = "" if n < max_draws else "#" + hmac.new(key, f"{n}|{kind}|{value}".encode(), "sha256").hexdigest()[:16]
+            return surrogate(kind, value, key, n) + tag
+
         @F.pandas_udf("string")
         def draw(kind: pd.Series, value: pd.Series) -> pd.Series:
-            return pd.Series([surrogate(k, v, key, n) for k, v in zip(kind, value, strict=True)], dtype=object)
+            return pd.Series([one(k, v) for k, v in zip(kind, value, strict=True)], dtype=object)
 
         return draw("kind", "value")
 
     originals = cut(found.filter("kind <> 'given'").select("kind", "value").distinct())
     current = cut(originals.withColumn("surrogate", draws(0)).withColumn("draw", F.lit(0)))
     real = originals.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("_real"))
-    for n in range(1, max_draws + 2):
+    for n in itertools.count(1):
         first = current.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "value")).alias("_first"))
         held = current.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         clash = cut(held.filter("_real OR value <> _first.value").select("kind", "value"))
         if clash.isEmpty():
             break
-        if n > max_draws:
-            raise ValueError(f"{clash.count()} surrogates are still taken after {max_draws} draws")
         again = clash.withColumn("surrogate", draws(n)).withColumn("draw", F.lit(n))
         current = cut(current.join(clash, ["kind", "value"], "left_anti").unionByName(again))
     return current.filter("draw > 0").select("kind", "value", "surrogate")
@@ -292,31 +298,31 @@ def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
 
     Edge cases: a null text stays null with 0 replaced; an empty one stays
     empty; repeated rows are replaced alike; texts are read whole; null ids
-    pass through, but can't be looked up, so an entity of theirs whose first
-    draw is taken keeps that draw; an empty table gives an empty table; columns
-    not named are ignored.
+    pass through, as rows are told apart by id and text; an empty table gives an
+    empty table; columns not named are ignored.
 
     At scale: two passes over the texts. Between them only distinct entities
     are shuffled; documents are joined with replacement lists only if any
     entity needed a second draw.
     """
     secret = key.encode()
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_fp", F.xxhash64("_text"))
     id_kind = base.schema["_id"].dataType.simpleString()
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, kind, text[a:b]) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, kind in entities(text or "")]
+            rows = [(i, fp, kind, text[a:b]) for i, text, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a, b, kind in entities(text or "")]
             rows = list(dict.fromkeys(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["_id", "kind", "value"])
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["_id", "_fp", "kind", "value"])
 
-    found = cut(base.mapInArrow(detect, f"_id {id_kind}, kind string, value string"))
+    found = cut(base.mapInArrow(detect, f"_id {id_kind}, _fp long, kind string, value string"))
     redrawn = cut(_final_surrogates(found, secret, max_draws))
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            others = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            others = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
             for text, other in zip(batch.column(1).to_pylist(), others, strict=True):
                 known = {(x["kind"], x["value"]): x["surrogate"] for x in other or ()}
                 spans = entities(text or "")
@@ -329,7 +335,7 @@ def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["_id", "_text", "n_replaced"])
 
     if not redrawn.isEmpty():
-        lists = found.join(redrawn, ["kind", "value"]).groupBy("_id").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("_others"))
-        base = base.join(lists, "_id", "left")
+        lists = found.join(redrawn, ["kind", "value"]).groupBy(F.col("_id").alias("_of"), F.col("_fp").alias("_with")).agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("_others"))
+        base = base.join(lists, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_fp") == F.col("_with")), "left").select("_id", "_text", "_fp", "_others")
     done = base.mapInArrow(replaced, f"_id {id_kind}, _text string, n_replaced long")
     return done.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "n_replaced")

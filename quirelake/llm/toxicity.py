@@ -55,7 +55,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 def _against(content: bytes) -> Callable[[bytes], int]:
     """Compressed length of a short stretch of text next to ``content``, by optimal matches of five bytes or more."""
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=20, hash_log=17, chain_log=17, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
+        window_log=21, hash_log=18, chain_log=18, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     shared = zstandard.ZstdCompressionDict(content + _MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -90,7 +90,7 @@ def _evidence(mine: list[bytes], other: list[bytes], min_contexts: int, most: in
     return pieces, evidence
 
 
-def peculiar_stretches(toxic: list[bytes], ordinary: list[bytes], *, shard_bytes: int = 1 << 17, shards: int = 8, min_contexts: int = 5, most: int = 5, odds: float = 4.0) -> list[bytes]:
+def peculiar_stretches(toxic: list[bytes], ordinary: list[bytes], *, shard_bytes: int = 1 << 21, shards: int = 8, min_contexts: int = 5, most: int = 5, odds: float = 4.0) -> list[bytes]:
     """The stretches of ``toxic`` that toxic text shortens and ordinary text doesn't, one entry a text.
 
     Both classes are dealt into shards of equal length. A word's gain in a shard
@@ -99,7 +99,9 @@ def peculiar_stretches(toxic: list[bytes], ordinary: list[bytes], *, shard_bytes
     stand in few shards, give little, and words in fewer than ``min_contexts``
     surroundings are not measured. The threshold is calibrated by the same
     measure with the classes exchanged: the least sum that ``odds`` times as
-    many words of toxic text reach as words of ordinary text.
+    many words of toxic text reach as words of ordinary text. Of a shard at most
+    ``shard_bytes`` are read, more than the passages that ``fit_toxicity`` takes
+    can have.
     """
     k = max(2, min(shards, sum(map(len, toxic)) // (1 << 13)))
     dealt = zip(_shards(toxic, k, shard_bytes), _shards(ordinary, k, shard_bytes), strict=True)
