@@ -29,14 +29,14 @@ _EI = re.compile(r"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)")
 _LIKELY_TEXT = re.compile(r"[\t\n\x0c\r\x20-\x7e]*")
 
 
-def lex(text: str, start: int = 0) -> Iterator[tuple[str, int, int]]:
-    """``(kind, start, end)`` of each token; never fails, damaged bytes are ``error`` tokens."""
+def lex(text: str, start: int = 0, open_strings: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[str, int, int]]:
+    """``(kind, start, end)`` of each token; never fails, damaged bytes are ``error`` tokens. ``open_strings`` are known not to end."""
     at, n = start, len(text)
     while at < n:
         m = _TOKEN.match(text, at)
         kind, end = m.lastgroup, m.end()
         if kind == "string":
-            end = _string_end(text, end)
+            end = -1 if at in open_strings else _string_end(text, end)
             if end < 0:
                 kind, end = "error", n
         elif kind == "hex" and (text[end - 1] != ">" or end - at < 2):
@@ -59,6 +59,17 @@ def _string_end(text: str, at: int) -> int:
     return -1
 
 
+def unclosed(text: str, start: int) -> set[int]:
+    """The places from ``start`` on of parentheses that are never closed."""
+    held: list[int] = []
+    for m in _PAREN.finditer(text, start):
+        if m[0] == "(":
+            held.append(m.start())
+        elif m[0] == ")" and held:
+            held.pop()
+    return set(held)
+
+
 def values(text: str, start: int = 0) -> Iterator[tuple[str, int, int]]:
     """``(kind, start, end)`` of whole values: a bracketed value is one of kind ``dict`` or ``array``, ``N G R`` one of kind ``ref``."""
     held: list[tuple[str, int, int]] = []

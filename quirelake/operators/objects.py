@@ -83,16 +83,18 @@ def rect_of(found: Column, key: str) -> Column:
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """Every object definition: ``file_id, ordinal, start, end, number, generation, object_id, closed, newest, dictionary, entries, stream``.
+    """Every object definition: ``file_id, ordinal, start, end, number, generation, object_id, closed, broken, newest, clear, dictionary, entries, stream``.
 
     ``stream`` holds raw bytes, null for objects without one; ``dictionary`` is
     the text of the value, ``entries`` its keys if it is a dictionary; ``closed``
-    tells whether ``endobj`` follows. Bytes are cut out inside a file's row, so
+    tells whether ``endobj`` follows, ``broken`` whether the value or the stream
+    has no end of its own, ``clear`` from which places only blanks and comments
+    lead to the header. Bytes are cut out inside a file's row, so
     no copy of a file is made for each of its objects.
     """
     places = object_places("content")
     data = lambda o: F.when(o.stream_start >= 0, F.substring("content", (o.stream_start + 1).cast("int"), (o.stream_end - o.stream_start).cast("int")))
-    cut_out = F.transform("_places", lambda o: F.struct(o.number.alias("number"), o.generation.alias("generation"), o.start.alias("start"), o.end.alias("end"), o.value.alias("dictionary"), o.closed.alias("closed"), o.newest.alias("newest"), data(o).alias("stream")))
+    cut_out = F.transform("_places", lambda o: F.struct(o.number.alias("number"), o.generation.alias("generation"), o.start.alias("start"), o.end.alias("end"), o.value.alias("dictionary"), o.closed.alias("closed"), o.broken.alias("broken"), o.newest.alias("newest"), o.clear.alias("clear"), data(o).alias("stream")))
     rows = files.select("file_id", "content", places.alias("_places")).select("file_id", F.posexplode(cut_out).alias("ordinal", "o")).select("file_id", "ordinal", "o.*")
     return rows.withColumns({"object_id": object_id(F.col("number"), F.col("generation")), "entries": entries("dictionary")})
 
@@ -136,11 +138,21 @@ def object_window(found: DataFrame, first: int, rows: int, overscan: int = 8) ->
 
 
 def object_detail(files: DataFrame, limit: int = 2048) -> DataFrame:
-    """``objects`` with ``raw_text``: up to ``limit`` bytes of the definition as Latin-1, with a line of dots where it goes on."""
+    """``objects`` with ``raw_text``: up to ``limit`` bytes of the definition as Latin-1, with a line of dots where it goes on.
+
+    The texts of a file are cut out of its row together, so no copy of a file
+    is made for each of its objects.
+    """
     found = objects(files)
-    n = F.col("end") - F.col("start")
-    text = latin1(F.substring("content", (F.col("start") + 1).cast("int"), F.least(n, F.lit(limit)).cast("int")))
-    return found.join(files.select("file_id", "content"), "file_id").withColumn("raw_text", F.when(n > limit, F.concat(text, F.lit("\n…"))).otherwise(text)).drop("content")
+    spans = found.groupBy("file_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+
+    def raw(o: Column) -> Column:
+        n = o["end"] - o["start"]
+        text = latin1(F.substring("content", (o["start"] + 1).cast("int"), F.least(n, F.lit(limit)).cast("int")))
+        return F.struct(o["start"].alias("start"), F.when(n > limit, F.concat(text, F.lit("\n…"))).otherwise(text).alias("raw_text"))
+
+    texts = files.select("file_id", "content").join(spans, "file_id").select("file_id", F.explode(F.transform("_spans", raw)).alias("_t")).select("file_id", "_t.*")
+    return found.join(texts, ["file_id", "start"])
 
 
 def edges(found: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from quirelake.functions.syntax import entries
 from quirelake.session import checkpointed
 
 from .objects import classified, decoded, definitions, int_of, name_of, numbers_of
+from .places import resolved
 
 _E = "entries"
 _ENTRY = r"^(\d{10}) (\d{5}) ([nf])"
@@ -23,29 +24,54 @@ ROWS = ("file_id", "section", "source", "ordinal", "number", "type", "offset", "
 
 
 def tables(files: DataFrame) -> DataFrame:
-    """Classic tables: ``file_id, section`` (its offset), ``rows`` (text), ``entries`` of the trailer."""
+    """Classic tables: ``file_id, section`` (its offset), ``rows`` (text), ``entries`` of the trailer, ``clear`` (blanks before it)."""
     places = files.select("file_id", F.explode(table_places("content")).alias("t"))
-    return places.select("file_id", F.col("t.offset").alias("section"), F.col("t.rows").alias("rows"), entries("t.trailer").alias("entries"))
+    return places.select("file_id", F.col("t.offset").alias("section"), F.col("t.rows").alias("rows"), entries("t.trailer").alias("entries"), F.col("t.clear").alias("clear"))
 
 
-def table_rows(found: DataFrame) -> DataFrame:
-    """Entries of classic tables; a row that is none in form is a free one of generation 65535 and ``malformed``."""
-    lines = found.select("file_id", "section", F.posexplode(F.split(F.btrim("rows", F.lit(" \t\r\n")), r"[ ]*(?:\r\n|\n|\r)")).alias("ordinal", "line")).filter("line <> ''")
+def _table_lines(found: DataFrame) -> DataFrame:
+    """Lines of classic tables: ``file_id, section, ordinal, line, what``.
+
+    A header ``first count`` takes the ``count`` lines after it as entries; any
+    other line where a header must stand is ``lost``.
+    """
+    lines = found.select("file_id", "section", F.posexplode(F.filter(F.split(F.btrim("rows", F.lit(" \t\r\n\x00\x0c")), r"[ ]*(?:\r\n|\n|\r)"), lambda x: x != "")).alias("ordinal", "line"))
     order = W.partitionBy("file_id", "section").orderBy("ordinal")
-    first = F.when(F.col("line").rlike(_HEAD), F.struct(F.regexp_extract("line", _HEAD, 1).try_cast("long").alias("number"), F.col("ordinal").alias("at")))
-    rows = lines.withColumn("_head", F.col("line").rlike(_HEAD)).withColumn("_first", F.last(first, ignorenulls=True).over(order)).filter("NOT _head AND _first IS NOT NULL")
-    fits = F.col("line").rlike(_ENTRY)
+    head = F.when(
+        F.col("line").rlike(_HEAD),
+        F.struct(F.regexp_extract("line", _HEAD, 1).try_cast("long").alias("number"), F.regexp_extract("line", _HEAD, 2).try_cast("long").alias("count"), F.col("ordinal").alias("at")),
+    )
+    held = lines.withColumn("_before", F.last(head, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    left = F.col("_before.at") + F.col("_before.count") - F.col("ordinal")  # entries that the header before has from here on, less one
+    what = F.when(left >= 0, "entry").when(head.isNotNull(), "head").otherwise("lost")
+    return held.withColumns({"what": what, "left": left})
+
+
+def table_rows(found: DataFrame) -> DataFrame:
+    """Entries of classic tables; a row that is none in form is a free one of generation 65535 and ``malformed``, rows beyond a count are counted on."""
+    rows, fits = _table_lines(found).filter("what <> 'head' AND _before IS NOT NULL"), F.col("line").rlike(_ENTRY)
     return rows.select(
-        "file_id", "section", F.lit("table").alias("source"), "ordinal", (F.col("_first.number") + F.col("ordinal") - F.col("_first.at") - 1).alias("number"),
+        "file_id", "section", F.lit("table").alias("source"), "ordinal", (F.col("_before.number") + F.col("ordinal") - F.col("_before.at") - 1).alias("number"),
         F.when(fits, F.regexp_extract("line", _ENTRY, 3)).otherwise("f").alias("type"), F.coalesce(F.regexp_extract("line", _ENTRY, 1).try_cast("long"), F.lit(0)).alias("offset"),
         F.when(fits, F.regexp_extract("line", _ENTRY, 2).try_cast("int")).otherwise(65535).alias("generation"), F.lit(None).cast("long").alias("compressed_in"), F.lit(None).cast("long").alias("index_in_stream"), (~fits).alias("malformed"),
     )
 
 
+def table_faults(found: DataFrame) -> DataFrame:
+    """``file_id, section, fault, ordinal``: a line where a header must stand, or entries that are missing where a table runs to the end of its file."""
+    lines = _table_lines(found)
+    lost = lines.filter("what = 'lost'").groupBy("file_id", "section").agg(F.min("ordinal").alias("ordinal")).withColumn("fault", F.lit("xref-subsection-header"))
+    ends = lines.groupBy("file_id", "section").agg(F.max_by(F.struct("what", "left", "ordinal", F.regexp_extract("line", _HEAD, 2).try_cast("long").alias("count")), "ordinal").alias("_e"))
+    short = found.filter("entries IS NULL").select("file_id", "section").join(ends, ["file_id", "section"])
+    missing = ((F.col("_e.what") == "entry") & (F.col("_e.left") > 0)) | ((F.col("_e.what") == "head") & (F.col("_e.count") > 0))
+    cut_off = short.filter(missing).select("file_id", "section", (F.col("_e.ordinal") + 1).alias("ordinal"), F.lit("xref-entry-truncated").alias("fault"))
+    return lost.unionByName(cut_off)
+
+
 def xref_streams(found: DataFrame) -> DataFrame:
-    """Cross-reference streams among ``definitions``: ``file_id, section, object_id, entries, decoded, error``."""
+    """Cross-reference streams among ``definitions``: ``file_id, section, object_id, entries, clear, decoded, error``."""
     kind = found.filter((name_of(_E, "Type") == "XRef") & F.col("stream").isNotNull())
-    return decoded(kind).select("file_id", F.col("start").alias("section"), "object_id", "entries", "decoded", "error")
+    return decoded(kind).select("file_id", F.col("start").alias("section"), "object_id", "entries", "clear", "decoded", "error")
 
 
 def _field(data: Column, at: Column, width: Column) -> Column:
@@ -53,19 +79,25 @@ def _field(data: Column, at: Column, width: Column) -> Column:
     return F.when(width == 0, F.lit(0)).when(width <= 8, F.conv(F.hex(F.substring(data, (at + 1).cast("int"), width.cast("int"))), 16, 10).try_cast("long"))
 
 
+def _stream_ranges(found: DataFrame) -> DataFrame:
+    """Ranges of ``/Index`` with the rows that the data have of each (``_whole`` of ``_n``)."""
+    w = F.transform(numbers_of(_E, "W"), lambda x: x.cast("long"))
+    index = F.coalesce(F.transform(numbers_of(_E, "Index"), lambda x: x.cast("long")), F.array(F.lit(0).cast("long"), F.coalesce(int_of(_E, "Size"), F.lit(0).cast("long"))))
+    shaped = found.select("file_id", "section", "decoded", w.alias("_w"), index.alias("_index")).filter("decoded IS NOT NULL AND size(_w) = 3 AND size(_index) >= 2 AND forall(_w, x -> x >= 0) AND _w[0] + _w[1] + _w[2] > 0")
+    ranges = shaped.select("*", F.explode(F.sequence(F.lit(0), F.size("_index") - 2, F.lit(2))).alias("_k")).withColumns({"_first": F.col("_index")[F.col("_k")], "_n": F.col("_index")[F.col("_k") + 1]}).drop("_index")
+    earlier = W.partitionBy("file_id", "section").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    width = F.col("_w")[0] + F.col("_w")[1] + F.col("_w")[2]
+    return ranges.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_whole", F.greatest(F.least(F.col("_n"), F.floor(F.octet_length("decoded") / width) - F.col("_skip")), F.lit(0)))
+
+
 def stream_rows(found: DataFrame) -> DataFrame:
     """Entries of cross-reference streams: rows of ``/W`` bytes, numbered by the ranges of ``/Index`` (else 0 to ``/Size``).
 
     A first width of 0 means type 1. Rows that the data do not reach are left
     out; types other than 0, 1 and 2 are free entries of generation 65535.
     """
-    w = F.transform(numbers_of(_E, "W"), lambda x: x.cast("long"))
-    index = F.coalesce(F.transform(numbers_of(_E, "Index"), lambda x: x.cast("long")), F.array(F.lit(0).cast("long"), F.coalesce(int_of(_E, "Size"), F.lit(0).cast("long"))))
-    shaped = found.select("file_id", "section", "decoded", w.alias("_w"), index.alias("_index")).filter("decoded IS NOT NULL AND size(_w) = 3 AND size(_index) >= 2 AND forall(_w, x -> x >= 0) AND _w[0] + _w[1] + _w[2] > 0")
-    ranges = shaped.select("*", F.explode(F.sequence(F.lit(0), F.size("_index") - 2, F.lit(2))).alias("_k")).withColumns({"_first": F.col("_index")[F.col("_k")], "_n": F.col("_index")[F.col("_k") + 1]}).drop("_index")
-    earlier = W.partitionBy("file_id", "section").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    placed = _stream_ranges(found).filter("_whole > 0")
     width = F.col("_w")[0] + F.col("_w")[1] + F.col("_w")[2]
-    placed = ranges.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_whole", F.least(F.col("_n"), F.floor(F.octet_length("decoded") / width) - F.col("_skip"))).filter("_whole > 0")
     values = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_whole") - 1),
         lambda i: F.struct(i.alias("i"), *[_field(F.col("decoded"), (F.col("_skip") + i) * width + before, F.col("_w")[k]).alias(f"f{k}") for k, before in enumerate((F.lit(0), F.col("_w")[0], F.col("_w")[0] + F.col("_w")[1]))]),
@@ -80,34 +112,52 @@ def stream_rows(found: DataFrame) -> DataFrame:
     )
 
 
+def cut_off_streams(found: DataFrame) -> DataFrame:
+    """``file_id, section, row``: the first row that the data of a cross-reference stream do not reach; 0 where they can't be decoded."""
+    short = _stream_ranges(found).filter("_whole < _n").groupBy("file_id", "section").agg(F.min(F.col("_skip") + F.col("_whole")).alias("row"))
+    return short.unionByName(found.filter("decoded IS NULL").select("file_id", "section", F.lit(0).cast("long").alias("row")))
+
+
 def _walk(group: pd.DataFrame) -> pd.DataFrame:
     """The chain of one file's sections from ``startxref`` on; a place without a section ends it and is marked as failed."""
     known = {int(r.section): r for r in group.itertuples() if not pd.isna(r.section)}
-    file_id, start = group["file_id"].iloc[0], group["startxref"].iloc[0]
-    found, seen, at, revision = [], set(), start, 0
-    while not pd.isna(at) and int(at) not in seen:
-        seen.add(int(at))
-        row = known.get(int(at))
-        found.append((file_id, int(at), revision, 0, row is None))
-        if row is None:
+    first = group.iloc[0]
+    found, seen, revision = [], set(), 0
+    at, place = first["_start"], first["startxref"]
+    while not pd.isna(place) and (pd.isna(at) or int(at) not in seen):
+        failed = pd.isna(at)
+        found.append((first["file_id"], int(place) if failed else int(at), revision, 0, failed))
+        if failed:
             break
-        if not pd.isna(row.extra) and int(row.extra) not in seen:
-            seen.add(int(row.extra))
-            found.append((file_id, int(row.extra), revision, 1, int(row.extra) not in known))
-        at, revision = row.prev, revision + 1
+        seen.add(int(at))
+        row = known[int(at)]
+        if not pd.isna(row.extra) and (pd.isna(row.extra_section) or int(row.extra_section) not in seen):
+            lost = pd.isna(row.extra_section)
+            seen.add(int(row.extra if lost else row.extra_section))
+            found.append((first["file_id"], int(row.extra if lost else row.extra_section), revision, 1, lost))
+        at, place, revision = row.prev_section, row.prev, revision + 1
     return pd.DataFrame(found, columns=["file_id", "section", "revision", "extra", "failed"])
 
 
 def chain(files: DataFrame, sections: DataFrame) -> DataFrame:
     """``file_id, section, revision`` (0 is the newest), ``extra`` (1 for an ``/XRefStm``), ``failed`` of the sections that ``/Prev`` links.
 
-    ``sections`` has ``file_id, section, entries`` of tables and streams. At
-    scale: one shuffle of these few numbers by file.
+    ``sections`` has ``file_id, section, entries, clear`` of tables and streams.
+    A place may stand in the blanks before its section. At scale: all places
+    are resolved by one as-of join, then one shuffle of these few numbers by file.
     """
     tail = latin1(F.substring("content", -4096, 4096))
     starts = files.select("file_id", F.regexp_extract(tail, r"(?s).*startxref[\x00\t\n\x0c\r ]+(\d+)", 1).try_cast("long").alias("startxref"))
     links = sections.select("file_id", "section", int_of(_E, "Prev").alias("prev"), int_of(_E, "XRefStm").alias("extra"))
-    return starts.join(links, "file_id", "left").groupBy("file_id").applyInPandas(_walk, f"file_id {files.schema['file_id'].dataType.simpleString()}, section long, revision int, extra int, failed boolean")
+    asked = starts.select("file_id", F.lit(None).cast("long").alias("of"), F.lit("start").alias("link"), F.col("startxref").alias("place"))
+    for link in ("prev", "extra"):
+        asked = asked.unionByName(links.select("file_id", F.col("section").alias("of"), F.lit(link).alias("link"), F.col(link).alias("place")))
+    found = resolved(asked.filter("place IS NOT NULL"), sections, "place", "section").select("file_id", "of", "link", F.col("section").alias("to"))
+    by_link = {link: found.filter(F.col("link") == link) for link in ("start", "prev", "extra")}
+    rows = starts.join(by_link["start"].select("file_id", F.col("to").alias("_start")), "file_id", "left").join(links, "file_id", "left")
+    for link in ("prev", "extra"):
+        rows = rows.join(by_link[link].select("file_id", F.col("of").alias("section"), F.col("to").alias(f"{link}_section")), ["file_id", "section"], "left")
+    return rows.groupBy("file_id").applyInPandas(_walk, f"file_id {files.schema['file_id'].dataType.simpleString()}, section long, revision int, extra int, failed boolean")
 
 
 def xref_rows(files: DataFrame) -> DataFrame:
@@ -128,7 +178,7 @@ class Structure:
     def __init__(self, files: DataFrame) -> None:
         self.files, self.definitions = files, definitions(files).persist()
         self.tables, self.streams = tables(files), xref_streams(self.definitions)
-        self.sections = checkpointed(self.tables.select("file_id", "section", "entries").unionByName(self.streams.select("file_id", "section", "entries")))
+        self.sections = checkpointed(self.tables.select("file_id", "section", "entries", "clear").unionByName(self.streams.select("file_id", "section", "entries", "clear")))
         self.chain = checkpointed(chain(files, self.sections))
 
     def bodies(self) -> DataFrame:
@@ -160,11 +210,15 @@ class Structure:
         return checkpointed(known.select("file_id", mode.alias("recovery")))
 
     @functools.cache  # noqa: B019
+    def unpacked(self) -> DataFrame:
+        """``members`` and, ``broken``, what could not be read: a stream, a pair, or a value."""
+        packed = decoded(self.definitions.filter((name_of(_E, "Type") == "ObjStm") & F.col("newest") & F.col("stream").isNotNull()))
+        rows = packed.select("file_id", F.col("number").alias("parent"), F.explode_outer(stream_members("decoded", int_of(_E, "N"), int_of(_E, "First"))).alias("m"))
+        return checkpointed(rows.select("file_id", "parent", "m.index", "m.number", F.col("m.value").alias("dictionary"), F.coalesce("m.broken", F.lit(True)).alias("broken")))
+
     def members(self) -> DataFrame:
         """Objects in object streams: ``file_id, parent, index, number, dictionary``; ``parent`` is the stream's object number."""
-        packed = decoded(self.definitions.filter((name_of(_E, "Type") == "ObjStm") & F.col("newest") & F.col("stream").isNotNull()))
-        rows = packed.select("file_id", F.col("number").alias("parent"), F.explode(stream_members("decoded", int_of(_E, "N"), int_of(_E, "First"))).alias("m"))
-        return checkpointed(rows.select("file_id", "parent", "m.index", "m.number", F.col("m.value").alias("dictionary")))
+        return self.unpacked().filter("NOT broken").drop("broken")
 
     def claimed(self) -> DataFrame:
         """Members that the entry of their number points to."""
@@ -181,12 +235,24 @@ class Structure:
         wanted = self.newest_entries().filter("type = 'compressed'")
         return wanted.groupBy("file_id", F.col("compressed_in").alias("parent")).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
 
+    @functools.cache  # noqa: B019
+    def direct(self) -> DataFrame:
+        """Entries in use with the header that their offset leads to: ``file_id, number, generation, start, found_number, broken`` (null where there is none)."""
+        asked = self.newest_entries().filter("type = 'n'").select("file_id", "number", "generation", "offset")
+        headers = self.definitions.select("file_id", F.struct("start", F.col("number").alias("found_number"), "broken").alias("header"), "clear")
+        return checkpointed(resolved(asked, headers, "offset", "header").select("file_id", "number", "generation", "header.*"))
+
     @functools.cache  # noqa: B019
     def live_objects(self) -> DataFrame:
-        """Objects by the tables: in use at their place, or claimed in an object stream; where the chain is damaged, scanned ones fill what no entry names."""
+        """Objects by the tables: in use at their place, or claimed in an object stream; where the chain is damaged, scanned ones fill what no entry names.
+
+        A place leads to the next header if only blanks and comments lie
+        between; the object has the number that stands there. Objects without
+        an end of their own can't be read and are none.
+        """
         named = self.newest_entries()
         columns = ["file_id", "number", "generation", "object_id", "start", "end", "dictionary", "entries", "stream", "in_object_stream"]
-        direct = self.definitions.join(named.filter("type = 'n'").select("file_id", "number", F.col("offset").alias("start")), ["file_id", "number", "start"], "left_semi").withColumn("in_object_stream", F.lit(None).cast("string"))
+        direct = self.definitions.join(self.direct().filter("NOT broken").select("file_id", "start"), ["file_id", "start"], "left_semi").withColumn("in_object_stream", F.lit(None).cast("string"))
         packed = self.claimed().select(
             "file_id", "number", F.lit(0).alias("generation"), object_id(F.col("number"), F.lit(0)).alias("object_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"),
             "dictionary", entries("dictionary").alias("entries"), F.lit(None).cast("binary").alias("stream"), object_id(F.col("parent"), F.lit(0)).alias("in_object_stream"),
@@ -204,21 +270,28 @@ class Structure:
 
         hexadecimal = F.lower(F.hex("section"))
         entries_read, modes = self.entries(), self.recovery()
-        short = self.streams.filter("decoded IS NULL")
         parents = self.allowed_numbers().join(self.definitions.filter("newest").select("file_id", F.col("number").alias("parent")), ["file_id", "parent"], "left_anti")
-        packed = self.definitions.filter((name_of(_E, "Type") == "ObjStm") & F.col("newest"))
-        broken = decoded(packed).filter("decoded IS NULL")
+        broken = self.unpacked().filter("broken").select("file_id", "parent").distinct()
+        wrong = self.direct().filter("broken IS NULL OR broken")
+        other = self.direct().filter("NOT broken AND found_number <> number")
+        entry = F.concat_ws(":", "number", "generation")
+        linked = self.tables.join(self.chain.select("file_id", "section"), ["file_id", "section"], "left_semi")
+        faults = table_faults(linked)
         parts = [
             named(self.chain.filter("failed AND extra = 0"), "xref-failed", "error", "xref", hexadecimal),
             named(self.chain.filter("failed AND extra = 1"), "xrefstm-failed", "warn", "xref", hexadecimal),
             named(modes.filter("recovery = 'empty-xref'"), "xref-empty", "warn", "xref"),
             named(modes.filter("recovery = 'partial-scan'"), "xref-partial-recovery", "info", "xref"),
             named(entries_read.filter("malformed"), "xref-entry-malformed", "warn", "xref", F.concat_ws(":", hexadecimal, "ordinal")),
-            named(short, "xrefstream-truncated", "warn", "xref", F.col("section").cast("string")),
+            named(faults.filter("fault = 'xref-subsection-header'"), "xref-subsection-header", "error", "xref", hexadecimal),
+            named(faults.filter("fault = 'xref-entry-truncated'"), "xref-entry-truncated", "error", "xref", hexadecimal),
+            named(cut_off_streams(self.streams), "xrefstream-truncated", "warn", "xref", F.concat_ws("-", "section", "row")),
+            named(wrong, "object-parse", "warn", "structure", entry),
+            named(other, "xref-mismatch", "warn", "xref", entry),
             named(self.definitions.filter("NOT closed"), "endobj-missing", "warn", "structure", F.concat_ws(":", "number", "generation")),
             named(parents, "objstm-missing", "warn", "structure", object_id(F.col("parent"), F.lit(0))),
             named(self.skipped(), "objstm-skipped", "info", "structure", object_id(F.col("parent"), F.lit(0))),
-            named(broken, "objstm-parse", "warn", "structure", F.col("object_id")),
+            named(broken, "objstm-parse", "warn", "structure", object_id(F.col("parent"), F.lit(0))),
         ]
         whole = parts[0]
         for part in parts[1:]:
