@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 from .common import ascii_lower, cut, stored
 
 #: Postings in a block, documents in a shard, terms with repeats in a shard (a longer document is one of its own).
-BLOCK, SHARD_DOCS, SHARD_TERMS = 128, 8192, 1 << 22
+BLOCK, SHARD_DOCS, SHARD_TERMS = 128, 4096, 1 << 20
 #: Query rows that are searched together, and distinct query terms up to which their list is broadcast (about 100 bytes each).
 BATCH, BROADCAST_TERMS = 256, 100_000
 
@@ -66,14 +66,11 @@ def unpack(data: bytes, first: int, n: int, a: int, b: int) -> tuple[np.ndarray,
     return first + np.cumsum(gaps), 1 + bits[n * a :].reshape(n, b) @ (1 << np.arange(b))
 
 
-def _shard(shard: int, ids: list, found: list[Counter], n_docs: int, n_terms: int, kind: pa.DataType) -> pa.RecordBatch:
-    """One row with the shard's documents, and one for each block of a term."""
-    lengths = np.array([x.total() for x in found], np.int64)
-    m = 100 - 25 + 25 * lengths * n_docs // max(n_terms, 1)
-    docs = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    tfs = np.fromiter((n for x in found for n in x.values()), np.int64, len(docs))
-    numbers: dict[bytes, int] = {}
-    of = np.fromiter((numbers.setdefault(t, len(numbers)) for x in found for t in x), np.int64, len(docs))
+def _shard(shard: int, ids: list, found: list[tuple[np.ndarray, np.ndarray]], numbers: dict[bytes, int], n_docs: int, n_terms: int, kind: pa.DataType) -> pa.RecordBatch:
+    """One row with the shard's documents, and one for each block of a term; ``found`` has numbers of terms and their occurrences by document."""
+    m = 100 - 25 + 25 * np.array([tf.sum(dtype=np.int64) for _, tf in found]) * n_docs // max(n_terms, 1)
+    docs = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
+    of, tfs = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 1))
     order = np.argsort(of, kind="stable")  # documents stay in order
     docs, tfs, of = docs[order], tfs[order], of[order]
     place = np.arange(len(of)) - np.searchsorted(of, of)
@@ -116,20 +113,21 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, size, ids, found, kind = TaskContext.get().partitionId() << 32, 0, [], [], None
+        number, size, ids, found, numbers, kind = TaskContext.get().partitionId() << 32, 0, [], [], {}, None
         for batch in batches:
             kind = batch.schema.field(0).type
             for doc, body in zip(batch.column(0), batch.column(1), strict=True):
                 words = terms(body.as_py())
                 if found and (len(found) == SHARD_DOCS or size + len(words) > SHARD_TERMS):
-                    yield _shard(number, ids, found, n_docs, n_terms, kind)
-                    number, size, ids, found = number + 1, 0, [], []
+                    yield _shard(number, ids, found, numbers, n_docs, n_terms, kind)
+                    number, size, ids, found, numbers = number + 1, 0, [], [], {}
                 if words:
+                    counts = Counter(words)
                     ids.append(doc.as_py())
-                    found.append(Counter(words))
+                    found.append((np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))))
                     size += len(words)
         if found:
-            yield _shard(number, ids, found, n_docs, n_terms, kind)
+            yield _shard(number, ids, found, numbers, n_docs, n_terms, kind)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"shard long, term string, block int, first int, last int, n int, a int, b int, top long, data binary, ids array<{kind}>, m array<long>"
