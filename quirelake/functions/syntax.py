@@ -169,6 +169,23 @@ def operations_of(text: str) -> list[tuple[str, list[str], int, int]]:
     return found
 
 
+def faults_of(text: str | None) -> list[tuple[str, int]]:
+    """``(fault, start)`` of a content stream: damaged tokens outside inline images, and images that no ``EI`` ends."""
+    found, at, n = [], 0, len(text or "")
+    while at < n:
+        restart = n
+        for kind, a, b in lex(text, at):
+            if kind == "error":
+                found.append(("content-parse", a))
+            elif kind == "keyword" and text[a:b] == "BI":
+                restart = _image_end(text, b)
+                if restart == n and not _EI.search(text, max(b, n - 3)):
+                    found.append(("inline-image-ei", a))
+                break
+        at = restart
+    return found
+
+
 def _image_end(text: str, at: int) -> int:
     """The place after the ``EI`` of an inline image: the first one whose next 16 characters look like text."""
     data = re.compile(r"\bID[\x00\t\n\x0c\r ]").search(text, at)
@@ -199,6 +216,9 @@ tokens = _udf("array<struct<kind:string,start:int,end:int,token:string>>", lambd
 #: Operations of a content stream's text with their operands and places.
 content_operations = _udf("array<struct<operator:string,operands:array<string>,start:int,end:int>>", lambda x: None if x is None else operations_of(x))
 
+#: Damaged tokens and unended inline images of a content stream's text.
+content_faults = _udf("array<struct<fault:string,start:int>>", faults_of)
+
 
 def ref_id(value: F.Column) -> F.Column:
     """``obj:N:G`` of a reference's text, or null."""
@@ -207,8 +227,10 @@ def ref_id(value: F.Column) -> F.Column:
 
 
 def name_value(value: F.Column) -> F.Column:
-    """A name's text without the slash (``#XX`` stays where a name has it), or null."""
-    return F.when(value.startswith("/"), F.substring(value, 2, 1 << 20))
+    """A name's text without the slash, ``#XX`` decoded, or null."""
+    byte = lambda x: F.concat(F.char(F.conv(F.substring(x, 1, 2), 16, 10).cast("int")), F.substring(x, 3, 1 << 20))
+    parts = F.transform(F.split(value, "#"), lambda x, i: F.when(i == 0, F.substring(x, 2, 1 << 20)).when(x.rlike("^[0-9A-Fa-f]{2}"), byte(x)).otherwise(F.concat(F.lit("#"), x)))
+    return F.when(value.startswith("/"), F.when(F.contains(value, F.lit("#")), F.array_join(parts, "")).otherwise(F.substring(value, 2, 1 << 20)))
 
 
 def number_value(value: F.Column) -> F.Column:

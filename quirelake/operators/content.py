@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirelake.functions import latin1, operation_id, operator_category
-from quirelake.functions.syntax import content_operations, entries, int_value, name_value, number_value, string_bytes, tokens
+from quirelake.functions.syntax import content_faults, content_operations, entries, int_value, name_value, number_value, string_bytes, tokens
 
 from .objects import lookup
 
@@ -53,6 +53,40 @@ def _depths(ops: DataFrame, openers: tuple[str, ...], closers: tuple[str, ...],
     return leveled.withColumn(name, F.col("_level") - F.least(F.lit(0), F.min("_level").over(order))).drop("_opens", "_closes", "_step", "_level")
 
 
+def scoped(ops: DataFrame, setting: Column, name: str) -> DataFrame:
+    """``ops`` with ``name``: the latest non-null ``setting`` before a row that ``Q`` has not taken back.
+
+    A setting holds from its row to the ``Q`` that closes the level of ``q`` that
+    it stands on. Such stretches nest, so at each row they are a stack: the one
+    on top is the last whose opening made the stack as high as it is there. At
+    scale: sorted passes over a page, no pairs of settings and rows.
+    """
+    keys = ["file_id", "page_number"]
+    page = W.partitionBy(*keys).orderBy("sequence")
+    leveled = _depths(ops, ("q",), ("Q",), "_now").withColumn("_set", setting)
+    opened = F.lag(F.when(F.col("operator") == "q", 1).otherwise(0)).over(page)
+    leveled = leveled.withColumn("_before", F.coalesce(F.lag("_now").over(page) + opened, F.lit(0)))
+    closes = (F.col("operator") == "Q") & (F.col("_before") > F.col("_now"))
+    # a closer's level is the one that it ends, so the next closer of a setting's own level ends it
+    after = W.partitionBy(*keys, "_level").orderBy(F.desc("sequence")).rowsBetween(W.unboundedPreceding, 0)
+    placed = leveled.withColumn("_level", F.when(closes, F.col("_before")).otherwise(F.col("_now"))).withColumn("_end", F.min(F.when(closes, F.col("sequence"))).over(after))
+    settings = placed.filter(F.col("_set").isNotNull())
+    ends = settings.filter(F.col("_end").isNotNull()).groupBy(*keys, F.col("_end").alias("sequence")).agg(F.count(F.lit(1)).alias("_ended"))
+    rows = placed.select(*keys, "sequence", "_set").join(ends, [*keys, "sequence"], "left")
+    step = F.when(F.col("_set").isNotNull(), 1).otherwise(0) - F.coalesce(F.col("_ended"), F.lit(0))
+    high = rows.withColumn("_high", F.sum(step).over(page))
+    same = W.partitionBy(*keys, "_high").orderBy("sequence")
+    found = high.withColumn("_top", F.last("_set", ignorenulls=True).over(same)).select(*keys, "sequence", F.when(F.col("_high") > 0, F.col("_top")).alias(name))
+    return ops.join(found, [*keys, "sequence"])
+
+
+def stream_faults(contents: DataFrame) -> DataFrame:
+    """``file_id, warning_id, severity, category`` of damaged tokens and of inline images without an end in ``contents(file_id, page_number, content)``."""
+    rows = contents.select("file_id", "page_number", F.explode(content_faults(latin1(F.col("content")))).alias("f"))
+    named = F.concat(F.lit("warn:"), "f.fault", F.lit(":"), "page_number", F.lit(":"), "f.start")
+    return rows.select("file_id", named.alias("warning_id"), F.lit("warn").alias("severity"), F.lit("structure").alias("category"))
+
+
 def marked_content(ops: DataFrame, properties: DataFrame | None = None) -> DataFrame:
     """``ops`` with ``mcid``, the innermost marked-content id that is open at a row.
 

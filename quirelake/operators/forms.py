@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import latin1
 from quirelake.functions.syntax import entries, items, ref_id, string_bytes
+from quirelake.functions.values import listed_refs
 
-from .objects import name_of, refs_in, value_of
+from .objects import name_of, value_of
 from .trees import preorder
 
 _E = "entries"
@@ -27,7 +28,7 @@ def form_fields(found: DataFrame, tree: DataFrame) -> DataFrame:
     first = roots.groupBy("file_id", "node").agg(F.min("root").alias("root"))
     text = lambda key: latin1(string_bytes(value_of(_E, key)))
     nodes = found.filter("entries IS NOT NULL AND stream IS NULL").join(acro.select("file_id"), "file_id", "left_semi").select("file_id", F.col("object_id").alias("node"), "entries", text("T").alias("partial"), value_of(_E, "Kids").alias("_kids"))
-    order = preorder(nodes.join(first, ["file_id", "node"], "left").select("file_id", "node", "root", F.when(F.col("_kids").startswith("["), refs_in(F.col("_kids"))).alias("kids"), "partial"), path="partial")
+    order = preorder(nodes.join(first, ["file_id", "node"], "left").select("file_id", "node", "root", F.when(F.col("_kids").startswith("["), listed_refs("_kids")).alias("kids"), "partial"), path="partial")
     kind = name_of(_E, "FT")
     known = F.when(kind.isin("Tx", "Btn", "Ch", "Sig"), kind).otherwise("Unknown")
     leaves = order.withColumnRenamed("path", "full_name").join(nodes.filter("_kids IS NULL OR NOT startswith(_kids, '[')"), ["file_id", "node"])

@@ -15,6 +15,7 @@ from quirelake.functions import latin1, object_id
 from quirelake.functions.filters import decode_stream
 from quirelake.functions.scan import object_places
 from quirelake.functions.syntax import entries, int_value, items, name_value, number_value, ref_id
+from quirelake.functions.values import listed_refs, refs_within, value_rows
 
 #: Object kinds by /Type.
 KINDS = {
@@ -56,17 +57,9 @@ def int_of(found: Column, key: str) -> Column:
     return int_value(value_of(found, key))
 
 
-def refs_in(text: Column) -> Column:
-    """The object ids in a value's text, in order."""
-    pairs = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(\d+[\x00\t\n\x0c\r ]+\d+)[\x00\t\n\x0c\r ]+R(?![A-Za-z0-9])"), 1)
-    return F.transform(pairs, lambda p: F.concat(F.lit("obj:"), F.regexp_replace(p, r"[\x00\t\n\x0c\r ]+", ":")))
-
-
 def refs_of(found: Column, key: str) -> Column:
     """The object ids under ``key`` (one reference, or an array of them without what nests in it), in order."""
-    text = value_of(found, key)
-    flat = F.when(text.startswith("["), F.regexp_replace(F.substring(text, 2, 1 << 30), r"\[[^\[\]]*\]|<<[^<>]*>>", " ")).when(ref_id(text).isNotNull(), text).otherwise(F.lit(""))
-    return refs_in(flat)
+    return listed_refs(value_of(found, key))
 
 
 def numbers_of(found: Column, key: str) -> Column:
@@ -155,9 +148,15 @@ def object_detail(files: DataFrame, limit: int = 2048) -> DataFrame:
     return found.join(texts, ["file_id", "start"])
 
 
+def nested_values(found: DataFrame) -> DataFrame:
+    """``file_id, object_id, ordinal, path, kind, value``: the values of objects and all that nests in them, in order."""
+    rows = found.select("file_id", "object_id", F.posexplode(value_rows("dictionary")).alias("ordinal", "v"))
+    return rows.select("file_id", "object_id", "ordinal", "v.path", "v.kind", "v.value")
+
+
 def edges(found: DataFrame) -> DataFrame:
     """``file_id, src_id, ordinal, dst_id``: references in an object's value, in order."""
-    return found.select("file_id", F.col("object_id").alias("src_id"), F.posexplode(refs_in(F.col("dictionary"))).alias("ordinal", "dst_id"))
+    return found.select("file_id", F.col("object_id").alias("src_id"), F.posexplode(refs_within("dictionary")).alias("ordinal", "dst_id"))
 
 
 def missing_references(found: DataFrame) -> DataFrame:
@@ -169,7 +168,7 @@ def missing_references(found: DataFrame) -> DataFrame:
 def filters_of(found: Column) -> Column:
     """Names of the stream filters in order, short names written out."""
     listed = value_of(found, "Filter")
-    names = F.when(listed.startswith("/"), F.array(name_value(listed))).when(listed.startswith("["), F.regexp_extract_all(listed, F.lit(r"/([^\x00\t\n\x0c\r ()<>\[\]{}/%]+)"), 1))
+    names = F.when(listed.startswith("/"), F.array(name_value(listed))).when(listed.startswith("["), F.transform(F.regexp_extract_all(listed, F.lit(r"/[^\x00\t\n\x0c\r ()<>\[\]{}/%]+"), 0), name_value))
     return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.coalesce(lookup(SHORT_FILTERS, x), x))
 
 

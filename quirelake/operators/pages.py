@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import latin1, rotation
 from quirelake.functions.syntax import entries, int_value, items, ref_id, string_bytes
+from quirelake.functions.values import listed_refs
 
 from .objects import decoded, name_of, rect_of, ref_of, refs_of, value_of
 from .trees import preorder
@@ -72,7 +73,7 @@ def page_warnings(found: DataFrame) -> DataFrame:
 
 def _content_parts(found: DataFrame, of_pages: DataFrame) -> DataFrame:
     """A row for each content stream of a page, in order; a reference to an array stands for its items."""
-    listed = found.filter(F.col("dictionary").startswith("[")).select("file_id", F.col("object_id").alias("_ref"), refs_of(F.create_map(F.lit("k"), F.col("dictionary")), "k").alias("_refs"))
+    listed = found.filter(F.col("dictionary").startswith("[")).select("file_id", F.col("object_id").alias("_ref"), listed_refs("dictionary").alias("_refs"))
     refs = of_pages.select("file_id", "page_number", F.posexplode("contents").alias("_at", "_ref")).join(listed, ["file_id", "_ref"], "left")
     flat = refs.select("file_id", "page_number", "_at", F.posexplode(F.coalesce("_refs", F.array("_ref"))).alias("_in", "object_id"))
     held = found.select("file_id", "object_id", "entries", "stream", F.lit(True).alias("_known"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.syntax import entries, items, name_value, ref_id
+from quirelake.functions.values import refs_within
 
-from .objects import filters_of, int_of, name_of, numbers_of, rect_of, ref_of, refs_in, value_of
+from .objects import filters_of, int_of, name_of, numbers_of, rect_of, ref_of, value_of
 
 _E = "entries"
 #: Font subtypes that are known.
@@ -71,7 +72,7 @@ def embedded_fonts(found: DataFrame) -> DataFrame:
     """
     holds = [value_of(_E, k).isNotNull() for k in ("FontFile", "FontFile2", "FontFile3")]
     steps = F.concat_ws(" ", *[F.coalesce(value_of(_E, k), F.lit("")) for k in ("FontDescriptor", "DescendantFonts")])
-    links = found.select("file_id", "object_id", F.explode(refs_in(steps)).alias("_to"))
+    links = found.select("file_id", "object_id", F.explode(refs_within(steps)).alias("_to"))
     inside = found.filter(steps.rlike("/FontFile[23]?(?![A-Za-z0-9])")).select("file_id", "object_id")
     reach = found.filter(holds[0] | holds[1] | holds[2]).select("file_id", "object_id").unionByName(inside)
     for _ in range(3):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import latin1
 from quirelake.functions.syntax import entries, int_value, items, ref_id, string_bytes
+from quirelake.functions.values import inner_elements
 
 from .objects import name_of, ref_of, value_of
 from .trees import preorder
@@ -15,12 +16,19 @@ from .trees import preorder
 _E = "entries"
 
 
+def _elements(found: DataFrame) -> DataFrame:
+    """``file_id, object_id, entries`` of objects and of the dictionaries that stand in place below their ``/K``, which have the id of the object with their path."""
+    inner = found.filter(value_of(_E, "K").isNotNull()).select("file_id", "object_id", F.explode(inner_elements("dictionary")).alias("_i"))
+    return found.select("file_id", "object_id", "entries").unionByName(inner.select("file_id", F.concat("object_id", "_i.path").alias("object_id"), entries("_i.text").alias("entries")))
+
+
 def _kids(found: DataFrame) -> DataFrame:
-    """``file_id, node, ordinal, value, inner``: what stands under ``/K``; ``inner`` are the entries of an item, in place or behind its reference."""
+    """``file_id, node, ordinal, value, target, inner``: what stands under ``/K`` of ``_elements``; ``inner`` are the entries of an item, in place or behind its reference."""
     k = value_of(_E, "K")
-    rows = found.filter(k.isNotNull()).select("file_id", F.col("object_id").alias("node"), F.posexplode(F.coalesce(items(k), F.array(k))).alias("ordinal", "value"))
-    held = found.select("file_id", F.col("object_id").alias("_id"), F.col("entries").alias("_ref"))
-    return rows.withColumn("_id", ref_id(F.col("value"))).join(held, ["file_id", "_id"], "left").select("file_id", "node", "ordinal", "value", F.col("_id").alias("target"), F.coalesce("_ref", entries("value")).alias("inner"))
+    rows = found.filter(k.isNotNull()).select("file_id", F.col("object_id").alias("node"), k.startswith("[").alias("_many"), F.posexplode(F.coalesce(items(k), F.array(k))).alias("ordinal", "value"))
+    in_place = F.when(F.col("value").startswith("<<"), F.concat("node", F.lit("/K"), F.when(F.col("_many"), F.concat(F.lit("/"), F.col("ordinal").cast("string"))).otherwise("")))
+    held = found.select("file_id", F.col("object_id").alias("target"), F.col("entries").alias("inner"))
+    return rows.withColumn("target", F.coalesce(ref_id(F.col("value")), in_place)).join(held, ["file_id", "target"], "left").select("file_id", "node", "ordinal", "value", "target", "inner")
 
 
 def struct_children(found: DataFrame) -> DataFrame:
@@ -29,7 +37,7 @@ def struct_children(found: DataFrame) -> DataFrame:
     A number is a marked-content id; an MCR needs one, an OBJR an object, else
     they are left out.
     """
-    rows = _kids(found)
+    rows = _kids(_elements(found))
     kind, page = name_of(F.col("inner"), "Type"), ref_of(F.col("inner"), "Pg")
     number = int_value(F.col("value"))
     shaped = rows.select(
@@ -44,9 +52,10 @@ def struct_nodes(found: DataFrame, tree: DataFrame) -> DataFrame:
 
     If the root has a single element, that is the first node; else a
     ``Document`` node stands for the root itself. Elements without a type are
-    of type ``Span``, the first node ``Document``. Elements written in place
-    within another one are not nodes here.
+    of type ``Span``, the first node ``Document``. An element written in place
+    within another one has that one's id with its path, as ``obj:6:0/K/1``.
     """
+    found = _elements(found)
     kids = _kids(found).filter(F.col("target").isNotNull() & (~F.coalesce(name_of(F.col("inner"), "Type"), F.lit("")).isin("MCR", "OBJR")))
     listed = kids.groupBy("file_id", "node").agg(F.array_sort(F.collect_list(F.struct("ordinal", "target"))).alias("_k")).select("file_id", "node", F.col("_k.target").alias("kids"))
     counted = found.withColumn("_k", value_of(_E, "K")).select("file_id", F.col("object_id").alias("node"), "entries", F.coalesce(F.size(items("_k")), F.when(F.col("_k").isNotNull(), 1)).alias("_n"))

@@ -14,6 +14,7 @@ from quirelake.functions.text import cmap_of, decoded_codes, encoded_text
 from quirelake.functions.udfs import arrow_udf
 
 from .objects import decoded
+from .content import scoped
 from .resources import drawn_xobjects
 
 _SHOWS = ("Tj", "TJ", "'", '"')
@@ -52,15 +53,14 @@ def cmap_warnings(of_cmaps: DataFrame) -> DataFrame:
 def shown_strings(ops: DataFrame) -> DataFrame:
     """A row for each string that a page shows: ``file_id, page_number, sequence, part, operator, font, size, scale, raw``.
 
-    Font, size and scale are those of the last ``Tf`` and ``Tz`` before it on
-    the page (100 for none). The items of a ``TJ`` are its strings in order; one
+    Font, size and scale are those of the last ``Tf`` and ``Tz`` before it that
+    no ``Q`` has taken back (100 for none). The items of a ``TJ`` are its strings in order; one
     without strings gives a row with null ``raw``.
     """
-    order = W.partitionBy("file_id", "page_number").orderBy("sequence").rowsBetween(W.unboundedPreceding, -1)
     operand = lambda k: F.try_element_at("operands", F.lit(k))
     set_font = F.when(F.col("operator") == "Tf", F.struct(name_value(operand(1)).alias("font"), number_value(operand(2)).alias("size")))
     set_scale = F.when(F.col("operator") == "Tz", F.coalesce(number_value(operand(1)), F.lit(100.0)))
-    state = ops.withColumns({"_f": F.last(set_font, ignorenulls=True).over(order), "_z": F.last(set_scale, ignorenulls=True).over(order)}).filter(F.col("operator").isin(*_SHOWS))
+    state = scoped(scoped(ops, set_font, "_f"), set_scale, "_z").filter(F.col("operator").isin(*_SHOWS))
     strings = F.when(F.col("operator") == "TJ", F.filter(items(operand(1)), lambda x: x.startswith("(") | x.startswith("<"))).otherwise(F.array(F.when(F.col("operator") == '"', operand(3)).otherwise(operand(1))))
     rows = state.select("file_id", "page_number", "sequence", "op_id", "operator", "_f.font", F.coalesce("_f.size", F.lit(0.0)).alias("size"), (F.coalesce("_z", F.lit(100.0)) / 100).alias("scale"), F.posexplode_outer(strings).alias("part", "_s"))
     return rows.select("file_id", "page_number", "sequence", F.coalesce("part", F.lit(0)).alias("part"), "op_id", "operator", "font", "size", "scale", string_bytes("_s").alias("raw"))

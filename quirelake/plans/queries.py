@@ -16,7 +16,7 @@ from quirelake.operators.objects import definitions, edges, find_objects, missin
 from quirelake.operators.pages import pages
 from quirelake.operators.xref import xref_rows
 
-from . import corpus_queries
+from . import corpus_queries, structure_queries
 from . import fixtures as fx
 
 
@@ -126,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         text_lines, object_kinds, object_search, object_edges, missing_refs, op_categories, op_nesting_depth, newest_objects, page_tree, stream_hashes, hex_rows, file_warnings, file_versions, xref_entries, overlay_boxes, size_labels, file_sizes,
     )
-} | corpus_queries.QUERIES
+} | corpus_queries.QUERIES | structure_queries.QUERIES
 
 _OPS = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence,
   CASE event_type WHEN 'view' THEN 'q' WHEN 'click' THEN 'Q' WHEN 'purchase' THEN 'BT' WHEN 'error' THEN 'ET' ELSE 'w' END AS operator FROM events"""
@@ -163,4 +163,4 @@ FROM (SELECT DISTINCT doc_id FROM labels) GROUP BY ALL""",
     "file_sizes": """WITH b AS (SELECT page_id, strlen(html)::BIGINT AS n FROM pages),
 t AS (SELECT *, (n * 20 + 1024) // 2048 AS kb, (n * 200 + 1048576) // 2097152 AS mb FROM b)
 SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (kb // 10) || '.' || (kb % 10) || ' KB' ELSE (mb // 100) || '.' || lpad((mb % 100)::VARCHAR, 2, '0') || ' MB' END AS label FROM t""",
-} | corpus_queries.ORACLE_SQL
+} | corpus_queries.ORACLE_SQL | structure_queries.ORACLE_SQL
