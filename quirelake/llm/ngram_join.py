@@ -266,27 +266,28 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links = cut(verified(first))
     found = cut(connected_components(links))
     tried = first.select("a", "b")
-    n_members = members.count()
-    for turn in range(STARS):
-        # another class of each column that still holds several components meets those of the others,
-        # as long as more pairs than rows would be left
-        placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", F.coalesce("component", "_rep").alias("_comp"))
-        sizes = placed.groupBy("_column", "_comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("_column").agg(((F.sum("_k") ** 2 - F.sum(F.col("_k") * F.col("_k"))) / 2).alias("_pairs"))
-        if (sizes.agg(F.sum("_pairs")).first()[0] or 0) <= n_members:
+    n_members, held = members.count(), members
+    for turn in range(STARS + 1):
+        # columns that still hold several components, and as long as they hold more pairs than there are rows,
+        # one more class of each meets those of the others
+        placed = held.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", "_n", F.coalesce("component", "_rep").alias("_comp"))
+        sizes = placed.groupBy("_column", "_comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("_column")
+        split = cut(sizes.agg(((F.sum("_k") ** 2 - F.sum(F.col("_k") * F.col("_k"))) / 2).alias("_pairs"), F.sum("_k").alias("_k")).filter("_pairs > 0 AND _k > 2"))
+        held = stored(placed.join(split.select("_column"), "_column", "left_semi"))
+        if turn == STARS or (split.agg(F.sum("_pairs")).first()[0] or 0) <= n_members:
             break
         one = F.struct("_rep", "_comp")
-        heads = placed.groupBy("_column").agg(F.min_by(one, F.xxhash64("_rep", F.lit(turn))).alias("_l"), F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).filter("_x <> _y").select("_column", "_l")
-        met = placed.join(heads, "_column").filter("_comp <> _l._comp").select(F.least("_rep", "_l._rep").alias("a"), F.greatest("_rep", "_l._rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        heads = held.groupBy("_column").agg(F.min_by(one, F.xxhash64("_rep", F.lit(turn))).alias("_l"))
+        met = held.join(heads, "_column").filter("_comp <> _l._comp").select(F.least("_rep", "_l._rep").alias("a"), F.greatest("_rep", "_l._rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         star = cut(possible(met.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", (F.col("_na") + F.col("_nb")).alias("_sum"))))
+        held = held.drop("_comp")
         if star.isEmpty():
-            break
+            continue
         tried = cut(tried.unionByName(star.select("a", "b")))
         links = cut(links.unionByName(verified(star)))
         found = cut(connected_components(links))
-    # columns that still hold classes of more than one component
-    placed = members.join(found.withColumnRenamed("node", "_rep"), "_rep", "left").select("_column", "_rep", "_n", F.coalesce("component", "_rep").alias("_comp"))
-    split = placed.groupBy("_column").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_k")).filter("_x <> _y AND _k > 2")
-    rest = cut(placed.join(split.select("_column"), "_column", "left_semi").join(classes.select("_rep", "_parity"), "_rep"))
+    # what is left: held has the classes of columns with more than one component
+    rest = held.join(classes.select("_rep", "_parity"), "_rep")
     other = rest.select("_column", F.col("_rep").alias("b"), F.col("_n").alias("_nb"), F.col("_comp").alias("_cb"), F.col("_parity").alias("_pb"))
     pairs = (
         rest.withColumnsRenamed({"_rep": "a", "_n": "_na", "_comp": "_ca", "_parity": "_pa"})
