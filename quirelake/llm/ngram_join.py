@@ -31,7 +31,7 @@ SKETCH_BITS = 22
 BLOCK_COLUMNS = 1 << 14
 COLUMN_BITS = 4
 #: Rounds at most in which one more class of a column meets the others before all pairs that are left do.
-STARS = 8
+STARS = 2
 _SLICES = 16
 _FAN_IN = 256
 _PARITY_BITS = 512
