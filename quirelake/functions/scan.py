@@ -46,6 +46,8 @@ def _value_end(text: str, at: int, open_strings: set[int] | None = None) -> tupl
                 open_strings |= unclosed(text, a)
             m = _RESYNC.search(text, a)
             return (m.start() if m else b), True
+        if kind == "hex" and (m := _RESYNC.search(text, a, b)):
+            return m.start(), True
         if kind == "keyword":
             word = text[a:b]
             if word == "obj" and len(numbers) > 1:
