@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import latin1
 from .syntax import lex, string_of
 
-#: Codes of a bfrange at most, so that a damaged one ends.
+#: Codes of a bfrange at most, so that a damaged one ends; a longer one gives a warning.
 MAX_RANGE = 65_536
 
 _HIGH = "".join(map(chr, range(0x80, 0xA0)))
@@ -74,6 +74,8 @@ def cmap_of(data: bytes | None) -> tuple[list[tuple[int, int, str]], list[tuple[
                     found[code] = (code, len(held[0][1]), utf16(held[1][1]))
                 else:
                     first, last, target = int.from_bytes(held[0][1], "big"), int.from_bytes(held[1][1], "big"), held[2][1]
+                    if last - first >= MAX_RANGE:
+                        warned.append(f"warn:cmap-bfrange-bounds:{held[0][2]}")
                     for code in range(first, min(last, first + MAX_RANGE - 1) + 1):
                         unit = (int.from_bytes(target[-2:], "big") + code - first) & 0xFFFF
                         found[code] = (code, len(held[0][1]), utf16(target[:-2] + unit.to_bytes(2, "big")) if len(target) > 1 else "")

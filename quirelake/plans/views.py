@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from quirelake.functions.syntax import lex, operations_of, string_of
 from quirelake.operators.content import explained, marked_content, nesting, operations
 from quirelake.operators.files import all_warnings, file_info
 from quirelake.operators.forms import form_fields
-from quirelake.operators.objects import edges, streams
+from quirelake.operators.history import entry_intervals
+from quirelake.operators.objects import edges, nested_values, streams
 from quirelake.operators.pages import document_tree, embedded_files, page_contents, pages
 from quirelake.operators.resources import fonts, page_resources, properties, xobjects
 from quirelake.operators.structure import struct_children, struct_nodes
@@ -44,7 +46,7 @@ class Corpus:
         maps = cmaps(self.objects, self.fonts)
         runs = text_runs(string_texts(shown_strings(self.operations), self.fonts, maps))
         return {
-            "pdf_files": file_info(self.files, self.structure), "pdf_objects": self.objects.drop("stream"), "pdf_edges": edges(self.objects), "pdf_streams": streams(self.objects), "pdf_xref_entries": self.structure.newest_entries(),
+            "pdf_files": file_info(self.files, self.structure), "pdf_objects": self.objects.drop("stream"), "pdf_edges": edges(self.objects), "pdf_values": nested_values(self.objects), "pdf_entry_intervals": entry_intervals(self.structure.entries()), "pdf_streams": streams(self.objects), "pdf_xref_entries": self.structure.newest_entries(),
             "pdf_bodies": self.structure.bodies(), "pdf_document_tree": self.document_tree, "pdf_embedded_files": embedded_files(self.objects, self.document_tree), "pdf_pages": self.pages, "pdf_fonts": self.fonts,
             "pdf_xobjects": self.xobjects, "pdf_operations": explained(marked_content(nesting(self.operations), properties(self.objects, self.resources))), "pdf_text_runs": runs,
             "pdf_visual_elements": visual_elements(runs, self.operations, self.xobjects), "pdf_form_fields": form_fields(self.objects, self.document_tree), "pdf_struct_nodes": struct_nodes(self.objects, self.document_tree),
@@ -80,6 +82,11 @@ def _operation_rows() -> type:
 
 def register_functions(spark: SparkSession) -> None:
     """SQL table functions ``pdf_tokens(content)`` and ``pdf_operations(content)``, and ``pdf_string(token)``."""
-    spark.udtf.register("pdf_tokens", F.udtf(_token_rows(), returnType="kind string, start int, end int, token string"))
-    spark.udtf.register("pdf_operations", F.udtf(_operation_rows(), returnType="sequence int, operator string, operands array<string>"))
-    spark.udf.register("pdf_string", F.udf(string_of, "binary"))
+    spark.udtf.register("pdf_tokens", F.udtf(_token_rows(), returnType="kind string, start int, end int, token string", useArrow=True))
+    spark.udtf.register("pdf_operations", F.udtf(_operation_rows(), returnType="sequence int, operator string, operands array<string>", useArrow=True))
+
+    @F.pandas_udf("binary")
+    def pdf_string(tokens: pd.Series) -> pd.Series:
+        return pd.Series([string_of(x) for x in tokens], dtype=object)
+
+    spark.udf.register("pdf_string", pdf_string)
