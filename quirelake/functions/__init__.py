@@ -53,6 +53,24 @@ def is_object_id(value: Column) -> Column:
     return value.rlike(r"^obj:\d+:\d+$")
 
 
+def is_page_id(value: Column) -> Column:
+    return value.rlike(r"^page:\d+$")
+
+
+def is_operation_id(value: Column) -> Column:
+    return value.rlike(r"^page:\d+:op:\d+$")
+
+
+def object_id_parts(value: Column) -> Column:
+    """``number, generation`` of an object id as a struct, or null."""
+    parts = [F.regexp_extract(value, r"^obj:(\d+):(\d+)$", k).try_cast("long") for k in (1, 2)]
+    return F.when(is_object_id(value), F.struct(parts[0].alias("number"), parts[1].alias("generation")))
+
+
+def severity_tone(severity: Column) -> Column:
+    return F.when(severity == "error", "danger").when(severity == "warn", "warning").otherwise("info")
+
+
 def file_size(size: Column) -> Column:
     """``B``, ``KB`` with one decimal or ``MB`` with two."""
     kb, mb = F.format_string("%.1f KB", size / 1024), F.format_string("%.2f MB", size / (1024 * 1024))
@@ -124,3 +142,13 @@ def hexdump(content: Column, limit: int | None = 4096) -> Column:
         )
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(16)), row)).otherwise(F.array().cast("array<struct<offset:string,hex:string,ascii:string>>"))
+
+
+def hex_lines(content: Column, limit: int = 4096) -> Column:
+    """``hexdump`` as lines of text: offset, bytes with a wider gap after the eighth, printable characters; at last how many bytes are not shown."""
+    lines = F.transform(
+        hexdump(content, limit),
+        lambda r: F.concat(r["offset"], F.lit("  "), F.rpad(F.when(F.length(r["hex"]) > 23, F.concat(F.substring(r["hex"], 1, 23), F.lit(" "), F.substring(r["hex"], 24, 24))).otherwise(r["hex"]), 50, " "), r["ascii"]),
+    )
+    more = F.concat(F.lit("… "), hidden_bytes(content, limit).cast("string"), F.lit(" more bytes"))
+    return F.when(hidden_bytes(content, limit) > 0, F.concat(lines, F.array(more))).otherwise(lines)

@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.functions.syntax import number_value, string_bytes
+from quirelake.functions import hex_lines, object_id_parts
 from quirelake.operators.content import operations, stream_faults
 from quirelake.operators.files import file_facts
 from quirelake.operators.graph import object_distances
 from quirelake.operators.history import at_revision, entry_intervals, revision_changes, revision_diff
-from quirelake.operators.objects import classified, definitions, edges, nested_values, objects
+from quirelake.operators.objects import classified, definitions, edges, nested_values, object_detail, objects
 from quirelake.operators.pages import document_tree
 from quirelake.operators.rollup import file_rollup, merged_rollup
 from quirelake.operators.structure import struct_children, struct_nodes
@@ -207,11 +207,24 @@ def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("pdf_version", "kind", "filter", "level", "files", "objects", F.col("distinct_contents").between(F.col("objects") * 0.5, F.col("objects") * 1.1).alias("plausible"))
 
 
+def hex_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers as hexadecimal lines of which 16 bytes are shown."""
+    rows = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_key"), F.posexplode(hex_lines(F.encode("c_name", "UTF-8"), 16)).alias("row", "line"))
+    return rows.select("cust_key", F.col("row").cast("long").alias("row"), "line")
+
+
+def object_detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The definition of each supplier's object, up to 24 bytes of it."""
+    found = object_detail(nested_files(fx.table(spark, sf_dir, "supplier")), 24)
+    parts = object_id_parts(F.col("object_id"))
+    return found.select(parts["number"].alias("supp_key"), parts["generation"].alias("generation"), "raw_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         xref_offset_drift, xref_mismatch, open_string_recovery, value_paths, edges_exact, escaped_names, struct_in_place, text_fonts_scoped, content_faults_found, objects_reachable, objects_orphaned, objects_at_revision,
-        revision_steps, revision_diffs, corpus_rollup,
+        revision_steps, revision_diffs, corpus_rollup, hex_line_texts, object_detail_texts,
     )
 }
 
@@ -260,6 +273,10 @@ SELECT conv_id, 'obj:6:0/K/K/' || i || '/K/1', 'obj:6:0/K/K/' || i, 3 + 2 * i, 3
     "text_fonts_scoped": _SCOPES,
     "content_faults_found": """SELECT c_custkey AS cust_key, CASE c_custkey % 4 WHEN 0 THEN 'warn:content-parse:1:' || (length(c_custkey::VARCHAR) + 1) WHEN 1 THEN 'warn:inline-image-ei:1:2' ELSE 'warn:content-parse:1:4' END AS warning_id, 'warn' AS severity
 FROM customer WHERE c_custkey % 4 <> 3""",
+    "hex_line_texts": """WITH h AS (SELECT c_custkey AS cust_key, c_name, length(c_name) AS n, regexp_replace(lower(hex(encode(c_name[:16]))), '(..)', '\\1 ', 'g') AS x FROM customer)
+SELECT cust_key, 0::BIGINT AS row, rpad('00000000  ' || rtrim(CASE WHEN n > 8 THEN x[:23] || ' ' || x[24:] ELSE x END), 60, ' ') || c_name[:16] AS line FROM h
+UNION ALL SELECT cust_key, 1, '… ' || (n - 16) || ' more bytes' FROM h WHERE n > 16""",
+    "object_detail_texts": """SELECT s_suppkey AS supp_key, 0::BIGINT AS generation, (s_suppkey || ' 0 obj' || chr(10) || '<< /Type /Pa#67e')[:24] || chr(10) || '…' AS raw_text FROM supplier""",
     "objects_reachable": _RINGS,
     "objects_orphaned": "SELECT p_partkey AS part_key FROM part WHERE p_size % 7 = 0",
     "objects_at_revision": _YEARS + "SELECT file, block, number FROM state WHERE r = 2 AND used",

@@ -4,7 +4,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 import quirelake.plans.queries as queries
-from quirelake.functions import file_size, hexdump, hidden_bytes, project_rect
+from quirelake.functions import file_size, hex_lines, hexdump, hidden_bytes, is_object_id, is_operation_id, is_page_id, object_id_parts, project_rect, severity_tone
 
 
 def test_file_size_against_brute_force(spark):
@@ -62,3 +62,13 @@ def test_hexdump_of_whole_values(spark):
     row = spark.createDataFrame([(data, b"ab")], "d binary, s binary").select(hexdump(F.col("d"), None).alias("all"), hexdump(F.col("d")).alias("cut"), hidden_bytes(F.col("d")).alias("left"), hidden_bytes(F.col("s")).alias("none")).first()
     assert b"".join(bytes.fromhex(r.hex) for r in row["all"]) == data and row["all"][-1].offset == "00002710"
     assert len(row.cut) == 256 and (row.left, row.none) == (5905, 0)
+
+
+def test_ids_tones_and_hex_lines(spark):
+    ids = ["obj:1:0", "page:2", "page:2:op:3", "obj:1", "xpage:2", None]
+    row = spark.createDataFrame([(i,) for i in ids], "v string").select("v", is_object_id(F.col("v")).alias("o"), is_page_id(F.col("v")).alias("p"), is_operation_id(F.col("v")).alias("op"), object_id_parts(F.col("v")).alias("n"))
+    got = {r.v: (r.o, r.p, r.op, r.n and tuple(r.n)) for r in row.collect()}
+    assert got == {"obj:1:0": (True, False, False, (1, 0)), "page:2": (False, True, False, None), "page:2:op:3": (False, False, True, None), "obj:1": (False, False, False, None), "xpage:2": (False, False, False, None), None: (None, None, None, None)}
+    assert [r[0] for r in spark.createDataFrame([("error",), ("warn",), ("info",)], "s string").select(severity_tone(F.col("s"))).collect()] == ["danger", "warning", "info"]
+    lines = spark.createDataFrame([(b"0123456789abcdef\x00z" + b"y" * 20,)], "b binary").select(hex_lines(F.col("b"), 18).alias("l")).first().l
+    assert lines == ["00000000  30 31 32 33 34 35 36 37  38 39 61 62 63 64 65 66  0123456789abcdef", "00000010  00 7a" + " " * 45 + ".z", "… 20 more bytes"]
