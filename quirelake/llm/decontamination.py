@@ -174,6 +174,7 @@ def contaminated_pairs(
     min_match: int = 5,
     threshold: float = 0.8,
     filter_bits: int = 23,
+    short_items: bool = False,
 ) -> DataFrame:
     """``id, item, covered, n_words, n_tiles, coverage`` of documents that hold ``threshold`` or more of an item.
 
@@ -181,8 +182,8 @@ def contaminated_pairs(
     ``min_match`` words long; ``coverage`` is tiled words over words of the item.
 
     Edge cases: null or empty texts and items match nothing; an item of fewer
-    than ``min_match`` words is one tile, found as a whole at word bounds; null
-    ids take no part; repeated rows with one id count once (the least text is
+    than ``min_match`` words is, with ``short_items``, one tile that is found as
+    a whole at word bounds, else it matches nothing; null ids take no part; repeated rows with one id count once (the least text is
     taken, so reruns agree); empty tables give an empty table; columns not
     named are ignored.
 
@@ -194,8 +195,9 @@ def contaminated_pairs(
     """
     items = cut(benchmark.filter(F.col(item_col).isNotNull()).groupBy(F.col(item_col).alias("_id")).agg(F.min(F.col(item_text_col).cast("string")).alias("_text")))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    item_seeds = cut(_seeds(items, list(range(1, min_match + 1))).select(F.col("_id").alias("_item"), "_seed"))
-    short = items.select(word_count(F.col("_text")).cast("int").alias("n")).filter(F.col("n").between(1, min_match - 1)).distinct()
+    least = 1 if short_items else min_match
+    item_seeds = cut(_seeds(items, list(range(least, min_match + 1))).select(F.col("_id").alias("_item"), "_seed"))
+    short = items.select(word_count(F.col("_text")).cast("int").alias("n")).filter(F.col("n").between(least, min_match - 1)).distinct()
     lengths = sorted(r["n"] for r in short.collect())  # fewer than min_match numbers
     doc_seeds = _seeds(base, [*lengths, min_match], _seed_bits(item_seeds, filter_bits))
     pairs = cut(doc_seeds.join(item_seeds, "_seed").select("_id", "_item").distinct())

@@ -257,18 +257,19 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     return out
 
 
-def _final_surrogates(found: DataFrame, key: bytes, max_draws: int) -> DataFrame:
+def _final_surrogates(found: DataFrame, key: bytes, plain_draws: int, max_draws: int | None) -> DataFrame:
     """``kind, value, surrogate`` of the entities whose first draw is taken, over the whole corpus.
 
     Given names need no check: each stands for the next one in a keyed cycle of
-    its pool. Entities that ``max_draws`` draws leave without a surrogate of
+    its pool. Entities that ``plain_draws`` draws leave without a surrogate of
     their own get one that is longer by ``#`` and a keyed digest, so the forms
-    of a kind can't run out.
+    of a kind can't run out. Where ``max_draws`` is given, more than that many
+    are an error instead.
     """
 
     def draws(n: int):
         def one(kind: str, value: str) -> str:
-            tag = "" if n < max_draws else "#" + hmac.new(key, f"{n}|{kind}|{value}".encode(), "sha256").hexdigest()[:16]
+            tag = "" if n < plain_draws else "#" + hmac.new(key, f"{n}|{kind}|{value}".encode(), "sha256").hexdigest()[:16]
             return surrogate(kind, value, key, n) + tag
 
         @F.pandas_udf("string")
@@ -286,12 +287,14 @@ def _final_surrogates(found: DataFrame, key: bytes, max_draws: int) -> DataFrame
         clash = cut(held.filter("_real OR value <> _first.value").select("kind", "value"))
         if clash.isEmpty():
             break
+        if max_draws is not None and n > max_draws:
+            raise ValueError(f"{clash.count()} surrogates are still taken after {max_draws} draws")
         again = clash.withColumn("surrogate", draws(n)).withColumn("draw", F.lit(n))
         current = cut(current.join(clash, ["kind", "value"], "left_anti").unionByName(again))
     return current.filter("draw > 0").select("kind", "value", "surrogate")
 
 
-def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", max_draws: int = 32) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", plain_draws: int = 32, max_draws: int | None = None) -> DataFrame:
     """``id, text, n_replaced``: every entity of every text replaced by its surrogate.
 
     ``key`` decides the surrogates; the same key gives the same ones in every run.
@@ -317,7 +320,7 @@ def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["_id", "_fp", "kind", "value"])
 
     found = cut(base.mapInArrow(detect, f"_id {id_kind}, _fp long, kind string, value string"))
-    redrawn = cut(_final_surrogates(found, secret, max_draws))
+    redrawn = cut(_final_surrogates(found, secret, plain_draws, max_draws))
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ def test_lines_are_counted_by_distinct_documents(spark):
 def test_short_items_are_found_whole(spark):
     items = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma"), (3, "one two three four five six"), (4, " ")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha BETA y"), (2, "alphabeta alpha, beta"), (3, "the gamma"), (4, "beta alpha"), (5, "gammas"), (6, "one two three four five"), (7, None)], "doc_id long, text string")
-    got = contaminated_pairs(docs, items).select("doc_id", "item_id", "coverage").collect()
+    got = contaminated_pairs(docs, items, short_items=True).select("doc_id", "item_id", "coverage").collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1.0), (3, 2, 1.0), (6, 3, 5 / 6)]
 
 
@@ -34,14 +34,14 @@ def test_surrogates_never_run_out(spark):
     rows = [(None if i % 2 else i, f"call {v} now") for i, v in enumerate(values)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     plain = {v for v in values if entities(f"call {v} now")}
-    out = [r.text[5:-4] for r in replace_pii(docs, "k", max_draws=1).collect()]
+    out = [r.text[5:-4] for r in replace_pii(docs, "k", plain_draws=1).collect()]
     assert len(plain) == len(values) == len(set(out)) and not plain & set(out)
 
 
 def test_rows_without_id_share_surrogates_with_others(spark):
     values = [f"555-{i:04d}" for i in range(3000)]
     docs = spark.createDataFrame([(None, f"call {v} now") for v in values] + [(i, f"call {v} now") for i, v in enumerate(values)], "doc_id long, text string")
-    got = replace_pii(docs, "k", max_draws=4)
+    got = replace_pii(docs, "k", plain_draws=4)
     texts = [r.text for r in got.filter("doc_id IS NULL").collect()]
     assert sorted(texts) == sorted(r.text for r in got.filter("doc_id IS NOT NULL").collect()) and len(set(texts)) == len(values)
 
