@@ -50,7 +50,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = contaminated_pairs(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = contaminated_pairs(docs, read(spark, sf_dir, "benchmark"), short_items=True).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 
