@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .runs import by_key
+
 
 def preorder(nodes: DataFrame, inherited: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """``file_id, node, parent, place, depth, *inherited, path``: the nodes that roots reach, in document order from 0.
@@ -23,11 +24,12 @@ def preorder(nodes: DataFrame, inherited: tuple[str, ...] = (), path: str | None
     columns = [T.StructField("file_id", nodes.schema["file_id"].dataType), T.StructField("node", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("place", T.LongType()), T.StructField("depth", T.IntegerType())]
     columns += [T.StructField(c, T.StringType()) for c in (*inherited, *(["path"] if path else []))]
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.drop_duplicates("node").set_index("node", drop=False)
-        known = rows.to_dict("index")
-        roots = rows[rows["root"].notna()].sort_values("root", kind="stable")["node"]
-        waiting = [(r, None, 0, (None,) * len(inherited), "") for r in reversed(list(roots))]
+    def walk(group: list[dict]) -> list[tuple]:
+        known: dict[str, dict] = {}
+        for row in group:
+            known.setdefault(row["node"], row)
+        roots = sorted((r for r in known.values() if r["root"] is not None), key=lambda r: r["root"])
+        waiting = [(r["node"], None, 0, (None,) * len(inherited), "") for r in reversed(roots)]
         seen: set[str] = set()
         found = []
         while waiting:
@@ -36,12 +38,11 @@ def preorder(nodes: DataFrame, inherited: tuple[str, ...] = (), path: str | None
                 continue
             seen.add(node)
             row = known[node]
-            own = tuple(given[i] if row[c] is None or row[c] is pd.NA else row[c] for i, c in enumerate(inherited))
+            own = tuple(given[i] if row[c] is None else row[c] for i, c in enumerate(inherited))
             name = ".".join(x for x in (above, row[path] or "") if x) if path else ""
             found.append((row["file_id"], node, parent, len(found), depth, *own, *([name] if path else [])))
-            kids = row["kids"] if row["kids"] is not None else []
-            waiting += [(k, node, depth + 1, own, name) for k in reversed(list(kids))]
-        return pd.DataFrame(found, columns=[c.name for c in columns])
+            waiting += [(k, node, depth + 1, own, name) for k in reversed(row["kids"] or [])]
+        return found
 
     kept = nodes.select("file_id", "node", "root", "kids", *inherited, *([path] if path else []))
-    return kept.groupBy("file_id").applyInPandas(walk, T.StructType(columns))
+    return by_key(kept, "file_id", walk, T.StructType(columns))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirelake.functions import latin1, object_id
 from quirelake.functions.scan import stream_members, table_places
@@ -16,6 +16,7 @@ from quirelake.session import checkpointed
 
 from .objects import classified, decoded, definitions, int_of, name_of, numbers_of
 from .places import resolved
+from .runs import by_key
 
 _E = "entries"
 _ENTRY = r"^(\d{10}) (\d{5}) ([nf])"
@@ -118,36 +119,41 @@ def cut_off_streams(found: DataFrame) -> DataFrame:
     return short.unionByName(found.filter("decoded IS NULL").select("file_id", "section", F.lit(0).cast("long").alias("row")))
 
 
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
+def _walk(group: list[dict]) -> list[tuple]:
     """The chain of one file's sections from ``startxref`` on; a place without a section ends it and is marked as failed."""
-    known = {int(r.section): r for r in group.itertuples() if not pd.isna(r.section)}
-    first = group.iloc[0]
+    known = {r["section"]: r for r in group if r["section"] is not None}
+    first = group[0]
     found, seen, revision = [], set(), 0
     at, place = first["_start"], first["startxref"]
-    while not pd.isna(place) and (pd.isna(at) or int(at) not in seen):
-        failed = pd.isna(at)
-        found.append((first["file_id"], int(place) if failed else int(at), revision, 0, failed))
+    while place is not None and (at is None or at not in seen):
+        failed = at is None
+        found.append((first["file_id"], place if failed else at, revision, 0, failed))
         if failed:
             break
-        seen.add(int(at))
-        row = known[int(at)]
-        if not pd.isna(row.extra) and (pd.isna(row.extra_section) or int(row.extra_section) not in seen):
-            lost = pd.isna(row.extra_section)
-            seen.add(int(row.extra if lost else row.extra_section))
-            found.append((first["file_id"], int(row.extra if lost else row.extra_section), revision, 1, lost))
-        at, place, revision = row.prev_section, row.prev, revision + 1
-    return pd.DataFrame(found, columns=["file_id", "section", "revision", "extra", "failed"])
+        seen.add(at)
+        row = known[at]
+        if row["extra"] is not None and (row["extra_section"] is None or row["extra_section"] not in seen):
+            lost = row["extra_section"] is None
+            to = row["extra"] if lost else row["extra_section"]
+            seen.add(to)
+            found.append((first["file_id"], to, revision, 1, lost))
+        at, place, revision = row["prev_section"], row["prev"], revision + 1
+    return found
+
+
+def starts(files: DataFrame) -> DataFrame:
+    """``file_id, startxref``: the place that the end of each file names, or null."""
+    tail = latin1(F.substring("content", -4096, 4096))
+    return files.select("file_id", F.regexp_extract(tail, r"(?s).*startxref[\x00\t\n\x0c\r ]+(\d+)", 1).try_cast("long").alias("startxref"))
 
 
-def chain(files: DataFrame, sections: DataFrame) -> DataFrame:
+def chain(starts: DataFrame, sections: DataFrame) -> DataFrame:
     """``file_id, section, revision`` (0 is the newest), ``extra`` (1 for an ``/XRefStm``), ``failed`` of the sections that ``/Prev`` links.
 
-    ``sections`` has ``file_id, section, entries, clear`` of tables and streams.
+    ``starts`` has ``file_id, startxref``, ``sections`` ``file_id, section, entries, clear`` of tables and streams.
     A place may stand in the blanks before its section. At scale: all places
     are resolved by one as-of join, then one shuffle of these few numbers by file.
     """
-    tail = latin1(F.substring("content", -4096, 4096))
-    starts = files.select("file_id", F.regexp_extract(tail, r"(?s).*startxref[\x00\t\n\x0c\r ]+(\d+)", 1).try_cast("long").alias("startxref"))
     links = sections.select("file_id", "section", int_of(_E, "Prev").alias("prev"), int_of(_E, "XRefStm").alias("extra"))
     asked = starts.select("file_id", F.lit(None).cast("long").alias("of"), F.lit("start").alias("link"), F.col("startxref").alias("place"))
     for link in ("prev", "extra"):
@@ -157,7 +163,8 @@ def chain(files: DataFrame, sections: DataFrame) -> DataFrame:
     rows = starts.join(by_link["start"].select("file_id", F.col("to").alias("_start")), "file_id", "left").join(links, "file_id", "left")
     for link in ("prev", "extra"):
         rows = rows.join(by_link[link].select("file_id", F.col("of").alias("section"), F.col("to").alias(f"{link}_section")), ["file_id", "section"], "left")
-    return rows.groupBy("file_id").applyInPandas(_walk, f"file_id {files.schema['file_id'].dataType.simpleString()}, section long, revision int, extra int, failed boolean")
+    kinds = (("section", T.LongType()), ("revision", T.IntegerType()), ("extra", T.IntegerType()), ("failed", T.BooleanType()))
+    return by_key(rows, "file_id", _walk, T.StructType([T.StructField("file_id", starts.schema["file_id"].dataType), *[T.StructField(*kind) for kind in kinds]]))
 
 
 def xref_rows(files: DataFrame) -> DataFrame:
@@ -170,16 +177,17 @@ def xref_rows(files: DataFrame) -> DataFrame:
 class Structure:
     """What the cross-reference data of ``files`` say: every member is a DataFrame.
 
-    What several members read is computed once: the definitions are persisted,
-    the chain, the entries that count, the members of object streams and the
+    What several members read is computed once: definitions, tables and entries
+    are persisted, the chain, the entries that count, the members of object streams and the
     live objects go to the checkpoint folder when they are first asked for.
     """
 
     def __init__(self, files: DataFrame) -> None:
         self.files, self.definitions = files, definitions(files).persist()
-        self.tables, self.streams = tables(files), xref_streams(self.definitions)
+        self.tables, self.streams = tables(files).persist(), xref_streams(self.definitions)
         self.sections = checkpointed(self.tables.select("file_id", "section", "entries", "clear").unionByName(self.streams.select("file_id", "section", "entries", "clear")))
-        self.chain = checkpointed(chain(files, self.sections))
+        self.starts = checkpointed(starts(files))
+        self.chain = checkpointed(chain(self.starts, self.sections))
 
     def bodies(self) -> DataFrame:
         """``file_id, revision, section, entries``: trailers of the chain, 0 the newest."""
@@ -189,10 +197,11 @@ class Structure:
         """``file_id, entries`` of the newest trailer."""
         return self.bodies().filter("revision = 0").select("file_id", "entries")
 
+    @functools.cache  # noqa: B019
     def entries(self) -> DataFrame:
         """All entries of the chain with their revision."""
         rows = table_rows(self.tables).unionByName(stream_rows(self.streams))
-        return rows.join(self.chain.filter("NOT failed").select("file_id", "section", "revision", "extra"), ["file_id", "section"])
+        return rows.join(self.chain.filter("NOT failed").select("file_id", "section", "revision", "extra"), ["file_id", "section"]).persist()
 
     @functools.cache  # noqa: B019
     def newest_entries(self) -> DataFrame:
@@ -205,7 +214,7 @@ class Structure:
         """``file_id, recovery``: none, no-startxref, empty-xref or partial-scan."""
         walked = self.chain.groupBy("file_id").agg(F.count_if(~F.col("failed")).alias("read"), F.count_if("failed").alias("failed"))
         counted = self.entries().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-        known = self.files.select("file_id").join(walked, "file_id", "left").join(counted, "file_id", "left")
+        known = self.starts.select("file_id").join(walked, "file_id", "left").join(counted, "file_id", "left")
         mode = F.when(F.col("read").isNull(), "no-startxref").when(F.coalesce("n", F.lit(0)) == 0, "empty-xref").when(F.col("failed") > 0, "partial-scan").otherwise("none")
         return checkpointed(known.select("file_id", mode.alias("recovery")))
 

@@ -119,32 +119,32 @@ def fonts_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents")))
+    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents"))).persist()
     shown = operations(page_contents(found, pages(found))).filter("operator = chr(39)").select("file_id", "sequence", string_bytes(F.col("operands")[0]).alias("line"))
     lines = shown.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("sequence", "line"))).alias("l"))
     return lines.select(F.col("file_id").cast("long").alias("doc_id"), "n_lines", F.sha2(F.encode(F.array_join(F.transform("l.line", latin1), "\n"), "ISO-8859-1"), 256).alias("text_sha256"))
 
 
 def page_content_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents")))
+    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents"))).persist()
     return content_warnings(found, pages(found)).select(F.col("file_id").cast("long").alias("doc_id"), "warning_id", "severity")
 
 
 def xobject_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents")))
+    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents"))).persist()
     listed = xobjects(found, page_resources(found, pages(found)))
     return listed.groupBy("name", "subtype", "width", "height", "color_space", "bits").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resource_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents")))
+    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents"))).persist()
     of_pages = pages(found)
     drawn = drawn_xobjects(operations(page_contents(found, of_pages)), xobjects(found, page_resources(found, of_pages)))
     return drawn.groupBy("name", "object_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def do_missing_xobject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents")))
+    found = objects(fc.literal_files(fx.table(spark, sf_dir, "documents"))).persist()
     of_pages = pages(found)
     lost = missing_xobjects(operations(page_contents(found, of_pages)), xobjects(found, page_resources(found, of_pages)))
     return lost.select(F.col("file_id").cast("long").alias("doc_id"), "warning_id")
