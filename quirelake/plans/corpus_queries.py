@@ -30,27 +30,27 @@ def _part(name: str, at: int):
 
 
 def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = Structure(fc.chained_files(fx.table(spark, sf_dir, "orders"))).live_objects().filter("number > 1")
+    live = Structure(fc.chained_files(fx.table(spark, sf_dir, "orders")).persist()).live_objects().filter("number > 1")
     return live.select(_part("file_id", 1).cast("long").alias("file"), _part("file_id", 2).cast("long").alias("block"), "number", int_of("entries", "Key").alias("order_key"))
 
 
 def xref_free_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Structure(fc.chained_files(fx.table(spark, sf_dir, "orders"))).newest_entries().filter("type = 'f'")
+    newest = Structure(fc.chained_files(fx.table(spark, sf_dir, "orders")).persist()).newest_entries().filter("type = 'f'")
     return newest.groupBy(_part("file_id", 1).cast("long").alias("file")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def xref_revision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = Structure(fc.chained_files(fx.table(spark, sf_dir, "orders"))).bodies()
+    bodies = Structure(fc.chained_files(fx.table(spark, sf_dir, "orders")).persist()).bodies()
     return bodies.groupBy("file_id").agg((F.count(F.lit(1)) - 1).alias("updates"))
 
 
 def objstm_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = Structure(fc.packed_files(fx.table(spark, sf_dir, "part"))).live_objects().filter("in_object_stream IS NOT NULL")
+    live = Structure(fc.packed_files(fx.table(spark, sf_dir, "part")).persist()).live_objects().filter("in_object_stream IS NOT NULL")
     return live.select(_part("file_id", 1).alias("brand"), int_of("entries", "Part").alias("part_key"), int_of("entries", "Size").alias("size"))
 
 
 def objstm_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skipped = Structure(fc.packed_files(fx.table(spark, sf_dir, "part"))).skipped()
+    skipped = Structure(fc.packed_files(fx.table(spark, sf_dir, "part")).persist()).skipped()
     return skipped.groupBy(_part("file_id", 1).alias("brand")).agg(F.sum("n").alias("n"))
 
 
@@ -95,8 +95,8 @@ def mcid_first_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = objects(files)
-    of_pages = pages(found)
+    found = objects(files).persist()
+    of_pages = pages(found).persist()
     of_fonts = fonts(found, page_resources(found, of_pages))
     ops = operations(page_contents(found, of_pages))
     return string_texts(shown_strings(ops), of_fonts, cmaps(found, of_fonts)), of_fonts
@@ -114,7 +114,7 @@ def text_run_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fonts_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = objects(fc.mapped_files(fx.table(spark, sf_dir, "benchmark")))
+    found = objects(fc.mapped_files(fx.table(spark, sf_dir, "benchmark"))).persist()
     return fonts(found, page_resources(found, pages(found))).groupBy("name", "subtype", "base_font", "encoding", "embedded").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -160,19 +160,19 @@ def object_page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    structure = Structure(fc.broken_files(fx.table(spark, sf_dir, "labels")))
+    structure = Structure(fc.broken_files(fx.table(spark, sf_dir, "labels")).persist())
     counted = structure.live_objects().groupBy("file_id").agg(F.count(F.lit(1)).alias("objects"))
     return structure.recovery().join(counted, "file_id", "left").groupBy("recovery", "objects").agg(F.count(F.lit(1)).alias("n"))
 
 
 def warning_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_warnings(fc.broken_files(fx.table(spark, sf_dir, "labels")))
+    found = all_warnings(fc.broken_files(fx.table(spark, sf_dir, "labels")).persist())
     name = F.regexp_extract("warning_id", r"^warn:([a-z-]+)", 1)
     return found.groupBy(name.alias("warning"), "severity", "category", "stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_kids_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_warnings(objects(fc.broken_files(fx.table(spark, sf_dir, "labels")))).groupBy("warning_id").agg(F.count(F.lit(1)).alias("n"))
+    return page_warnings(objects(fc.broken_files(fx.table(spark, sf_dir, "labels"))).persist()).groupBy("warning_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def op_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,13 @@ def test_objects_are_read_once(spark, name):
     assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} == {"InMemoryRelation"}
 
 
+@pytest.mark.parametrize("name", ["recovery_modes", "warning_rollup", "page_kids_missing"])
+def test_files_are_rendered_once(spark, name):
+    """Leaves of the plan are kept tables and checkpoints."""
+    leaves = corpus_queries.QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().collectLeaves()
+    assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} <= {"InMemoryRelation", "LogicalRDD"}
+
+
 def test_literal_strings():
     from quirelake.functions.syntax import string_of
 
