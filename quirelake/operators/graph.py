@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirelake.functions.values import refs_within
-from quirelake.session import checkpointed
 
 from .objects import edges, value_of
+from .runs import by_key
 
 
 def trailer_references(trailers: DataFrame) -> DataFrame:
@@ -20,28 +21,27 @@ def trailer_references(trailers: DataFrame) -> DataFrame:
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """``file_id, object_id, distance``: everything that ``links(file_id, src_id, dst_id)`` lead to from ``roots(file_id, object_id)``, with the fewest steps.
 
-    Each round takes the nodes that the round before found one step further and
-    leaves out those that are known, so cycles end, and every link is followed
-    once. At scale: a round is an equi-join of the newest nodes with the links
-    and an anti join, both by file and object; its result is checkpointed, so
-    plans stay small however deep a file is.
+    A file's references are followed in breadth, each once, so cycles end and
+    the work does not grow with the depth. At scale: one shuffle of references
+    by file; a group is the references of one file, which are pairs of ids.
     """
-    links = checkpointed(links.select("file_id", "src_id", "dst_id").distinct())
-    newest = checkpointed(roots.select("file_id", "object_id").distinct().withColumn("distance", F.lit(0)))
-    parts = [newest]
-    known = newest.select("file_id", "object_id")
-    while not newest.isEmpty():
-        step = newest.withColumnRenamed("object_id", "src_id").join(links, ["file_id", "src_id"])
-        further = step.groupBy("file_id", F.col("dst_id").alias("object_id")).agg((F.min("distance") + 1).alias("distance"))
-        newest = checkpointed(further.join(known, ["file_id", "object_id"], "left_anti"))
-        parts.append(newest)
-        known = known.unionByName(newest.select("file_id", "object_id"))
-        if len(parts) % 16 == 0:  # else the plan of the anti join grows with the depth
-            known = checkpointed(known)
-    whole = parts[0]
-    for part in parts[1:-1]:
-        whole = whole.unionByName(part)
-    return whole
+    from_roots = roots.select("file_id", F.lit(None).cast("string").alias("src_id"), F.col("object_id").alias("dst_id"))
+    rows = links.select("file_id", "src_id", "dst_id").unionByName(from_roots)
+
+    def walk(group: list[dict]) -> list[tuple]:
+        leads: dict[str | None, list[str]] = {}
+        for row in group:
+            leads.setdefault(row["src_id"], []).append(row["dst_id"])
+        found: dict[str, int] = {}
+        near, distance = leads.get(None, []), 0
+        while near:
+            new = [x for x in dict.fromkeys(near) if x not in found]
+            found |= dict.fromkeys(new, distance)
+            near, distance = [to for x in new for to in leads.get(x, ())], distance + 1
+        return [(group[0]["file_id"], node, steps) for node, steps in found.items()]
+
+    fields = [T.StructField("file_id", links.schema["file_id"].dataType), T.StructField("object_id", T.StringType()), T.StructField("distance", T.IntegerType())]
+    return by_key(rows, "file_id", walk, T.StructType(fields))
 
 
 def object_distances(found: DataFrame, trailers: DataFrame) -> DataFrame:

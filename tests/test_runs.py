@@ -51,6 +51,15 @@ def test_files_are_rendered_once(spark, name):
     assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} <= {"InMemoryRelation", "LogicalRDD"}
 
 
+def test_deep_references_take_one_pass(spark):
+    """A chain of 3000 references with a way back and a short cut; a round a step would take thousands of jobs."""
+    from quirelake.operators.graph import reachable
+
+    links = [("a", f"n{i}", f"n{i + 1}") for i in range(3000)] + [("a", "n3000", "n0"), ("a", "n10", "n2000"), ("a", "x", "n5"), ("b", "n0", "n1")]
+    got = reachable(spark.createDataFrame(links, "file_id string, src_id string, dst_id string"), spark.createDataFrame([("a", "n0")], "file_id string, object_id string")).collect()
+    assert {(r["file_id"], r["object_id"], r["distance"]) for r in got} == {("a", f"n{i}", i if i < 2000 else i - 1989) for i in range(3001)}
+
+
 def test_literal_strings():
     from quirelake.functions.syntax import string_of
 
