@@ -6,44 +6,40 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows read from a batch at once, and bytes of results written as one batch.
-_ROWS, _BYTES = 64, 1 << 21
+#: Keys read from a batch at once, and bytes of results written as one batch.
+_KEYS, _BYTES = 16, 1 << 21
 
 
 def by_key(rows: DataFrame, key: str, make: Callable[[list[dict]], Iterable[tuple]], schema: T.StructType) -> DataFrame:
     """What ``make`` gives for the rows of each ``key``, as rows of ``schema``.
 
-    One shuffle by key, sorted in each partition, so that the rows of a key
-    follow each other; a task holds the rows of one key and a small batch of
-    results. A null key is a key of its own.
+    One shuffle by key, which gathers the rows of a key as one value; a task
+    holds a few keys' rows and a small batch of results. A null key is a key of
+    its own.
     """
     size_of = lambda row: 64 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        held, made, size = [], [], 0
+        made, size = [], 0
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                for row in batch.slice(at, _ROWS).to_pylist():
-                    if held and row[key] != held[0][key]:
-                        for result in make(held):
-                            made.append(result)
-                            size += size_of(result)
-                        held = []
-                        if size > _BYTES:
-                            yield batch_of(made)
-                            made, size = [], 0
-                    held.append(row)
-        if held:
-            made += make(held)
+            for at in range(0, batch.num_rows, _KEYS):
+                for group in batch.slice(at, _KEYS).to_pylist():
+                    for result in make(group["_rows"]):
+                        made.append(result)
+                        size += size_of(result)
+                    if size > _BYTES:
+                        yield batch_of(made)
+                        made, size = [], 0
         if made:
             yield batch_of(made)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(runs, schema)
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows")).select("_rows").mapInArrow(runs, schema)
