@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.syntax import items, name_value, number_value, string_bytes
 from quirelake.functions.text import cmap_of, decoded_codes, encoded_text
-from quirelake.functions.udfs import arrow_udf
+from quirelake.functions.udfs import arrow_udf, portions
 
 from .objects import decoded
 from .content import scoped
@@ -20,10 +20,14 @@ from .resources import drawn_xobjects
 _SHOWS = ("Tj", "TJ", "'", '"')
 
 
-@arrow_udf("struct<codes:array<struct<code:bigint,width:int,text:string>>,spaces:array<struct<width:int,first:bigint,last:bigint>>,warnings:array<string>>")
-def parsed_cmap(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def parsed_map_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """``cmap_of`` of each row, in small batches: a map's codes take many times the room of its bytes."""
     for column in batches:
-        yield pd.DataFrame([cmap_of(x) for x in column], columns=["codes", "spaces", "warnings"])
+        for part in portions(cmap_of, column):
+            yield pd.DataFrame(part.tolist(), columns=["codes", "spaces", "warnings"])
+
+
+parsed_cmap = arrow_udf("struct<codes:array<struct<code:bigint,width:int,text:string>>,spaces:array<struct<width:int,first:bigint,last:bigint>>,warnings:array<string>>")(parsed_map_batches)
 
 
 def cmaps(found: DataFrame, of_fonts: DataFrame) -> DataFrame:

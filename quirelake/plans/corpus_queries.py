@@ -20,6 +20,7 @@ from quirelake.operators.resources import drawn_xobjects, fonts, missing_xobject
 from quirelake.operators.structure import first_operations, located, struct_children, struct_nodes
 from quirelake.operators.text import cmaps, shown_strings, string_texts, text_runs
 from quirelake.operators.xref import Structure
+from quirelake.session import checkpointed
 
 from . import corpora as fc
 from . import fixtures as fx
@@ -97,9 +98,9 @@ def mcid_first_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = objects(files).persist()
     of_pages = pages(found).persist()
-    of_fonts = fonts(found, page_resources(found, of_pages))
-    ops = operations(page_contents(found, of_pages))
-    return string_texts(shown_strings(ops), of_fonts, cmaps(found, of_fonts)), of_fonts
+    of_fonts = checkpointed(fonts(found, page_resources(found, of_pages)))
+    strings = checkpointed(shown_strings(checkpointed(operations(page_contents(found, of_pages)))))
+    return string_texts(strings, of_fonts, checkpointed(cmaps(found, of_fonts))), of_fonts
 
 
 def cmap_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,18 @@ def test_results_come_in_small_batches():
     assert [len(x) for x in portions(len, pd.Series([], dtype=object))] == [0]
 
 
+def test_maps_come_in_small_batches(spark):
+    """A batch of maps of 500 codes each is given in parts; without rows, one empty part with all columns."""
+    from quirelake.operators.text import parsed_cmap, parsed_map_batches
+
+    data = b"1 beginbfchar\n" + b"".join(b"<%04x> <%04x>\n" % (i, i) for i in range(500)) + b"endbfchar"
+    udf = parsed_cmap(F.lit(data))  # builds it
+    assert spark.range(1).select(F.size(udf["codes"])).first()[0] == 500
+    parts = list(parsed_map_batches(iter([pd.Series([data] * 400 + [None])])))
+    assert max(map(len, parts)) < 50 and sum(map(len, parts)) == 401 and len(parts[0]["codes"][0]) == 500
+    assert [(len(x), list(x.columns)) for x in parsed_map_batches(iter([pd.Series([], dtype=object)]))] == [(0, ["codes", "spaces", "warnings"])]
+
+
 @pytest.mark.parametrize("name", ["literal_lines", "page_content_missing", "xobject_catalog", "resource_usage", "do_missing_xobject"])
 def test_objects_are_read_once(spark, name):
     """Every leaf of the plan is the kept table of objects, so that no file is rendered or parsed twice."""
@@ -51,6 +63,13 @@ def test_files_are_rendered_once(spark, name):
     assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} <= {"InMemoryRelation", "LogicalRDD"}
 
 
+@pytest.mark.parametrize("name", ["text_run_widths"])
+def test_operations_are_read_once(spark, name):
+    """The steps that join a page's operations with themselves start from kept rows, not from its bytes."""
+    leaves = corpus_queries.QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().collectLeaves()
+    assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} == {"LogicalRDD"}
+
+
 def test_deep_references_take_one_pass(spark):
     """A chain of 3000 references with a way back and a short cut; a round a step would take thousands of jobs."""
     from quirelake.operators.graph import reachable
