@@ -83,7 +83,7 @@ def struct_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mcid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, of_pages, nodes = _conversation(spark, sf_dir)
-    marked = marked_content(operations(page_contents(found, of_pages)))
+    marked = marked_content(checkpointed(operations(page_contents(found, of_pages))))
     shown = marked.filter("operator = 'Tj'").select("file_id", "page_number", "mcid", F.sha2(string_bytes(F.col("operands")[0]), 256).alias("text_sha256"))
     placed = located(struct_children(found), of_pages).filter("kind = 'mcid'").join(nodes.select("file_id", F.col("object_id").alias("node"), "type"), ["file_id", "node"])
     return placed.join(shown, ["file_id", "page_number", "mcid"]).select(F.col("file_id").cast("long").alias("conv_id"), F.col("mcid").alias("turn"), F.col("type").alias("role"), "text_sha256")
@@ -91,7 +91,7 @@ def mcid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mcid_first_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, of_pages, _ = _conversation(spark, sf_dir)
-    first = first_operations(marked_content(operations(page_contents(found, of_pages))))
+    first = first_operations(marked_content(checkpointed(operations(page_contents(found, of_pages)))))
     return first.select(F.col("file_id").cast("long").alias("conv_id"), F.col("mcid").alias("turn"), "op_id")
 
 

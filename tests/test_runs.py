@@ -63,7 +63,7 @@ def test_files_are_rendered_once(spark, name):
     assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} <= {"InMemoryRelation", "LogicalRDD"}
 
 
-@pytest.mark.parametrize("name", ["text_run_widths"])
+@pytest.mark.parametrize("name", ["mcid_first_operations", "text_run_widths"])
 def test_operations_are_read_once(spark, name):
     """The steps that join a page's operations with themselves start from kept rows, not from its bytes."""
     leaves = corpus_queries.QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().collectLeaves()
