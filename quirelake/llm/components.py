@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -19,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links ``(a, b)`` as stars: every node but the smallest of its component with the smallest."""
+    """``node, component`` of the nodes of links ``(a, b)``; the component is its smallest node."""
     parent: dict = {}
 
     def root(x):
@@ -28,13 +29,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for batch in batches:
-        kinds, names = [c.type for c in batch.columns], batch.schema.names
+        kinds = [c.type for c in batch.columns]
         for ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             low, high = sorted(map(root, ends))
             parent[high] = low
     if parent:
-        stars = [(x, low) for x in parent if (low := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*stars, strict=True), kinds, strict=True)], names)
+        found = ([*parent], [*map(root, parent)])
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], ["node", "component"])
 
 
 def connected_components(links: DataFrame, few: int = FEW) -> DataFrame:
@@ -62,7 +63,8 @@ def connected_components(links: DataFrame, few: int = FEW) -> DataFrame:
         before, state = state, _state(edges)
         if before == state:
             break
-    if 0 < state[0] <= few:
-        edges = cut(edges.coalesce(1).mapInArrow(_merged, edges.schema))
+    else:
+        kind = edges.schema["a"].dataType
+        return cut(edges.coalesce(1).mapInArrow(_merged, T.StructType([T.StructField(name, kind) for name in ("node", "component")])))
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
