@@ -179,12 +179,16 @@ class Structure:
 
     What several members read is computed once: definitions, tables and entries
     are persisted, the chain, the entries that count, the members of object streams and the
-    live objects go to the checkpoint folder when they are first asked for.
+    live objects go to the checkpoint folder when they are first asked for. Definitions of
+    files in which the word ``stream`` stands are kept apart: only they can hold
+    cross-reference streams, so the chain of other files is known without their objects.
     """
 
     def __init__(self, files: DataFrame) -> None:
-        self.files, self.definitions = files, definitions(files).persist()
-        self.tables, self.streams = tables(files).persist(), xref_streams(self.definitions)
+        streamed = F.contains("content", F.lit(b"stream"))
+        with_streams, without = definitions(files.filter(streamed)).persist(), definitions(files.filter(~streamed)).persist()
+        self.files, self.definitions = files, with_streams.unionByName(without)
+        self.tables, self.streams = tables(files).persist(), xref_streams(with_streams)
         self.sections = checkpointed(self.tables.select("file_id", "section", "entries", "clear").unionByName(self.streams.select("file_id", "section", "entries", "clear")))
         self.starts = checkpointed(starts(files))
         self.chain = checkpointed(chain(self.starts, self.sections))
