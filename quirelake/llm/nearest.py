@@ -1,10 +1,11 @@
 """Nearest neighbours by a block matrix join: int8 tiles, error bounds, float64 recomputation, heaps.
 
 Vectors are rounded to int8 once, and only these blocks and their norms are
-shuffled. A tile multiplies a block of queries with a block of candidates; the
-rounding errors bound how far each product can be off, so that a tile keeps only
-candidates that may be among a query's nearest. Heaps merge the tiles' lists,
-and the pairs that survive are computed again in double precision.
+shuffled. A task multiplies some blocks of queries with some blocks of
+candidates, tile by tile; the rounding errors bound how far each product can be
+off, so that it keeps only candidates that may be among a query's nearest. Heaps
+merge the tasks' lists, and the pairs that survive are computed again in double
+precision.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _LIST = "query_id long, vec_ids array<long>, lows array<double>, highs array<double>"
+#: Blocks of queries and of candidates that one task takes at most.
+TASK_QUERIES = 32
+TASK_CANDIDATES = 8
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +67,58 @@ def tile(queries: tuple[np.ndarray, np.ndarray, np.ndarray], candidates: tuple[n
     return out
 
 
+def tiles(queries: tuple[np.ndarray, np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, strip: int = 256, width: int = 4096) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Like ``tile``, for as many candidates as a task holds: tiles of ``strip`` by ``width``, one product of matrices each.
+
+    Norms and errors are columns beside the components, so that the product is
+    the upper bound, with one more column for the rounding of float32 (its unit
+    times the components and some more, times both norms). What is below the
+    k-th best lower bound of the tiles before is out, so few bounds are looked
+    at after the first tiles. Candidates are brought to norms of at most 1, and
+    so is each query, by powers of two; what then underflows is below ``tiny``.
+    """
+    query_ids, q8, q = queries
+    ids, c8, c = candidates
+    if not (np.isfinite(q).all() and np.isfinite(c).all()):
+        return tile(queries, candidates, k, strip)
+    tiny, unit = 1e-30, (q8.shape[1] + 16) * 2.0**-24 * 1.1
+    q, c = q.astype(np.float64), c.astype(np.float64)
+    norm_q, norm_c = (np.sqrt(x[:, 1] ** 2 + x[:, 2] ** 2 + x[:, 3] ** 2) * 1.5 for x in (q, c))
+    up_q, up_c = np.exp2(np.ceil(np.log2(norm_q))), np.exp2(np.ceil(np.log2(norm_c.max(initial=0, where=norm_c > 0) or 1)))
+    wide = lambda x8, size, columns, up: np.concatenate([x8 * (size / up)[:, None], *[(y / up)[:, None] for y in columns]], 1).astype(np.float32)
+    across_q, across_c = (q[:, 3], q[:, 2], unit * norm_q), (c[:, 1], c[:, 3], norm_c)
+    right = wide(c8, c[:, 0], across_c, np.full(len(c), up_c))
+    out = []
+    for start in range(0, len(query_ids), strip):
+        part = slice(start, start + strip)
+        left, own, up = wide(q8[part], q[part, 0], [y[part] for y in across_q], up_q[part]), query_ids[part], up_q[part] * up_c
+        off_q, off_c = left[:, -3:].astype(np.float64), right[:, -3:].astype(np.float64)
+        first = left @ right[:1024].T - 2 * (1 + 1e-5) * (off_q @ off_c[:1024].T)
+        first[own[:, None] == ids[:1024]] = -np.inf
+        least = np.partition(first, first.shape[1] - k, 1)[:, first.shape[1] - k] - tiny if first.shape[1] >= k else np.full(len(own), -np.inf)
+        rows, cols, lows, highs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        for at in range(0, len(ids), width):
+            bound = left @ right[at : at + width].T
+            row, col = np.divmod(np.flatnonzero(bound >= np.nextafter((least - tiny).astype(np.float32), np.float32(-np.inf))[:, None]), bound.shape[1])
+            high = bound[row, col].astype(np.float64)
+            col += at
+            other = ids[col] != own[row]
+            row, col, high = row[other], col[other], high[other]
+            low = high - 2 * (1 + 1e-5) * (off_q[row] * off_c[col]).sum(1) - tiny
+            rows, cols, lows, highs = (np.concatenate(x) for x in ((rows, row), (cols, col), (lows, low), (highs, high + tiny)))
+            order = np.lexsort((-lows, rows))
+            rows, cols, lows, highs = (x[order] for x in (rows, cols, lows, highs))
+            begin = np.searchsorted(rows, np.arange(len(own) + 1))
+            enough = np.flatnonzero(np.diff(begin) >= k)
+            least[enough] = np.maximum(least[enough], lows[begin[enough] + k - 1])
+            fits = highs >= least[rows]
+            rows, cols, lows, highs = (x[fits] for x in (rows, cols, lows, highs))
+        begin = np.searchsorted(rows, np.arange(len(own) + 1))
+        for i, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+            out.append((int(own[i]), ids[cols[a:b]], lows[a:b] * up[i], highs[a:b] * up[i]))
+    return out
+
+
 def merged(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[list[int], list[float], list[float]]:
     """Of lists of candidates with bounds, those that a heap of the ``k`` best lower bounds does not exclude."""
     ids, lows, highs = (np.concatenate(x) for x in zip(*lists, strict=True))
@@ -116,7 +172,9 @@ def nearest(
 
     At scale: blocks have about ``query_block`` and ``candidate_block`` rows
     whatever the input, a vector in them takes a byte a component and 24 more,
-    and each query block meets each candidate block once. Of equal vectors only
+    and each query block meets each candidate block once, ``TASK_QUERIES`` by
+    ``TASK_CANDIDATES`` of them in a task, which gives one list for each query.
+    The number of tasks grows with the square of the input, up to 4096. Of equal vectors only
     the ``k + 1`` smallest ids can be among the nearest and are candidates, so
     that a common vector makes no long lists. Lists are merged ``fan_in`` at a
     time, so no task holds all lists of a query.
@@ -130,33 +188,36 @@ def nearest(
     n_candidates, n_queries = max(1, -(-count[0] // candidate_block)), max(1, -(-count[1] // query_block))
     alike = F.row_number().over(W.partitionBy(F.xxhash64("_v"), "_v").orderBy("_id"))
     candidates = _blocks(base.withColumn("_k", alike).filter(F.col("_k") <= k + 1), "_c", n_candidates).withColumnsRenamed({"_ids": "_cids", "_m": "_cm", "_s": "_cs"})
-    queries = _blocks(base.filter("_q"), "_b", n_queries).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-    pairs = queries.join(candidates, ["_dim", "_c"]).repartition(min(4096, n_candidates * n_queries), "_b", "_c")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column("_dim")[i].as_py()
-                read = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
-                q, c = ((read(a, np.int64), read(m, np.int8).reshape(-1, dim), read(n, np.float32).reshape(-1, 4)) for a, m, n in (("_ids", "_m", "_s"), ("_cids", "_cm", "_cs")))
-                found = tile(q, c, k)
-                columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), *(pa.array([x[j] for x in found], pa.list_(pa.float64())) for j in (2, 3))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([batch.column("_c")[i].as_py()] * len(found), pa.int32())], ["query_id", "vec_ids", "lows", "highs", "part"])
+    queries = _blocks(base.filter("_q"), "_b", n_queries)
+    n_right, n_left = -(-n_candidates // TASK_CANDIDATES), -(-n_queries // TASK_QUERIES)
+    queries = queries.withColumns({"_l": F.floor(F.col("_b") / TASK_QUERIES).cast("int"), "_r": F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))})
+    candidates = candidates.withColumns({"_r": F.floor(F.col("_c") / TASK_CANDIDATES).cast("int"), "_l": F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))})
+    key, tasks = ["_dim", "_l", "_r"], min(4096, 2 * n_left * n_right)  # else two of them often meet in one task
+    left, right = (x.repartition(tasks, *key).groupBy(*key) for x in (queries, candidates))
+
+    def multiply(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        dim, found = key[0].as_py(), []
+        if queries.num_rows and candidates.num_rows:
+            read = lambda blocks, name, kind: np.frombuffer(b"".join(blocks.column(name).to_pylist()), kind)
+            q, c = ((read(x, a, np.int64), read(x, m, np.int8).reshape(-1, dim), read(x, n, np.float32).reshape(-1, 4)) for x, a, m, n in ((queries, "_ids", "_m", "_s"), (candidates, "_cids", "_cm", "_cs")))
+            found = tiles(q, c, k)
+        columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), *(pa.array([x[j] for x in found], pa.list_(pa.float64())) for j in (2, 3))]
+        return pa.Table.from_arrays([*columns, pa.array([key[2].as_py()] * len(found), pa.int32())], ["query_id", "vec_ids", "lows", "highs", "part"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         rows = [(q, *merged(list(zip(g["vec_ids"], g["lows"], g["highs"], strict=True)), k)) for q, g in group.groupby("query_id", sort=False)]
         return pd.DataFrame(rows, columns=["query_id", "vec_ids", "lows", "highs"]).assign(part=int(group["part"].iloc[0]))
 
-    lists = pairs.mapInArrow(multiply, f"{_LIST}, part int")
-    parts = n_candidates
+    lists = left.cogroup(right).applyInArrow(multiply, f"{_LIST}, part int")
+    parts = n_right
     while parts > 1:
         parts = -(-parts // fan_in)
-        # a group holds the lists of some 256 queries from fan_in blocks
+        # a group holds the lists of some 256 queries from fan_in tasks
         lists = lists.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).withColumn("_g", F.pmod(F.xxhash64("query_id"), F.lit(max(1, count[1] // 256))))
         lists = lists.groupBy("_g", "part").applyInPandas(merge, f"{_LIST}, part int")
     # the pairs that are left, in double precision, summed from the first component on
-    left = lists.select("query_id", F.explode("vec_ids").alias("vec_id"))
-    both = left.join(base.select(F.col("_id").alias("vec_id"), F.col("_v").alias("_cv")), "vec_id").join(base.filter("_q").select(F.col("_id").alias("query_id"), "_v"), "query_id")
+    pairs = lists.select("query_id", F.explode("vec_ids").alias("vec_id"))
+    both = pairs.join(base.select(F.col("_id").alias("vec_id"), F.col("_v").alias("_cv")), "vec_id").join(base.filter("_q").select(F.col("_id").alias("query_id"), "_v"), "query_id")
     scored = both.select("query_id", "vec_id", F.aggregate(F.zip_with("_v", "_cv", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
